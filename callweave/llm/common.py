@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,10 @@ def word_count(text: Column) -> Column:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written as a table in the shared folder and read again: compressed, and free of what made them."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, toxicity
+from . import chat, mixing, token_binary, toxicity
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_chat_format": chat.op4_chat_format,
+    "op6_token_binary": token_binary.op6_token_binary,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op4_chat_format": chat.OP4_SQL,
 }
