@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, token_binary, toxicity
+from . import chat, decontaminate, mixing, token_binary, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op6_token_binary": token_binary.op6_token_binary,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
 }
