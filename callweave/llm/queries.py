@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, token_binary, toxicity
+from . import chat, decontaminate, mixing, pii, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_pii": pii.op2_pii,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op6_token_binary": token_binary.op6_token_binary,
