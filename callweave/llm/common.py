@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of words that are split at ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Partitions of a bounded sample of labelled rows.
+TRAINING_PARTS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +60,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most max_rows labelled documents, those with the smallest hashed ids; held-out ids are never among them."""
+    chosen = (
+        labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+        .select("doc_id", F.col(label).cast("int").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .limit(max_rows)
+    )
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(TRAINING_PARTS)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether an id belongs to the fifth that is never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

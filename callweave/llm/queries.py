@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, token_binary, toxicity
+from . import chat, decontaminate, mixing, pii, quality, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op6_token_binary": token_binary.op6_token_binary,
+    "op8_quality": quality.op8_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

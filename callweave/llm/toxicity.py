@@ -19,14 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table, training_rows
 
 #: Lengths of n-grams, and slots that they are hashed to.
 GRAMS, SLOTS = (3, 4, 5), 1 << 20
 #: An n-gram is used if a 200th of the sample's documents have it, 5 to 15 at least, and its log ratio is at least so large.
 MIN_DOCS, MIN_RATIO = (5, 15), 1.5
-#: Partitions of the bounded sample.
-TRAINING_PARTS = 12
 #: Code points hashed at once.
 BLOCK = 1 << 20
 
@@ -57,17 +55,6 @@ def gram_slots(text: str | None, number: np.ndarray | None = None) -> np.ndarray
     return np.unique(np.concatenate(found))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most max_rows labelled documents, those with the smallest hashed ids; held-out ids are never among them."""
-    chosen = (
-        labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-        .select("doc_id", F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
-        .limit(max_rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(TRAINING_PARTS)
-
-
 def gram_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(slots, log-count ratios) of the n-grams that tell the labels apart."""
 
@@ -146,5 +133,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
