@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, quality, token_binary, toxicity
+from . import chat, decontaminate, embed_dedup, mixing, pii, quality, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_embed_dedup": embed_dedup.op5_embed_dedup,
     "op6_token_binary": token_binary.op6_token_binary,
     "op8_quality": quality.op8_quality,
     "op10_toxicity": toxicity.op10_toxicity,
