@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embed_dedup, mixing, pii, quality, token_binary, toxicity
+from . import chat, decontaminate, embed_dedup, jaccard, mixing, pii, quality, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_embed_dedup": embed_dedup.op5_embed_dedup,
     "op6_token_binary": token_binary.op6_token_binary,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_quality": quality.op8_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op7_ngram_jaccard": jaccard.OP7_SQL,
 }
