@@ -90,22 +90,31 @@ def context(text: Column, span: Column) -> Column:
     return F.lower(F.array_join(near, " "))
 
 
+def terms_of(docs: DataFrame) -> DataFrame:
+    """(doc, term) of docs(doc, text): each term of a document once."""
+    return docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, action) of the terms that reveal an entity."""
     near = found.filter("n_spans > 0").select("doc", F.explode("near").alias("x")).select("doc", "x.entity", "x.context")
     terms = near.select("doc", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     pairs = terms.groupBy("entity", "term", "doc", "c").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.approx_count_distinct("c", 0.02).alias("contexts"), F.count_distinct("doc").alias("n_tc"))
-    pairs = keep(pairs.filter(F.col("contexts") >= MIN_CONTEXTS), "pii-pairs")
-    candidates = small(pairs.select("term").distinct(), SMALL_TERMS)
-    words = docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(candidates, "term").groupBy("term").agg(F.count_distinct("doc").alias("n_t"))
     n_c = near.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     n = docs.agg(F.count_distinct("doc").alias("n"))
-    joined = pairs.join(n_t, "term").join(n_c, "entity").join(F.broadcast(n))  # n is one row
-    pmi = F.log(F.col("n_tc") / F.col("n_t") * F.col("n") / F.col("n_c"))
+    pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(n_c, "entity").join(F.broadcast(n), how="cross")  # n is one row
     content = F.log(F.col("n") / F.col("n_c"))
+    # A term in more of the documents with entities than this can't reveal that one, whatever the rest of the corpus holds.
+    most = F.col("n_tc") / F.exp((GENERALISE - 1) * content) + 1e-6
+    held = found.filter("n_spans > 0").dropDuplicates(["doc"])
+    often = terms_of(held).groupBy("term").agg(F.count("*").alias("seen"))
+    pairs = keep(pairs.filter(F.col("n_c") < F.col("n")).join(often, "term").filter(F.col("seen") <= most).drop("seen"), "pii-pairs")
+    candidates = small(pairs.select("term").distinct(), SMALL_TERMS)
+    n_t = terms_of(docs).join(candidates, "term").groupBy("term").agg(F.count_distinct("doc").alias("n_t"))
+    joined = pairs.join(n_t, "term")
+    pmi = F.log(F.col("n_tc") / F.col("n_t") * F.col("n") / F.col("n_c"))
     action = F.when(pmi >= REMOVE * content - 1e-9, "remove").when(pmi >= GENERALISE * content, "generalise")
-    return joined.filter(F.col("n_c") < F.col("n")).select("entity", "term", action.alias("action")).filter("action is not null")
+    return joined.select("entity", "term", action.alias("action")).filter("action is not null")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
