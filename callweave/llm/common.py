@@ -59,6 +59,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again: compressed, and free of what made them."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embed_dedup, jaccard, mixing, pii, quality, token_binary, toxicity
+from . import chat, decontaminate, embed_dedup, jaccard, mixing, pii, quality, substring, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_binary": token_binary.op6_token_binary,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_quality": quality.op8_quality,
+    "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
+    "op9_substring_dedup": substring.OP9_SQL,
 }
