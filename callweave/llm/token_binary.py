@@ -40,9 +40,9 @@ VISIBLE, LETTER = "!-~\u00C0-\u024F", "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u
 #: Texts with a space beside something else than two visible characters.
 ODD_SPACE = f"[^{VISIBLE}] |^ | $| [^{VISIBLE}]"
 #: Words that a Python worker remembers at most; beyond that it begins anew.
-REMEMBERED = 600_000
-#: Documents encoded together.
-TOGETHER = 4096
+REMEMBERED = 400_000
+#: Documents encoded together, and tasks that read files at most.
+TOGETHER, READERS = 2048, 10_000
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
 
 
@@ -164,7 +164,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         "ids_crc32": [zlib.crc32(tokens[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in span],
                     })
 
-    rows = manifest.repartition("part").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    readers = max(1, min(READERS, manifest.count()))
+    rows = manifest.repartition(readers, "part").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
