@@ -8,9 +8,9 @@ each group a signature tree holds bitmaps: a node has the OR of the bitmaps belo
 sizes and what collisions hide at most. Two nodes are descended together and left as soon as the
 largest possible overlap, or that both are one component already, rules them out.
 
-What is left is compared set by set in two turns: first each set with few partners, which joins
-groups of near copies of any size by as many links as they have members, then every pair of
-different components that the trees leave.
+What is left is compared set by set in two turns: first each set with its smallest partner, which
+joins groups of near copies of any size by as many links as they have members, then every pair of
+different components that the trees leave. Sets are compared by 40 bits of each hash.
 
 Defined cases: null and blank texts have an empty set and link with nothing; fewer than five words
 are one shingle; texts are read whole; a null doc_id takes part but names no component, unless all of
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,32 +35,36 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: A shingle is common if so many sets have it; so many of the most common ones are known to all tasks at most.
 COMMON, MOST_COMMON = 100, 1_000_000
-#: Shingles of a task that are counted together, and words that it remembers.
-TOGETHER, REMEMBERED = 4_000_000, 1_000_000
+#: Shingles of a task that are counted together, and texts that are split together.
+TOGETHER, SOME = 4_000_000, 2048
+#: Bytes of a shingle's hash that are compared, and partners that are compared with a set in one task.
+KEPT, PARTNERS = 5, 500
 #: Bits of a signature, members of a tree's block, children of a node.
 BITS, BLOCK, FAN = 1024, 1024, 16
 #: Broadcast up to so many ids.
 SMALL_IDS = 1_000_000
 
 
-def shingles(text: str | None, known: dict[bytes, int], k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of k consecutive words of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < k:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-    g = np.zeros(len(h) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        g = (g ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        g ^= g >> np.uint64(29)
-    return np.unique(g)
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its k consecutive words; A-Z lower-cased, split at ASCII white space."""
+    for at in range(0, len(texts), SOME):
+        part = texts.slice(at, SOME).fill_null("").cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(part)
+        coded = lists.flatten().dictionary_encode()
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode().lower()) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+        index = coded.indices.to_numpy()
+        real = index != (pc.index(coded.dictionary, "").as_py() if len(coded.dictionary) else -1)  # blanks at the ends of a text
+        h = hashes[index[real]]
+        ends = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()]
+        g = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
+        for i in range(k):
+            g = (g ^ h[i : len(g) + i]) * np.uint64(0x9E3779B97F4A7C15)
+            g ^= g >> np.uint64(29)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if b - a >= k:
+                yield np.unique(g[a : b - k + 1])
+            else:
+                yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), seed=b - a)] if b > a else [], dtype=np.uint64)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -80,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class, bits; rows with n_shingles -1 hold shingles that several sets of a task have, and how many."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, held, size = {}, set(), [], 0
+        seen, held, size = set(), [], 0
 
         def common() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -88,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             return batch([None], [-1], [0], [b""], [tokens[often].astype(np.int64)], [counts[often]])
 
         for part in parts:
-            sets = [shingles(t, known) for t in part.column("text").to_pylist()]
+            sets = list(shingle_sets(part.column("text")))
             of = [class_of(s) for s in sets]
             yield batch(part.column("doc_id"), [len(s) for s in sets], of, [bitmap(s) for s in sets], [None] * len(sets), [None] * len(sets))
             for c, s in zip(of, sets):
@@ -122,11 +127,10 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = {}, set()
+        seen = set()
         for part in parts:
             tokens, of = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-            for text in part.column("text").to_pylist():
-                s = shingles(text, known)
+            for s in shingle_sets(part.column("text")):
                 c = class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
@@ -143,8 +147,13 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
             t, c = t[new], c[new]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, dtype=int)
-            out = []
-            for a, b in zip(starts, np.append(starts[1:], len(t))):
+            out, stops = [], np.append(starts[1:], len(t))
+            inner = np.zeros(len(starts), dtype=bool)
+            inner[1:-1] = (stops - starts)[1:-1] <= 2  # the first and last token may go on in another batch
+            two = starts[inner & (stops - starts == 2)]
+            if len(two):
+                yield pair_rows(t[two], c[two], c[two + 1])
+            for a, b in zip(starts[~inner], stops[~inner]):
                 if t[a] != token:
                     if token is not None and (block or len(members) > 1):
                         out.append((token, block, bool(block), members))
@@ -158,6 +167,12 @@ def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
         if token is not None and (block or len(members) > 1):
             yield rows([(token, block, bool(block), members)])
 
+    def pair_rows(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        gid = ((a * np.int64(-7046029254386353131)) ^ (b + (a >> np.int64(29)))) * np.int64(-3335678366873096957)
+        both = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2, dtype=np.int32)), pa.array(np.stack([a, b], axis=1).ravel()))
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=bool)), pa.array(gid), both], ["token", "block", "many", "gid", "members"])
+
     def rows(out: list) -> pa.RecordBatch:
         ids = [xxhash.xxh64_intdigest(m.tobytes()) - (1 << 63) for *_, m in out]
         return pa.RecordBatch.from_arrays([
@@ -232,7 +247,7 @@ def down(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def candidates(members: DataFrame, every: bool) -> DataFrame:
     """members(gid, side, class, n, bits, part) -> pairs (a, b) of different parts that the trees leave.
 
-    every: all of them, for each pair of parts; else for each class its first and last partner in a group.
+    every: all of them; else for each class its smallest partner only.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +292,6 @@ def candidates(members: DataFrame, every: bool) -> DataFrame:
                 order = np.lexsort((y, x))
                 x, y = x[order], y[order]
                 edge = np.concatenate([[True], x[1:] != x[:-1]])
-                edge |= np.concatenate([x[1:] != x[:-1], [True]])
                 x, y = x[edge], y[edge]
             a.append(x)
             b.append(y)
@@ -288,38 +302,59 @@ def candidates(members: DataFrame, every: bool) -> DataFrame:
     pairs = by_group.mapInArrow(run, "a long, b long")
     if every:
         return pairs.distinct()
-    ends = pairs.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    return ends.select("a", F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
+    return pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets themselves."""
+    """The pairs (a, b) whose sets are similar, by the sets themselves.
+
+    Each b is the centre of a star of partners; a large star is several, each with a copy of its centre.
+    """
     pairs = keep(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    at = found.filter("n_shingles > 0").join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("named"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("stars"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("stars")).cast("int").alias("star"))
+    roles = keep(dealt.select(F.col("a").alias("class"), "b", "star", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("class"), "b", "star", F.lit(0).alias("role")).distinct()), "roles")
+    at = found.filter("n_shingles > 0").join(roles.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("named"))
     ids = small(at.filter("named > 0").select("doc_id").distinct(), SMALL_IDS)
     texts = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {}
+        seen = set()
         for part in parts:
-            for k in range(0, part.num_rows, 512):
-                some = [shingles(t, known) for t in part.column("text").slice(k, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["class", "tokens"])
+            of, tokens = [], []
+            for s in shingle_sets(part.column("text")):
+                if (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    of.append(c)
+                    tokens.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], ["class", "tokens"])
+
+    def unpack(v: pa.Scalar) -> np.ndarray:
+        raw = np.frombuffer(v.as_buffer(), dtype=np.uint8).reshape(-1, KEPT)
+        out = np.zeros((len(raw), 8), dtype=np.uint8)
+        out[:, :KEPT] = raw
+        return np.sort(out.view(np.uint64).ravel())
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by star, the centre first; a set that several tasks made comes several times."""
+        centre, now, a, b = None, None, [], []
         for part in parts:
-            ok = []
-            for x, y in zip(part.column("x"), part.column("y")):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    of = texts.mapInArrow(sets, "class long, tokens binary").dropDuplicates(["class"])
-    of = keep(of.join(wanted, "class", "left_semi"), "sets")
-    both = pairs.join(of.select(F.col("class").alias("a"), F.col("tokens").alias("x")), "a").join(of.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
-    return keep(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+            for of, to, star, role, tokens in zip(*(part.column(c).to_pylist() for c in ("class", "b", "star", "role")), part.column("tokens")):
+                if role == 0:
+                    if now != (to, star):
+                        now, centre = (to, star), unpack(tokens)
+                    continue
+                s = unpack(tokens)
+                both = len(np.intersect1d(s, centre))
+                if 100 * both >= PERCENT * (len(s) + len(centre) - both):
+                    a.append(of)
+                    b.append(to)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+
+    sent = texts.mapInArrow(sets, "class long, tokens binary").join(small(roles, SMALL_IDS), "class")
+    in_order = sent.select("class", "b", "star", "role", "tokens").repartition("b", "star").sortWithinPartitions("b", "star", "role", "class")
+    return keep(in_order.mapInArrow(compare, "a long, b long").distinct(), "similar")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
