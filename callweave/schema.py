@@ -1,4 +1,8 @@
-"""Schemas and closed domains of the call-graph tables."""
+"""Schemas and closed domains of the call-graph tables.
+
+One-to-many records are tables of their own, so that a function that half of all diagnostics belong to
+is never one row.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,12 @@ from pyspark.sql import functions as F
 
 LOCATION = "struct<file_path:string,line:int,column:int,length:int>"
 SYMBOL = "struct<name:string,qualified_name:string,kind:string>"
-REFERENCE = f"struct<location:{LOCATION},referencing_symbol:{SYMBOL}>"
-DIAGNOSTIC = f"struct<location:{LOCATION},severity:int,message:string,code:string>"
-FUNCTIONS = f"seq bigint, id string, name string, qualified_name string, definition_location {LOCATION}, references array<{REFERENCE}>, diagnostics array<{DIAGNOSTIC}>"
+FUNCTIONS = f"seq bigint, id string, name string, qualified_name string, definition_location {LOCATION}"
 CALLS = f"seq bigint, caller string, callee string, call_location {LOCATION}"
+REFERENCES = f"seq bigint, function_id string, location {LOCATION}, referencing_symbol {SYMBOL}"
+DIAGNOSTICS = f"seq bigint, function_id string, location {LOCATION}, severity int, message string, code string"
 
-# Severities and kinds of referencing symbols.
+# Severities, kinds of referencing symbols, and those of them that can call.
 ERROR, WARNING, INFORMATION, HINT = 1, 2, 3, 4
 REFERENCE_KINDS = ("Function", "Method", "Constructor", "Variable", "Field", "Class", "Struct", "Module", "Unknown")
 CALLING_KINDS = ("Function", "Method", "Constructor")
@@ -26,6 +30,6 @@ def location(file_path, line, column, length=None) -> Column:
         as_col(column).cast("int").alias("column"), as_col(length).cast("int").alias("length"))
 
 
-def bad_kinds(functions: DataFrame) -> DataFrame:
-    """Functions with a reference whose symbol has a kind outside the domain."""
-    return functions.filter(F.exists("references", lambda r: ~F.coalesce(r["referencing_symbol"]["kind"].isin(*REFERENCE_KINDS), F.lit(True))))
+def bad_kinds(references: DataFrame) -> DataFrame:
+    """References whose symbol has a kind outside the domain."""
+    return references.filter(~F.col("referencing_symbol.kind").isin(*REFERENCE_KINDS))
