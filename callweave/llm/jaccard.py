@@ -8,9 +8,11 @@ each group a signature tree holds bitmaps: a node has the OR of the bitmaps belo
 sizes and what collisions hide at most. Two nodes are descended together and left as soon as the
 largest possible overlap, or that both are one component already, rules them out.
 
-What is left is compared set by set in two turns: first each set with its smallest partner, which
-joins groups of near copies of any size by as many links as they have members, then every pair of
-different components that the trees leave. Sets are compared by 40 bits of each hash.
+What is left is compared set by set in two turns: first each set with its smallest partner and with
+the one that its bitmap is most like, which joins groups of near copies of any size by about as many
+links as they have members, then every pair of different components that the trees leave. The sets of
+a group travel to it once for all its pairs, in cells of bounded size where a group's sets are long.
+Sets are compared by 40 bits of each hash.
 
 Defined cases: null and blank texts have an empty set and link with nothing; fewer than five words
 are one shingle; texts are read whole; a null doc_id takes part but names no component, unless all of
@@ -37,10 +39,12 @@ SHINGLE, PERCENT = 5, 80
 COMMON, MOST_COMMON = 100, 1_000_000
 #: Shingles of a task that are counted together, and texts that are split together.
 TOGETHER, SOME = 4_000_000, 2048
-#: Bytes of a shingle's hash that are compared, and partners that are compared with a set in one task.
-KEPT, PARTNERS = 5, 500
-#: Bits of a signature, members of a tree's block, children of a node.
+#: Bytes of a shingle's hash that are compared, and shingles from which on a group's sets are dealt to several cells.
+KEPT, CELL = 5, 4_000_000
+#: Fewest bits of a signature (it has two for each member of the set at least), members of a tree's block, children of a node.
 BITS, BLOCK, FAN = 1024, 1024, 16
+#: Bytes of signatures that are compared at once.
+AT_ONCE = 1 << 25
 #: Broadcast up to so many ids.
 SMALL_IDS = 1_000_000
 
@@ -72,9 +76,21 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(s >> np.uint64(17)) % np.uint64(BITS)] = True
-    return np.packbits(bits).tobytes()
+    """A power of two of bits, so many that unrelated sets of this size differ in enough of them; a longer one folds into a shorter one."""
+    size = max(BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(s))))))
+    bits = np.zeros(size, dtype=bool)
+    bits[(s >> np.uint64(17)) % np.uint64(size)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def unfolded(raws: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps repeated up to so many bytes: rows of 64-bit words. A token that two sets share has its bit in both."""
+    return np.frombuffer(b"".join([r * (size // len(r)) for r in raws]), dtype=np.uint64).reshape(-1, size // 8)
+
+
+def hidden_tokens(raws: list[bytes], n: np.ndarray) -> np.ndarray:
+    """How many tokens of each set collide with another one in its bitmap."""
+    return n - np.array([int.from_bytes(r, "little").bit_count() for r in raws], dtype=np.int64)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -197,10 +213,9 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray
 class Tree:
     """A signature tree over sets, in order of their sizes: levels of nodes, the leaves first."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, part: np.ndarray):
+    def __init__(self, n: np.ndarray, bits: np.ndarray, part: np.ndarray, hidden: np.ndarray):
         order = np.lexsort((part, n))
-        n, bits, part = n[order], bits[order], part[order]
-        hidden = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        n, bits, part, hidden = n[order], bits[order], part[order], hidden[order]
         self.order, self.levels = order, [(n, n, hidden, bits, part, np.ones(len(n), dtype=bool))]
         while len(self.levels[-1][0]) > FAN:
             low, high, hidden, bits, part, one = self.levels[-1]
@@ -209,14 +224,15 @@ class Tree:
             self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at), np.bitwise_or.reduceat(bits, at), part[at], same))
 
 
-def traverse(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members (numbers in a and in b) that similarity isn't ruled out for; same: a is b, each pair once."""
+def traverse(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members (numbers in a and in b) that similarity isn't ruled out for, and their largest possible overlap by the needed one; same: a is b, each pair once."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[la][0])), np.arange(len(b.levels[lb][0])), indexing="ij"))
+    most = max(16, AT_ONCE // (8 * a.levels[0][3].shape[1]))
     while True:
-        keep_i, keep_j = [], []
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        keep_i, keep_j, score = [], [], [np.empty(0)]
+        for at in range(0, len(i), most):
+            x, y = i[at : at + most], j[at : at + most]
             if same and la == lb:
                 x, y = x[x <= y], y[x <= y]
             (lo, hi, hid, bits, part, one), (lo2, hi2, hid2, bits2, part2, one2) = a.levels[la], b.levels[lb]
@@ -224,14 +240,17 @@ def traverse(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
             ok &= np.minimum(hi[x], hi2[y]) >= needed(lo[x], lo2[y])
             x, y = x[ok], y[ok]
             overlap = np.bitwise_count(bits[x] & bits2[y]).sum(axis=1) + np.minimum(hid[x], hid2[y])
-            ok = overlap >= needed(lo[x], lo2[y])
+            least = needed(lo[x], lo2[y])
+            ok = overlap >= least
             keep_i.append(x[ok])
             keep_j.append(y[ok])
+            score.append(overlap[ok] / np.maximum(1, least[ok]))
         i, j = np.concatenate(keep_i) if keep_i else i, np.concatenate(keep_j) if keep_j else j
         if la == 0 and lb == 0:
+            score = np.concatenate(score)
             if same:
-                i, j = i[i != j], j[i != j]
-            return a.order[i], b.order[j]
+                i, j, score = i[i != j], j[i != j], score[i != j]
+            return a.order[i], b.order[j], score
         if la >= lb:
             i, j, la = *down(i, j, len(a.levels[la - 1][0])), la - 1
         if lb > la:
@@ -244,10 +263,22 @@ def down(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return child[child < n], np.repeat(j, FAN)[child < n]
 
 
-def candidates(members: DataFrame, every: bool) -> DataFrame:
-    """members(gid, side, class, n, bits, part) -> pairs (a, b) of different parts that the trees leave.
+PAIRS = "a long, b long, score double, size int, gid long, slice_a int, slice_b int"
+
+
+def picked(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which pairs (a > b) of a group hold some member's smallest or best partner."""
+    both, with_, number = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
+    smallest = np.lexsort((b, a))
+    best = np.lexsort((with_, -np.tile(score, 2), both))
+    first = lambda order, key: order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
+    return np.unique(np.concatenate([first(smallest, a), number[first(best, both)]]))
+
 
-    every: all of them; else for each class its smallest partner only.
+def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
+    """members(gid, side, class, n, part), bits(class, bits) -> pairs (a, b) of different parts that the trees leave, and the cell (gid, slice_a, slice_b) to compare them in.
+
+    every: all of them; else for each class its smallest partner and its best one only.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,55 +296,65 @@ def candidates(members: DataFrame, every: bool) -> DataFrame:
 
     def work(rows: pa.RecordBatch) -> pa.RecordBatch:
         gid, side, of, n, part = (rows.column(c).to_numpy() for c in ("gid", "side", "class", "n", "part"))
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        raws = rows.column("bits").to_pylist()
+        hidden, width = hidden_tokens(raws, n), np.array([len(r) for r in raws], dtype=np.int64)
         starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else np.empty(0, dtype=int)
         size = np.diff(np.append(starts, len(gid)))
+        out = []
+
+        def send(i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int, slices: int) -> None:
+            """Rows i with rows j of one group, or of groups of two."""
+            swap = of[i] < of[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append((of[i], of[j], score, np.full(len(i), k), gid[i], np.abs(of[i]) % slices, np.abs(of[j]) % slices))
+
         two = starts[size == 2]  # groups of two are trees of two leaves: all at once
-        ok = (part[two] != part[two + 1]) & (np.minimum(n[two], n[two + 1]) >= needed(n[two], n[two + 1])) if len(two) else np.empty(0, dtype=bool)
-        two = two[ok]
-        counted = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        overlap = np.bitwise_count(bits[two] & bits[two + 1]).sum(axis=1) + np.minimum(n[two] - counted[two], n[two + 1] - counted[two + 1])
-        two = two[overlap >= needed(n[two], n[two + 1])]
-        a, b = [of[two]], [of[two + 1]]
+        if len(two):
+            two = two[(part[two] != part[two + 1]) & (np.minimum(n[two], n[two + 1]) >= needed(n[two], n[two + 1]))]
+        wide = np.maximum(width[two], width[two + 1])
+        for size_of in np.unique(wide):
+            for block in np.array_split(two[wide == size_of], 1 + int(size_of) * int((wide == size_of).sum()) // AT_ONCE):
+                shared = unfolded([raws[i] for i in block], size_of) & unfolded([raws[i + 1] for i in block], size_of)
+                overlap = np.bitwise_count(shared).sum(axis=1) + np.minimum(hidden[block], hidden[block + 1])
+                least = needed(n[block], n[block + 1])
+                ok = overlap >= least
+                send(block[ok], block[ok] + 1, overlap[ok] / np.maximum(1, least[ok]), 2, 1)
         for at, k in zip(starts[size > 2], size[size > 2]):
             own = slice(at, at + k)
             left = np.flatnonzero(side[own] == 0) + at
             right = np.flatnonzero(side[own] == 1) + at
-            first = Tree(n[left], bits[left], part[left])
-            if len(right):
-                i, j = traverse(first, Tree(n[right], bits[right], part[right]), False)
-                i, j = left[i], right[j]
-            else:
-                i, j = traverse(first, first, True)
-                i, j = left[i], left[j]
+            widest = width[own].max()
+            first, second = (Tree(n[of_side], unfolded([raws[i] for i in of_side], widest), part[of_side], hidden[of_side]) for of_side in (left, right))
+            i, j, score = traverse(first, second, False) if len(right) else traverse(first, first, True)
+            i, j = left[i], (right if len(right) else left)[j]
             apart = part[i] != part[j]
-            x, y = np.maximum(of[i], of[j])[apart], np.minimum(of[i], of[j])[apart]
-            if not every and len(x):
-                order = np.lexsort((y, x))
-                x, y = x[order], y[order]
-                edge = np.concatenate([[True], x[1:] != x[:-1]])
-                x, y = x[edge], y[edge]
-            a.append(x)
-            b.append(y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    by_group = members.select("gid", "side", "class", "n", "bits", "part").repartition("gid").sortWithinPartitions("gid", "side", "class")
-    pairs = by_group.mapInArrow(run, "a long, b long")
-    if every:
-        return pairs.distinct()
-    return pairs.groupBy("a").agg(F.min("b").alias("b"))
+            i, j, score = i[apart], j[apart], score[apart]
+            if not every and len(i):
+                some = picked(np.maximum(of[i], of[j]), np.minimum(of[i], of[j]), score)
+                i, j, score = i[some], j[some], score[some]
+            send(i, j, score, k, 1 + int(n[own].sum()) // CELL)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], ["a", "b", "score", "size", "gid", "slice_a", "slice_b"])
+
+    by_group = members.join(bits, "class").select("gid", "side", "class", "n", "bits", "part").repartition("gid").sortWithinPartitions("gid", "side", "class")
+    pairs = by_group.mapInArrow(run, PAIRS)
+    cell = F.struct("size", "gid", "slice_a", "slice_b")
+    if not every:
+        pairs = keep(pairs, "picks")
+        smallest = pairs.groupBy("a").agg(F.min(F.struct("b", cell.alias("cell"))).alias("p")).select("a", "p.b", "p.cell")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+        best = pairs.select(ends.alias("e"), "a", "b", "score", cell.alias("cell")).groupBy("e.u").agg(F.max(F.struct("score", (-F.col("e.v")).alias("v"), "a", "b", "cell")).alias("p"))
+        pairs = smallest.unionByName(best.select("p.a", "p.b", "p.cell")).select("a", "b", "cell.*")
+    # Of the groups that hold a pair the largest one compares it, where its sets are needed most.
+    return pairs.groupBy("a", "b").agg(F.max(cell).alias("cell")).select("a", "b", "cell.gid", "cell.slice_a", "cell.slice_b")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets themselves.
-
-    Each b is the centre of a star of partners; a large star is several, each with a copy of its centre.
-    """
+    """The pairs (a, b) whose sets are similar, by the sets themselves, compared in their cells."""
     pairs = keep(pairs, "pairs")
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("stars"))
-    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("stars")).cast("int").alias("star"))
-    roles = keep(dealt.select(F.col("a").alias("class"), "b", "star", F.lit(1).alias("role")).unionByName(dealt.select(F.col("b").alias("class"), "b", "star", F.lit(0).alias("role")).distinct()), "roles")
+    cell = ["gid", "slice_a", "slice_b"]
+    roles = keep(pairs.select(F.explode(F.array("a", "b")).alias("class"), *cell).distinct(), "roles")
     at = found.filter("n_shingles > 0").join(roles.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("named"))
     ids = small(at.filter("named > 0").select("doc_id").distinct(), SMALL_IDS)
     texts = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
@@ -333,27 +374,31 @@ def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
         raw = np.frombuffer(v.as_buffer(), dtype=np.uint8).reshape(-1, KEPT)
         out = np.zeros((len(raw), 8), dtype=np.uint8)
         out[:, :KEPT] = raw
-        return np.sort(out.view(np.uint64).ravel())
+        return np.unique(out.view(np.uint64).ravel())
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by star, the centre first; a set that several tasks made comes several times."""
-        centre, now, a, b = None, None, [], []
+        """Rows come sorted by cell, its sets before its pairs; a set that several tasks made comes several times."""
+        now, held, a, b = None, {}, [], []
         for part in parts:
-            for of, to, star, role, tokens in zip(*(part.column(c).to_pylist() for c in ("class", "b", "star", "role")), part.column("tokens")):
-                if role == 0:
-                    if now != (to, star):
-                        now, centre = (to, star), unpack(tokens)
+            for of, with_, *key, tokens in zip(*(part.column(c).to_pylist() for c in ("class", "b", *cell)), part.column("tokens")):
+                if key != now:
+                    now, held = key, {}
+                if with_ is None:
+                    if of not in held:
+                        held[of] = unpack(tokens)
                     continue
-                s = unpack(tokens)
-                both = len(np.intersect1d(s, centre))
-                if 100 * both >= PERCENT * (len(s) + len(centre) - both):
+                x, y = held[of], held[with_]
+                merged = np.sort(np.concatenate([x, y]), kind="stable")
+                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
                     a.append(of)
-                    b.append(to)
+                    b.append(with_)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
 
     sent = texts.mapInArrow(sets, "class long, tokens binary").join(small(roles, SMALL_IDS), "class")
-    in_order = sent.select("class", "b", "star", "role", "tokens").repartition("b", "star").sortWithinPartitions("b", "star", "role", "class")
+    rows = sent.select("class", F.lit(None).cast("long").alias("b"), *cell, "tokens").unionByName(pairs.select(F.col("a").alias("class"), "b", *cell, F.lit(None).cast("binary").alias("tokens")))
+    in_order = rows.repartition(*cell).sortWithinPartitions(*cell, F.col("b").isNotNull(), "class")
     return keep(in_order.mapInArrow(compare, "a long, b long").distinct(), "similar")
 
 
@@ -364,12 +409,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = found.filter("n_shingles >= 0")
     members = groups(docs, common_shingles(found))
     members = members.select("gid", F.explode(F.concat(F.transform("left", lambda c: F.struct(F.lit(0).alias("side"), c.alias("class"))), F.coalesce(F.transform("right", lambda c: F.struct(F.lit(1).alias("side"), c.alias("class"))), F.array().cast("array<struct<side:int,class:bigint>>")))).alias("m"))
-    one = sets.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    members = keep(members.select("gid", "m.side", "m.class").join(one, "class"), "members")
-    links = similar(candidates(members.withColumn("part", F.col("class")), every=False), docs, found)
+    sizes = sets.groupBy("class").agg(F.min("n_shingles").alias("n"))
+    members = keep(members.select("gid", "m.side", "m.class").join(sizes, "class"), "members")
+    bits = keep(sets.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("bits").alias("bits")), "bits")
+    links = similar(candidates(members.withColumn("part", F.col("class")), bits, every=False), docs, found)
     parts = components(links)
     again = members.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("part", F.coalesce("component", "class"))
-    more = similar(candidates(again, every=True), docs, found)
+    more = similar(candidates(again, bits, every=True), docs, found)
     parts = components(links.unionByName(more)).withColumnRenamed("id", "class")
     named = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))
     lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
