@@ -1,2 +1,96 @@
+"""Queries of layered layout: of the whole graph of tables where layers are joins, of views where they are drawn."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import layout, traversal
+from ..storage import numbered
+from .derived import table_graph, transitions
+from .graph_queries import TABLES
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+CONFIG = layout.LayoutConfig()
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+LAYERS = f"{TABLES}, te AS (SELECT DISTINCT caller AS src, callee AS dst FROM tc), w AS (SELECT DISTINCT src AS id, 0 AS layer FROM te UNION SELECT dst, layer + 1 FROM w JOIN te ON src = w.id), ly AS (SELECT id AS idx, max(layer)::INT AS layer FROM w GROUP BY 1)"
+
+
+def _layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = table_graph(spark, sf_dir).edges
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("idx")).distinct()
+    return edges, layout.layers(nodes, edges)
+
+
+@query(f"WITH RECURSIVE {LAYERS} SELECT idx, layer FROM ly")
+def dag_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layered(spark, sf_dir)[1]
+
+
+@query(f"WITH RECURSIVE {LAYERS} SELECT src, dst, unnest(range(u.layer, v.layer))::INT AS hop FROM te JOIN ly u ON u.idx = src JOIN ly v ON v.idx = dst")
+def dag_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.dummies(*_layered(spark, sf_dir)).select("src", "dst", "hop")
+
+
+@query(f"""WITH RECURSIVE {LAYERS}, k AS (SELECT idx, layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY layer) AS n FROM ly)
+SELECT idx, (layer * 4.0)::FLOAT AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::FLOAT AS y FROM k""")
+def dag_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, layer = _layered(spark, sf_dir)
+    placed = layout.coordinates(layout.initial_order(layout.vertices(layer, layout.dummies(edges.limit(0), layer))), CONFIG)
+    return placed.select(F.col("v.a").alias("idx"), "at.x", "at.y")
+
+
+def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    steps = transitions(spark, sf_dir)
+    nodes = numbered(steps.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), ["id"])
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("idx").alias(f"{end}_idx"))
+    edges = steps.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), F.col("dst_idx").alias("ord"))
+    return nodes, edges
+
+
+def _view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = table_graph(spark, sf_dir)
+    nodes, edges = traversal.dag(g.sites, g.functions.select("id"), "R0", 2)
+    return nodes, edges
+
+
+@query()
+def back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.back_edges(_transitions(spark, sf_dir)[1])
+
+
+@query()
+def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(*_transitions(spark, sf_dir))[0]
+
+
+@query()
+def layout_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(*_transitions(spark, sf_dir))[1]
+
+
+@query()
+def layout_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(*_view(spark, sf_dir))[1]
+
+
+@query()
+def layout_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.cells(layout.layout(*_transitions(spark, sf_dir))[1])
+
+
+@query()
+def layout_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.bounds(layout.layout(*_transitions(spark, sf_dir))[0], CONFIG)

@@ -1,2 +1,122 @@
+"""Queries of scalar functions, containment, messages and request streams over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids, text
+from ..operators import containment
+from ..sources import files, messages
+from ..streaming import ingest
+from .derived import table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part")
+def signature_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    signature = F.concat("p_type", F.lit(" *"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
+    return part.select("p_partkey", text.name_of_signature(signature).alias("name"))
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS base FROM pages")
+def basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"))
+
+
+@query("SELECT p_partkey, p_brand || '::' || p_name AS qualified, CASE WHEN length(p_brand || '::' || p_name) > 22 THEN left(p_brand || '::' || p_name, 21) || '…' ELSE p_brand || '::' || p_name END AS label FROM part")
+def qualified_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select("p_partkey", ids.qualified_name(F.col("p_brand"), F.col("p_name")).alias("qualified"))
+    return named.select("p_partkey", "qualified", text.node_label(F.col("qualified")).alias("label"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT e.event_id AS id, 'user_' || e.user_id AS file_path, ((e.props->>'$.k')::INT + 1)::INT AS line, 5::INT AS "column", 7::INT AS length FROM events e""")
+def reference_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to reference requests, one made of each event, parsed."""
+    e = table(spark, sf_dir, "events")
+    line = F.from_json("props", "k int")["k"]
+    place = lambda c: F.struct(line.alias("line"), F.lit(c).alias("character"))
+    result = F.array(F.struct(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("uri"), F.struct(place(4).alias("start"), place(11).alias("end")).alias("range")))
+    sent = e.select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("event_id").alias("id"), result.alias("result"))).alias("value"))
+    pending = e.select(F.col("event_id").alias("id"), F.lit(messages.REFERENCES[0]).alias("method"))
+    found = messages.locations(messages.answers(messages.envelopes(sent), pending, messages.REFERENCES))
+    return found.select("id", "location.*")
+
+
+@query("SELECT page_id, CASE regexp_extract(url, '\\.([^.]+)$', 1) WHEN 'c' THEN 'c' ELSE 'plaintext' END AS language FROM pages")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ids.language_of(F.col("url")).alias("language"))
+
+
+@query("SELECT count(*)::BIGINT AS loaded, 0::BIGINT AS failed FROM pages")
+def preload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.preload_counts(table(spark, sf_dir, "pages").select(F.col("url").alias("uri"), F.col("html").isNotNull().alias("ok")))
+
+
+@query("SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT regexp_extract(p_name, '^.(..)', 1) AS f FROM part) x WHERE contains(p.url, f) OR contains(f, p.url))")
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address has the second and third letter of a part's name in it."""
+    names = table(spark, sf_dir, "part").select(F.substring("p_name", 2, 2).alias("f")).distinct()
+    return containment.project_paths(table(spark, sf_dir, "pages").select("page_id", "url"), "url", names)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders),
+l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS k FROM lineitem),
+s AS (SELECT o_custkey AS file, [k] AS path, d AS a, d + 120 AS b, d AS oa, d + 120 AS ob, 'order ' || o_orderkey AS symbol FROM o
+  UNION ALL SELECT o_custkey, [o.k, l.k], l.d, l.d + 5, o.d, o.d + 120, 'line ' || o_orderkey || '/' || l.k FROM l JOIN o ON l_orderkey = o_orderkey),
+p AS (SELECT l_orderkey * 1000 + l.k AS pos_id, o_custkey AS file, l.d AS pd FROM l JOIN o ON l_orderkey = o_orderkey),
+h AS (SELECT pos_id, symbol, row_number() OVER (PARTITION BY pos_id ORDER BY list_append(path, 2147483647)) AS r FROM p JOIN s ON p.file = s.file AND pd BETWEEN a AND b AND pd BETWEEN oa AND ob)
+SELECT p.pos_id::BIGINT AS pos_id, symbol FROM p LEFT JOIN (SELECT * FROM h WHERE r = 1) h USING (pos_id)""")
+def containing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days lines were shipped, in the orders of the same customer: an order runs for 120 days, a line for five."""
+    day = lambda c: F.date_diff(F.to_date(c), F.lit("1995-01-01").cast("date"))
+    point = lambda d: F.struct(d.alias("line"), F.lit(0).alias("character"))
+    span = lambda d, n: F.struct(point(d).alias("start"), point(d + n).alias("end"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("od"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("ok"))
+    turn = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", day("l_shipdate").alias("d"), (F.row_number().over(turn) - 1).alias("k"))
+    both = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    order_range, file = span(F.col("od"), 120), F.col("o_custkey").cast("string").alias("file")
+    none = F.array().cast(f"array<{messages.RANGE}>")
+    key = F.col("o_orderkey").cast("string")
+    symbols = o.select(file, F.array("ok").alias("path"), order_range.alias("range"), none.alias("around"), F.concat(F.lit("order "), key).alias("symbol")).unionByName(
+        both.select(file, F.array("ok", "k").alias("path"), span(F.col("d"), 5).alias("range"), F.array(order_range).alias("around"), F.concat(F.lit("line "), key, F.lit("/"), F.col("k").cast("string")).alias("symbol")))
+    positions = both.select((F.col("l_orderkey") * 1000 + F.col("k")).alias("pos_id"), file, point(F.col("d")).alias("at"))
+    return containment.containing_symbol(positions, symbols)
+
+
+# Requests are views, answers the purchases of the same user.
+ASKED = "q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), a AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')"
+
+
+@query(f"WITH {ASKED} SELECT event_id AS request_id, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.user_id = q.user_id AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 1 HOUR) THEN 'Loaded' ELSE 'Failed' END AS state FROM q")
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that a purchase of their user follows within an hour."""
+    e = table(spark, sf_dir, "events")
+    asked = e.filter("event_type = 'view'").select(F.col("user_id").alias("request_id"), "ts", F.col("event_id").alias("symbol_id"))
+    got = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("request_id"), "ts")
+    found = ingest.outcomes(asked, got, timeout="1 hour")
+    return found.groupBy(F.col("symbol_id").alias("request_id")).agg(F.max("state").alias("state"))
+
+
+@query("SELECT user_id AS symbol_id, arg_max(event_type, (ts, event_type)) AS state FROM events GROUP BY 1")
+def symbol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.states(table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol_id"), "ts", F.col("event_type").alias("state")))
