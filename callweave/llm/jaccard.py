@@ -38,13 +38,13 @@ SHINGLE, PERCENT = 5, 80
 #: A shingle is common if so many sets have it; so many of the most common ones are known to all tasks at most.
 COMMON, MOST_COMMON = 100, 1_000_000
 #: Shingles of a task that are counted together, and texts that are split together.
-TOGETHER, SOME = 4_000_000, 2048
+TOGETHER, SOME = 1_500_000, 512
 #: Bytes of a shingle's hash that are compared, and shingles from which on a group's sets are dealt to several cells.
 KEPT, CELL = 5, 4_000_000
-#: Fewest bits of a signature (it has two for each member of the set at least), members of a tree's block, children of a node.
-BITS, BLOCK, FAN = 1024, 1024, 16
+#: Fewest bits of a signature (it has one for each member of the set at least), members of a tree's block, children of a node.
+BITS, BLOCK, FAN = 512, 512, 8
 #: Bytes of signatures that are compared at once.
-AT_ONCE = 1 << 25
+AT_ONCE = 1 << 23
 #: Broadcast up to so many ids.
 SMALL_IDS = 1_000_000
 
@@ -77,7 +77,7 @@ def class_of(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """A power of two of bits, so many that unrelated sets of this size differ in enough of them; a longer one folds into a shorter one."""
-    size = max(BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(s))))))
+    size = max(BITS, 1 << int(np.ceil(np.log2(max(1, len(s))))))
     bits = np.zeros(size, dtype=bool)
     bits[(s >> np.uint64(17)) % np.uint64(size)] = True
     return np.packbits(bits, bitorder="little").tobytes()
