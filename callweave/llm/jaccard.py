@@ -41,8 +41,10 @@ COMMON, MOST_COMMON = 100, 1_000_000
 TOGETHER, SOME = 1_500_000, 512
 #: Bytes of a shingle's hash that are compared, and shingles from which on a group's sets are dealt to several cells.
 KEPT, CELL = 5, 4_000_000
-#: Fewest bits of a signature (it has one for each member of the set at least), members of a tree's block, children of a node.
-BITS, BLOCK, FAN = 512, 512, 8
+#: Fewest bits of a signature (it has two for each member of the set at least), members of a tree's block, children of a node.
+BITS, BLOCK, FAN = 1024, 512, 8
+#: Estimated similarity, in percent, from which on a pair is compared in the first turn; all others that count wait for the second.
+LIKELY = 74
 #: Bytes of signatures that are compared at once.
 AT_ONCE = 1 << 23
 #: Broadcast up to so many ids.
@@ -77,7 +79,7 @@ def class_of(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """A power of two of bits, so many that unrelated sets of this size differ in enough of them; a longer one folds into a shorter one."""
-    size = max(BITS, 1 << int(np.ceil(np.log2(max(1, len(s))))))
+    size = max(BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(s))))))
     bits = np.zeros(size, dtype=bool)
     bits[(s >> np.uint64(17)) % np.uint64(size)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -93,6 +95,13 @@ def hidden_tokens(raws: list[bytes], n: np.ndarray) -> np.ndarray:
     return n - np.array([int.from_bytes(r, "little").bit_count() for r in raws], dtype=np.int64)
 
 
+def estimate(shared: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Similarity by bitmaps, as shares of bits: what a and b have in common beyond chance."""
+    chance = a * b
+    overlap = np.minimum(na, nb) * np.clip((shared - chance) / np.maximum(1e-9, np.minimum(a, b) - chance), 0, 1)
+    return overlap / (na + nb - overlap)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
@@ -216,6 +225,7 @@ class Tree:
     def __init__(self, n: np.ndarray, bits: np.ndarray, part: np.ndarray, hidden: np.ndarray):
         order = np.lexsort((part, n))
         n, bits, part, hidden = n[order], bits[order], part[order], hidden[order]
+        self.fill = np.bitwise_count(bits).sum(axis=1) / (64 * bits.shape[1])
         self.order, self.levels = order, [(n, n, hidden, bits, part, np.ones(len(n), dtype=bool))]
         while len(self.levels[-1][0]) > FAN:
             low, high, hidden, bits, part, one = self.levels[-1]
@@ -225,7 +235,7 @@ class Tree:
 
 
 def traverse(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of members (numbers in a and in b) that similarity isn't ruled out for, and their largest possible overlap by the needed one; same: a is b, each pair once."""
+    """Pairs of members (numbers in a and in b) that similarity isn't ruled out for, and its estimate; same: a is b, each pair once."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[la][0])), np.arange(len(b.levels[lb][0])), indexing="ij"))
     most = max(16, AT_ONCE // (8 * a.levels[0][3].shape[1]))
@@ -239,12 +249,13 @@ def traverse(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray, np.n
             ok = ~(one[x] & one2[y] & (part[x] == part2[y]))
             ok &= np.minimum(hi[x], hi2[y]) >= needed(lo[x], lo2[y])
             x, y = x[ok], y[ok]
-            overlap = np.bitwise_count(bits[x] & bits2[y]).sum(axis=1) + np.minimum(hid[x], hid2[y])
-            least = needed(lo[x], lo2[y])
-            ok = overlap >= least
-            keep_i.append(x[ok])
-            keep_j.append(y[ok])
-            score.append(overlap[ok] / np.maximum(1, least[ok]))
+            shared = np.bitwise_count(bits[x] & bits2[y]).sum(axis=1)
+            ok = shared + np.minimum(hid[x], hid2[y]) >= needed(lo[x], lo2[y])
+            x, y, shared = x[ok], y[ok], shared[ok]
+            keep_i.append(x)
+            keep_j.append(y)
+            if la == 0 and lb == 0:
+                score.append(estimate(shared / (64 * bits.shape[1]), a.fill[x], b.fill[y], lo[x], lo2[y]))
         i, j = np.concatenate(keep_i) if keep_i else i, np.concatenate(keep_j) if keep_j else j
         if la == 0 and lb == 0:
             score = np.concatenate(score)
@@ -278,7 +289,7 @@ def picked(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
 def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
     """members(gid, side, class, n, part), bits(class, bits) -> pairs (a, b) of different parts that the trees leave, and the cell (gid, slice_a, slice_b) to compare them in.
 
-    every: all of them; else for each class its smallest partner and its best one only.
+    every: all of them; else for each class its smallest partner and its best one only, of those that are likely similar.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +326,12 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
         for size_of in np.unique(wide):
             for block in np.array_split(two[wide == size_of], 1 + int(size_of) * int((wide == size_of).sum()) // AT_ONCE):
                 shared = unfolded([raws[i] for i in block], size_of) & unfolded([raws[i + 1] for i in block], size_of)
-                overlap = np.bitwise_count(shared).sum(axis=1) + np.minimum(hidden[block], hidden[block + 1])
-                least = needed(n[block], n[block + 1])
-                ok = overlap >= least
-                send(block[ok], block[ok] + 1, overlap[ok] / np.maximum(1, least[ok]), 2, 1)
+                shared = np.bitwise_count(shared).sum(axis=1)
+                fill, fill_too = ((n[i] - hidden[i]) / (8 * width[i]) for i in (block, block + 1))
+                score = estimate(shared / (8 * size_of), fill, fill_too, n[block], n[block + 1])
+                ok = shared + np.minimum(hidden[block], hidden[block + 1]) >= needed(n[block], n[block + 1])
+                ok &= every | (score >= LIKELY / 100)
+                send(block[ok], block[ok] + 1, score[ok], 2, 1)
         for at, k in zip(starts[size > 2], size[size > 2]):
             own = slice(at, at + k)
             left = np.flatnonzero(side[own] == 0) + at
@@ -328,6 +341,7 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
             i, j, score = traverse(first, second, False) if len(right) else traverse(first, first, True)
             i, j = left[i], (right if len(right) else left)[j]
             apart = part[i] != part[j]
+            apart &= every | (score >= LIKELY / 100)
             i, j, score = i[apart], j[apart], score[apart]
             if not every and len(i):
                 some = picked(np.maximum(of[i], of[j]), np.minimum(of[i], of[j]), score)
