@@ -96,8 +96,8 @@ def test_decontamination_and_repeats_on_odd_documents(spark):
 
 def test_mixing_repeats_itself_and_keeps_to_its_bounds(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first, again = (sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "taken").collect())) for _ in range(2))
-    assert first == again and all(taken <= 2 * size for _, size, taken in first)
+    first, again = (sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "copies").collect())) for _ in range(2))
+    assert first == again and all(0 <= copies <= 2 for _, _, copies in first)
 
 
 @pytest.mark.parametrize(("module", "label", "cut"), [(toxicity, "toxic", 0.5), (quality, "quality", 0.3)])
