@@ -2,13 +2,13 @@
 
 Vectors of one label are compared. Equal vectors are one class, which is compared once. Spherical
 k-means, fitted to a bounded sample of each label, gives each vector its home cell. Two unit vectors
-of cosine c are at most sqrt(2 - 2c) apart, so that a vector can link with one at home in another cell
-only if it is that near to the plane between both centres. It visits these cells, if it is within
-`MARGIN` of the plane: the way from a vector to its duplicate is hardly ever along the plane's normal,
-so that few links are lost (tests measure recall against brute force; a margin of 1 loses none and
-compares far more). Cells are multiplied in blocks; each block tells how many links a vector has and
-joins the linked ones, and the pieces are put together by connected components. One representative of
-each component, its smallest id, is kept.
+of cosine c are at most sqrt(2 - 2c) apart. If they are at home in two cells, the plane between both
+centres lies between them, so that their distances from it add up to no more than that and one of the
+two is within half of it. A vector visits the cells whose planes are that near, and each link is found
+where one of its ends is at home: none is lost. Two visitors of a cell needn't be compared there.
+Cells are multiplied in blocks; each block tells how many links a vector has and joins the linked
+ones, and the pieces are put together by connected components. One representative of each component,
+its smallest id, is kept.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those
 without label or id, link with nothing; vectors of different lengths neither; rows that repeat an id
@@ -28,8 +28,6 @@ from .components import Forest, components
 #: Vectors of a label in the sample, and for each cell; vectors of a task's group and of a block.
 SAMPLE, CELL, GROUP, BLOCK = 4_096, 256, 20_000, 2_048
 MAX_CELLS = SAMPLE // 16
-#: Distance from the plane between two centres up to which a vector visits the other cell.
-MARGIN = 0.1
 
 
 def units(values) -> np.ndarray:
@@ -78,7 +76,8 @@ def cells(reps: DataFrame, threshold: float) -> DataFrame:
     centres = keep(sample.groupBy("label", "dim").applyInPandas(fit, f"label {label}, dim int, centres binary, groups int"), "centres")
     dealt = reps.join(centres.select("label", "dim", "groups"), ["label", "dim"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
     to = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    reach = min(MARGIN, float(np.sqrt(2 - 2 * threshold)) + 1e-9)
+    # Of two linked vectors on both sides of a plane the nearer one is at most half their distance from it.
+    reach = float(np.sqrt(2 - 2 * threshold)) / 2 + 1e-9
     columns = ["label", "dim", "cell", "home", "visits", "id", "n", "embedding"]
 
     def assign(rows: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
@@ -122,19 +121,21 @@ def links(placed: DataFrame, threshold: float) -> DataFrame:
             """Whether x counts its link with y here: at home, or where y is at home that doesn't visit the home of x."""
             return own[x][:, None] | (own[y][None, :] & ~visits[np.ix_(y, home[x])].T)
 
-        for at in range(0, len(rows), 512):
-            some = rows[at : at + 512]
-            near = v[some] @ v[cols].T >= threshold
-            near[some[:, None] == cols[None, :]] = False
-            count[some] += (near & counts(some, cols)) @ n[cols]
-            if first != last:
-                count[cols] += (near.T & counts(cols, some)) @ n[some]
-            for i, line in zip(some, near):
-                found = cols[line]
-                if len(found):
-                    # Only ids that aren't yet together are joined.
-                    for r in np.unique(forest.up[found]):
-                        forest.join(int(i), int(r))
+        # Two visitors meet where one of them is at home.
+        for left, right in ((rows[own[rows]], cols), (rows[~own[rows]], cols[own[cols]])):
+            for at in range(0, len(left), 512):
+                some = left[at : at + 512]
+                near = v[some] @ v[right].T >= threshold
+                near[some[:, None] == right[None, :]] = False
+                count[some] += (near & counts(some, right)) @ n[right]
+                if first != last:
+                    count[right] += (near.T & counts(right, some)) @ n[some]
+                for i, line in zip(some, near):
+                    found = right[line]
+                    if len(found):
+                        # Only ids that aren't yet together are joined.
+                        for r in np.unique(forest.up[found]):
+                            forest.join(int(i), int(r))
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"id": ids, "links": count, "root": ids[forest.roots()]})
 

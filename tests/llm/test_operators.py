@@ -80,6 +80,20 @@ def test_embeddings_with_bad_vectors(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in range(3, 9)}}
 
 
+def test_embeddings_of_one_wide_label_equal_brute_force(spark):
+    """A low-rank cloud that k-means cuts along its widest axes into many cells."""
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(6000, 64)) / np.arange(1, 65) ** 1.75).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    low = np.arange(len(u))
+    while (nxt := np.minimum(low, np.where(near, low[None, :], len(u)).min(axis=1))).tolist() != low.tolist():
+        low = nxt
+    assert got == {i: (int(near[i].sum()), int(low[i])) for i in range(len(u))}
+
+
 def test_personal_data(spark):
     docs = spark.createDataFrame([(1, "é mail a.b@c.example.org now, ip 10.0.0.255 or 300.1.1.1"), (2, "card 4111 1111 1111 1111 or 4111 1111 1111 1112 call +49 (30) 1234-567"), (3, None), (4, "")], DOCS)
     got = {r.doc_id: tuple(len(r[k]) for k in ("email", "ip", "card", "phone")) for r in pii.find_personal_data(docs).collect()}
