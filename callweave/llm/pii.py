@@ -5,8 +5,9 @@ strongly a term reveals an entity: with documents as events, a term t in the con
 (so many words on both sides) discloses it as far as its pointwise mutual information nears the
 information content of c, which is reached if t never occurs without c. In documents that hold the
 entity, terms beyond the higher threshold are removed and those beyond the lower one generalised.
-A term must stand in several different contexts of an entity, so that copies of one text prove
-nothing.
+A term must stand in two different contexts of an entity, in documents that aren't copies of each
+other (their texts differ in more than case): one text, however often it is copied, proves nothing.
+All else is left to the thresholds.
 
 Defined cases: a null text is empty; whole texts are read; a match that fails its check is dropped
 and not tried again; terms that overlap a base span are left to it; repeated rows are returned each
@@ -27,8 +28,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Words of context on each side, characters searched for them, and different contexts that prove a disclosure.
-CONTEXT_WORDS, CONTEXT_CHARS, MIN_CONTEXTS = 6, 120, 4
+#: Words of context on each side, and characters searched for them.
+CONTEXT_WORDS, CONTEXT_CHARS = 6, 120
 #: Shares of an entity's information content that a term must carry to be removed, and to be generalised.
 REMOVE, GENERALISE = 1.0, 0.9
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'-]{2,}"
@@ -97,12 +98,16 @@ def terms_of(docs: DataFrame) -> DataFrame:
 
 def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, action) of the terms that reveal an entity."""
-    near = found.filter("n_spans > 0").select("doc", F.explode("near").alias("x")).select("doc", "x.entity", "x.context")
-    terms = near.select("doc", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = terms.groupBy("entity", "term", "doc", "c").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.approx_count_distinct("c", 0.02).alias("contexts"), F.count_distinct("doc").alias("n_tc"))
+    near = found.filter("n_spans > 0").select("doc", F.xxhash64(F.lower("text")).alias("copy"), F.explode("near").alias("x")).select("doc", "copy", "x.entity", "x.context")
+    terms = near.select("doc", "copy", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
+    by_doc = terms.groupBy("entity", "term", "doc", "copy").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    pairs = by_doc.groupBy("entity", "term").agg(
+        F.count("*").alias("n_tc"), (F.min("low") < F.max("high")).alias("contexts"), (F.min("copy") < F.max("copy")).alias("texts"))
+    # Two contexts and two texts: some two places then differ in both.
+    pairs = pairs.filter("contexts and texts").select("entity", "term", "n_tc")
     n_c = near.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     n = docs.agg(F.count_distinct("doc").alias("n"))
-    pairs = pairs.filter(F.col("contexts") >= MIN_CONTEXTS).join(n_c, "entity").join(F.broadcast(n), how="cross")  # n is one row
+    pairs = pairs.join(n_c, "entity").join(F.broadcast(n), how="cross")  # n is one row
     content = F.log(F.col("n") / F.col("n_c"))
     # A term in more of the documents with entities than this can't reveal that one, whatever the rest of the corpus holds.
     most = F.col("n_tc") / F.exp((GENERALISE - 1) * content) + 1e-6

@@ -100,6 +100,21 @@ def test_personal_data(spark):
     assert got == {1: (1, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
 
 
+def test_terms_that_reveal_personal_data(spark):
+    texts = [
+        "please write to a@b.org about zephyrine and the umbrage soon", "the zephyrine umbrage office answers under a@b.org every day",
+        "one umbrage more without any address",
+        "copied text gives c@d.org and quixotry today", "copied text gives c@d.org and quixotry today", "Copied text gives c@d.org and quixotry today",
+        "first e@f.org with perigee here and then once more perigee at e@f.org again",
+    ] + ["please write to the office about any address and answers under copied text every day soon"] * 193
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: {(t.value, t.action) for t in r.terms} for r in pii.find_personal_data(docs).filter("size(terms) > 0").collect()}
+    both = {("zephyrine", "remove"), ("umbrage", "generalise")}
+    assert got == {0: both, 1: both}
+    clean = {r.doc_id: r.clean for r in pii.sanitise(pii.find_personal_data(docs)).collect()}
+    assert clean[0] == "please write to [email] about  and the [term] soon" and clean[3] == "copied text gives [email] and quixotry today"
+
+
 def test_decontamination_and_repeats_on_odd_documents(spark):
     bench = spark.createDataFrame([(1, " ".join(words_of(12, 100))), (2, "x"), (3, None)], "item_id long, text string")
     found = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(odd_documents(spark).filter("doc_id is not null"), bench).collect()}
