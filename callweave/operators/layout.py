@@ -1,9 +1,9 @@
 """Layered layout of an extracted graph: nodes(idx), edges(src, dst, ord) -> positions and orthogonal edge paths.
 
-Layers, dummies, coordinates and routes are joins and windows over layers. Two steps can't be: which
-edges go back (a depth-first walk) and the order within layers (sweeps over layers); each runs
-in one task for a view. A view is what a reader looks at, capped by depth
-or number: one with more than MAX_VIEW edges raises. Edges that repeat a pair are laid out once.
+Layers, dummies, coordinates and routes are joins and windows over layers; a sweep that orders layers
+is a job for each layer. Which edges go back is told by a depth-first walk, which depends on all that
+it saw before: it runs in one task, over what is left when nodes that lead to no cycle are peeled off
+by joins, which is nothing in a graph without cycles. Edges that repeat a pair are laid out once.
 Positions are floats, and are top-left corners of nodes.
 """
 
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from ..storage import keep, numbered
 
-#: Edges of a view.
-MAX_VIEW = 200_000
 POINT = "struct<x:float,y:float>"
 SEGMENT = f"struct<from:{POINT},to:{POINT},type:string>"
 
@@ -70,8 +68,15 @@ def back_edges(edges: DataFrame) -> DataFrame:
                     todo.append((nxt, iter(below.get(nxt, []))))
         return rows.assign(back=[(s, d) in back for s, d in zip(rows["src"], rows["dst"])])[["src", "dst", "back"]]
 
-    one_way = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord"))
-    return one_way.groupBy(F.lit("view")).applyInPandas(walk, "src long, dst long, back boolean")
+    one_way = keep(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")))
+    core, left, before = one_way, one_way.count(), None
+    # An edge to a node without successors goes nowhere back, and the walk is the same without it. Nodes
+    # without predecessors must stay: where the walk enters a cycle decides which of its edges goes back.
+    while left and left != before:
+        core = keep(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "ord"))
+        left, before = core.count(), left
+    walked = core.groupBy(F.lit("view")).applyInPandas(walk, "src long, dst long, back boolean")
+    return one_way.select("src", "dst").join(walked, ["src", "dst"], "left").select("src", "dst", F.coalesce("back", F.lit(False)).alias("back"))
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,31 +126,24 @@ def initial_order(points: DataFrame) -> DataFrame:
 
 
 def order_layers(points: DataFrame, hops: DataFrame, passes: int) -> DataFrame:
-    """(v, pos): positions within layers after so many sweeps down and up, each by the mean position of neighbours."""
-    names = ["layer", "a", "b"]
-
-    def sweep(points: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values(["layer", "pos"], ignore_index=True)
-        number = points[names].assign(k=points.index)
-        links = {side: steps[[f"{side}_{c}" for c in names]].set_axis(names, axis=1).merge(number, how="left", on=names)["k"].to_numpy() for side in ("from", "to")}
-        depth = int(points["layer"].max()) + 1
-        for _ in range(passes if depth > 1 else 0):
-            for around, own, order in (("from", "to", range(1, depth)), ("to", "from", range(depth - 2, -1, -1))):
-                for at in order:
-                    here = points[points["layer"] == at].sort_values("pos", kind="stable")
-                    near = pd.DataFrame({"own": links[own], "of": links[around]})
-                    near = near[near["own"].isin(here.index)]
-                    mean = points["pos"].reindex(near["of"]).groupby(near["own"].to_numpy()).mean()
-                    wanted = mean.reindex(here.index).fillna(here["pos"]).sort_values(kind="stable")
-                    points.loc[wanted.index, "pos"] = range(len(wanted))
-        return points[[*names, "pos"]]
-
-    def flat(prefix: str) -> list[Column]:
-        return [F.col(f"{prefix}.{c}").alias(f"{prefix}_{c}") for c in names]
-
-    placed = initial_order(points).select("v.*", "pos").groupBy(F.lit("view"))
-    swept = placed.cogroup(hops.select(*flat("from"), *flat("to")).groupBy(F.lit("view"))).applyInPandas(sweep, "layer int, a long, b long, pos long")
-    return swept.select(F.struct(*names).alias("v"), "pos")
+    """(v, pos): positions within layers after so many sweeps down and up, each by the mean position of neighbours; a job for each layer."""
+    placed = keep(initial_order(points))
+    depth = (placed.agg(F.max("v.layer")).first()[0] or 0) + 1
+    if not passes or depth == 1:
+        return placed
+    hops = keep(hops.select("from", "to"))
+    now = {at: placed.filter(F.col("v.layer") == at) for at in range(depth)}
+    for _ in range(passes):
+        for around, own, order, step in (("from", "to", range(1, depth), -1), ("to", "from", range(depth - 2, -1, -1), 1)):
+            for at in order:
+                near = now[at + step].select(F.col("v").alias(around), F.col("pos").alias("of"))
+                mean = hops.filter(F.col(f"{own}.layer") == at).join(near, around).groupBy(F.col(own).alias("v")).agg(F.avg("of").alias("mean"))
+                wanted = now[at].join(mean, "v", "left").select("v", F.coalesce("mean", "pos").alias("wanted"), "pos")
+                now[at] = keep(numbered(wanted, ["wanted", "pos"], "k").select("v", F.col("k").alias("pos")))
+    swept = now[0]
+    for at in range(1, depth):
+        swept = swept.unionByName(now[at])
+    return swept
 
 
 def point(x: Column, y: Column) -> Column:
@@ -239,8 +237,6 @@ def layout(nodes: DataFrame, edges: DataFrame, config: LayoutConfig | None = Non
     config = config or LayoutConfig()
     if nodes.isEmpty():
         raise LayoutError("there is nothing to lay out")
-    if edges.limit(MAX_VIEW + 1).count() > MAX_VIEW:
-        raise LayoutError(f"a view has at most {MAX_VIEW} edges: take a smaller depth")
     known = keep(back_edges(edges))
     forward = known.filter("not back").select("src", "dst")
     layer = layers(nodes, forward)
