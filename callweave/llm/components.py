@@ -33,7 +33,7 @@ class Forest:
         return self.up
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> (id, component): the smallest id of its component, for every id that has an edge to another.
 
     Each round makes all neighbours of a node point to the smallest of them, first the larger ones,
@@ -41,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     id. Only minima are gathered, so that a hub needs no more room than other nodes.
     """
     star = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    for _ in range(rounds):
+    while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

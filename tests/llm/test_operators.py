@@ -7,7 +7,7 @@ import pytest
 from conftest import SF, compare
 from pyspark.sql import functions as F
 
-from callweave.llm import decontaminate, embed_dedup, jaccard, mixing, pii, quality, queries, substring, toxicity
+from callweave.llm import components, decontaminate, embed_dedup, jaccard, mixing, pii, quality, queries, substring, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -61,6 +61,13 @@ def test_jaccard_equals_brute_force_near_the_threshold(spark):
     assert got == dict(enumerate(low))
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(components, "range", lambda n: (0,), raising=False)  # a bound of one round
+    path = [7, 2, 9, 4, 11, 1, 8, 5, 10, 3, 6, 0]
+    edges = spark.createDataFrame(list(itertools.pairwise(path)), "a long, b long")
+    assert {(r.id, r.component) for r in components.components(edges).collect()} == {(i, 0) for i in path}
+
+
 def test_embeddings_equal_brute_force(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries.QUERIES["op5_embed_dedup"](spark, SF).collect()}
     rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
