@@ -63,6 +63,40 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes to the shared folder on its way; those that nothing reads any more are dropped."""
+
+    #: Bytes of an Arrow batch that a Python worker gets while a table is written.
+    BATCH, SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, written and read again; a table of that name is forgotten, not overwritten."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        before = self.spark.conf.get(self.SETTING, None)
+        self.spark.conf.set(self.SETTING, self.BATCH)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.SETTING, before) if before else self.spark.conf.unset(self.SETTING)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def any(self, df: DataFrame) -> bool:
+        return not df.isEmpty()
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names; what was made of them has to be written by now."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            for path in self.paths.pop(name, []):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(doc_id, text, y) of at most max_rows labelled documents, those with the smallest hashed ids; held-out ids are never among them."""
     chosen = (

@@ -8,11 +8,17 @@ each group a signature tree holds bitmaps: a node has the OR of the bitmaps belo
 sizes and what collisions hide at most. Two nodes are descended together and left as soon as the
 largest possible overlap, or that both are one component already, rules them out.
 
+A shingle that more sets have than fit a block is common to several blocks. At first the members of each
+block are compared with each other and with the first block of the shingle: as many pairs of blocks as
+there are blocks. Sets that are one component by then need no comparing among each other, so that the
+second turn deals the sets of such a shingle to blocks anew, in order of components, and leaves out
+whatever lies in one component.
+
 What is left is compared set by set in two turns: first each set with its smallest partner and with
 the one that its bitmap is most like, which joins groups of near copies of any size by about as many
-links as they have members, then every pair of different components that the trees leave. The sets of
-a group travel to it once for all its pairs, in cells of bounded size where a group's sets are long.
-Sets are compared by 40 bits of each hash.
+links as they have members, then every pair of different components that the trees leave. Pairs that
+hang together are compared in one cell, so that a set travels once for all its pairs; where too many
+hang together, in the cells of the trees that left them. Sets are compared by all 64 bits of each hash.
 
 Defined cases: null and blank texts have an empty set and link with nothing; fewer than five words
 are one shingle; texts are read whole; a null doc_id takes part but names no component, unless all of
@@ -31,16 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small, table
+from .common import Scratch, small, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle is common if so many sets have it; so many of the most common ones are known to all tasks at most.
 COMMON, MOST_COMMON = 100, 1_000_000
 #: Shingles of a task that are counted together, and texts that are split together.
-TOGETHER, SOME = 1_500_000, 512
-#: Bytes of a shingle's hash that are compared, and shingles from which on a group's sets are dealt to several cells.
-KEPT, CELL = 5, 4_000_000
+TOGETHER, SOME = 1_000_000, 256
+#: Shingles from which on sets that hang together are dealt to several cells.
+CELL = 2_000_000
+#: Sets with a common shingle are dealt to tasks, so many to each.
+DEALT = 4_096
 #: Fewest bits of a signature (it has two for each member of the set at least), members of a tree's block, children of a node.
 BITS, BLOCK, FAN = 1024, 512, 8
 #: Estimated similarity, in percent, from which on a pair is compared in the first turn; all others that count wait for the second.
@@ -73,6 +81,13 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), seed=b - a)] if b > a else [], dtype=np.uint64)
 
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few texts each."""
+    for part in parts:
+        for at in range(0, part.num_rows, SOME):
+            yield part.slice(at, SOME)
+
+
 def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -117,7 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             often = counts >= 3
             return batch([None], [-1], [0], [b""], [tokens[often].astype(np.int64)], [counts[often]])
 
-        for part in parts:
+        for part in slices(parts):
             sets = list(shingle_sets(part.column("text")))
             of = [class_of(s) for s in sets]
             yield batch(part.column("doc_id"), [len(s) for s in sets], of, [bitmap(s) for s in sets], [None] * len(sets), [None] * len(sets))
@@ -140,78 +155,137 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary, tokens array<long>, counts array<long>")
 
 
-def common_shingles(found: DataFrame) -> np.ndarray:
-    """The shingles that come last, sorted: a bounded number, the most common ones."""
+def common_shingles(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come last, sorted, and about how many sets have them: a bounded number, the most common ones."""
     rows = found.filter("n_shingles = -1").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     sums = rows.groupBy("x.tokens").agg(F.sum("x.counts").alias("n")).filter(F.col("n") >= COMMON)
-    return np.sort(sums.orderBy(F.desc("n"), "tokens").limit(MOST_COMMON).select("tokens").toPandas()["tokens"].to_numpy(dtype=np.int64)).astype(np.uint64)
+    told = sums.orderBy(F.desc("n"), "tokens").limit(MOST_COMMON).toPandas()
+    tokens = told["tokens"].to_numpy(dtype=np.int64).astype(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], told["n"].to_numpy(dtype=np.int64)[order]
+
+
+BLOCKS = "token long, salt int, block int, many boolean, gid long, low long, high long, members array<long>"
+
 
+def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the classes of a token and salt; rows come sorted by token, salt, part (if there is one) and class.
+
+    many: the token has other blocks, or may have them in other tasks (a salt of 0 or more); low, high: the range of parts.
+    """
+
+    def rows(out: list) -> pa.RecordBatch:
+        ids = [xxhash.xxh64_intdigest(m.tobytes()) - (1 << 63) for *_, m, _ in out]
+        ends = [(int(p.min()), int(p.max())) for *_, p in out]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        columns = ([r[0] for r in out], [r[1] for r in out], [r[2] for r in out], [r[3] for r in out], ids, [e[0] for e in ends], [e[1] for e in ends], [r[4] for r in out])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["token", "salt", "block", "many", "gid", "low", "high", "members"])
+
+    def pair_rows(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> pa.RecordBatch:
+        n, first, last = len(a), np.minimum(a, b), np.maximum(a, b)
+        gid = ((first * np.int64(-7046029254386353131)) ^ (last + (first >> np.int64(29)))) * np.int64(-3335678366873096957)
+        both = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(np.stack([first, last], axis=1).ravel()))
+        none = pa.array(np.full(n, -1, dtype=np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tokens), none, pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=bool)), pa.array(gid), pa.array(np.minimum(pa_, pb)), pa.array(np.maximum(pa_, pb)), both],
+            ["token", "salt", "block", "many", "gid", "low", "high", "members"])
+
+    now, block = None, 0
+    empty = np.empty(0, dtype=np.int64)
+    members = held = empty
+    for batch in parts:
+        t, salt, c = (batch.column(k).to_numpy() for k in ("token", "salt", "class"))
+        part = batch.column("part").to_numpy() if "part" in batch.schema.names else c
+        if not len(t):
+            continue
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])])
+        fresh = np.concatenate([[True], new[1:] | (c[1:] != c[:-1])])
+        t, salt, c, part, new = t[fresh], salt[fresh], c[fresh], part[fresh], new[fresh]
+        starts = np.flatnonzero(new)
+        stops = np.append(starts[1:], len(t))
+        inner = np.zeros(len(starts), dtype=bool)
+        inner[1:-1] = ((stops - starts)[1:-1] <= 2) & (salt[starts][1:-1] < 0)  # the first and last token may go on in another batch
+        two = starts[inner & (stops - starts == 2)]
+        if len(two):
+            yield pair_rows(t[two], c[two], c[two + 1], part[two], part[two + 1])
+        out = []
+        for a, b in zip(starts[~inner].tolist(), stops[~inner].tolist()):
+            key = (int(t[a]), int(salt[a]))
+            if key != now:
+                if now is not None and (block or len(members) > 1 or now[1] >= 0):
+                    out.append((*now, block, block > 0 or now[1] >= 0, members, held))
+                now, block, members, held = key, 0, empty, empty
+            from_ = a + (len(members) > 0 and c[a] == members[-1])
+            members, held = np.concatenate([members, c[from_:b]]), np.concatenate([held, part[from_:b]])
+            while len(members) > BLOCK:
+                out.append((*now, block, True, members[:BLOCK], held[:BLOCK]))
+                block, members, held = block + 1, members[BLOCK:], held[BLOCK:]
+        if out:
+            yield rows(out)
+    if now is not None and len(members) and (block or len(members) > 1 or now[1] >= 0):
+        yield rows([(*now, block, block > 0 or now[1] >= 0, members, held)])
 
-def groups(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(gid, left, right): classes that share a shingle of their prefixes; right is null if left is compared with itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
+
+def token_blocks(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """BLOCKS of the classes that share a shingle of their prefixes."""
+    shared = docs.sparkSession.sparkContext.broadcast((common[0], (1 + common[1] // DEALT).astype(np.int64)))
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late_ones, salts = shared.value
         seen = set()
-        for part in parts:
-            tokens, of = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+        for part in slices(parts):
+            tokens, of, salt = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int32)]
             for s in shingle_sets(part.column("text")):
                 c = class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    late = np.isin(s, shared.value, assume_unique=True)
-                    tokens.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s))])
+                    at = np.minimum(np.searchsorted(late_ones, s), max(0, len(late_ones) - 1))
+                    late = late_ones[at] == s if len(late_ones) else np.zeros(len(s), dtype=bool)
+                    first = s[~late]
+                    k = prefix_length(len(s))
+                    dealt = salts[at[late]] if len(late_ones) else np.empty(0, dtype=np.int64)
+                    tokens.append(np.concatenate([first, s[late]])[:k])
+                    salt.append(np.concatenate([np.full(len(first), -1), np.where(dealt > 1, c % np.maximum(dealt, 1), -1)])[:k].astype(np.int32))
                     of.append(np.full(len(tokens[-1]), c, dtype=np.int64))
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "class": np.concatenate(of)})
-
-    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token and class; a token's classes go out in blocks as soon as one is full."""
-        token, block, members = None, 0, np.empty(0, dtype=np.int64)
-        for part in parts:
-            t, c = part.column("token").to_numpy(), part.column("class").to_numpy()
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-            t, c = t[new], c[new]
-            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, dtype=int)
-            out, stops = [], np.append(starts[1:], len(t))
-            inner = np.zeros(len(starts), dtype=bool)
-            inner[1:-1] = (stops - starts)[1:-1] <= 2  # the first and last token may go on in another batch
-            two = starts[inner & (stops - starts == 2)]
-            if len(two):
-                yield pair_rows(t[two], c[two], c[two + 1])
-            for a, b in zip(starts[~inner], stops[~inner]):
-                if t[a] != token:
-                    if token is not None and (block or len(members) > 1):
-                        out.append((token, block, bool(block), members))
-                    token, block, members = int(t[a]), 0, np.empty(0, dtype=np.int64)
-                fresh = c[a:b] if not len(members) or c[a] != members[-1] else c[a + 1 : b]
-                members = np.concatenate([members, fresh]) if len(members) else fresh
-                while len(members) > BLOCK:
-                    out.append((token, block, True, members[:BLOCK]))
-                    block, members = block + 1, members[BLOCK:]
-            yield rows(out)
-        if token is not None and (block or len(members) > 1):
-            yield rows([(token, block, bool(block), members)])
-
-    def pair_rows(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        gid = ((a * np.int64(-7046029254386353131)) ^ (b + (a >> np.int64(29)))) * np.int64(-3335678366873096957)
-        both = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(a) + 1, 2, dtype=np.int32)), pa.array(np.stack([a, b], axis=1).ravel()))
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.zeros(n, dtype=bool)), pa.array(gid), both], ["token", "block", "many", "gid", "members"])
-
-    def rows(out: list) -> pa.RecordBatch:
-        ids = [xxhash.xxh64_intdigest(m.tobytes()) - (1 << 63) for *_, m in out]
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.bool_()),
-            pa.array(ids, pa.int64()), pa.array([r[3] for r in out], pa.list_(pa.int64()))], ["token", "block", "many", "gid", "members"])
-
-    by_token = docs.select("text").mapInArrow(prefixes, "token long, class long").repartition("token").sortWithinPartitions("token", "class")
-    blocks = keep(by_token.mapInArrow(gather, "token long, block int, many boolean, gid long, members array<long>"), "blocks")
-    alone = blocks.filter("not many").select("gid", F.col("members").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
-    some = blocks.filter("many")
-    own = some.select("gid", F.col("members").alias("left"), F.lit(None).cast("array<bigint>").alias("right"))
-    first, last = (some.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "gid", "members")]) for k in "ab")
-    pairs = first.join(last, "token").filter("block_a < block_b").select(F.xxhash64("gid_a", "gid_b").alias("gid"), F.col("members_a").alias("left"), F.col("members_b").alias("right"))
-    return alone.unionByName(own).unionByName(pairs).dropDuplicates(["gid"])
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "salt": np.concatenate(salt), "class": np.concatenate(of)})
+
+    by_token = docs.select("text").mapInArrow(prefixes, "token long, salt int, class long").repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
+    return by_token.mapInArrow(gather, BLOCKS)
+
+
+def block_pairs(blocks: DataFrame, every: bool) -> DataFrame:
+    """(gid, side, class): blocks of tokens that have several, each with itself and with the first one, or with every other; blocks within one component are left out."""
+    blocks = blocks.filter("many")
+    side = lambda members, k: F.transform(members, lambda c: F.struct(F.lit(k).alias("side"), c.alias("class")))
+    own = blocks.filter("low < high").select("gid", side("members", 0).alias("m"))
+    other = blocks if every else blocks.filter("block = 0 and salt <= 0")
+    other = other.select("token", F.col("gid").alias("with_gid"), F.col("low").alias("with_low"), F.col("high").alias("with_high"), F.col("members").alias("with"))
+    pairs = blocks.join(other, "token").filter("gid < with_gid" if every else "gid <> with_gid").filter("least(low, with_low) < greatest(high, with_high)")
+    pairs = pairs.select(F.xxhash64(F.least("gid", "with_gid"), F.greatest("gid", "with_gid")).alias("gid"), F.concat(side("members", 0), side("with", 1)).alias("m"))
+    return own.unionByName(pairs).dropDuplicates(["gid"]).select("gid", F.explode("m").alias("m")).select("gid", "m.side", "m.class")
+
+
+def first_groups(blocks: DataFrame) -> DataFrame:
+    """(gid, side, class): what is compared at first."""
+    alone = blocks.filter("not many").dropDuplicates(["gid"]).select("gid", F.lit(0).alias("side"), F.explode("members").alias("class"))
+    return alone.unionByName(block_pairs(blocks, every=False))
+
+
+def groups_apart(blocks: DataFrame, members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gid, side, class, n, part): groups with more than one component; members(gid, class, n, ...) as compared at first, parts(class, part)."""
+    part = F.coalesce("part", "class").alias("part")
+    alone = members.join(blocks.filter("not many").select("gid"), "gid", "left_semi") if scratch.any(blocks.filter("many")) else members
+    alone = alone.select("gid", "side", "class", "n").join(parts, "class", "left").select("gid", "side", "class", "n", part)
+    mixed = alone.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gid")
+    alone = alone.join(mixed, "gid", "left_semi")
+    rows = blocks.filter("many").select("token", F.explode("members").alias("class")).join(parts, "class", "left").select("token", "class", part)
+    mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("token", "size")
+    rows = rows.join(mixed, "token").withColumn("salt", F.pmod("class", F.lit(1) + F.floor(F.col("size") / DEALT)).cast("int"))
+    again = rows.select("token", "salt", "part", "class").repartition("token", "salt").sortWithinPartitions("token", "salt", "part", "class")
+    again = scratch.keep(again.mapInArrow(gather, BLOCKS), "blocks-again")
+    sizes = members.select("class", "n").distinct()
+    pairs = block_pairs(again, every=True).join(sizes, "class").join(parts, "class", "left").select("gid", "side", "class", "n", part)
+    return alone.unionByName(pairs)
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -286,7 +360,7 @@ def picked(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([first(smallest, a), number[first(best, both)]]))
 
 
-def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
+def candidates(members: DataFrame, bits: DataFrame, every: bool, scratch: Scratch) -> DataFrame:
     """members(gid, side, class, n, part), bits(class, bits) -> pairs (a, b) of different parts that the trees leave, and the cell (gid, slice_a, slice_b) to compare them in.
 
     every: all of them; else for each class its smallest partner and its best one only, of those that are likely similar.
@@ -298,6 +372,7 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
             now = pa.Table.from_batches([part] if rest is None else [rest, part]).combine_chunks().to_batches()
             if not now:
                 continue
+            pa.default_memory_pool().release_unused()
             gid = now[0].column("gid").to_numpy()
             end = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if gid[0] != gid[-1] else 0
             rest = now[0].slice(end)  # the last group may go on
@@ -332,14 +407,27 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
                 ok = shared + np.minimum(hidden[block], hidden[block + 1]) >= needed(n[block], n[block + 1])
                 ok &= every | (score >= LIKELY / 100)
                 send(block[ok], block[ok] + 1, score[ok], 2, 1)
-        for at, k in zip(starts[size > 2], size[size > 2]):
-            own = slice(at, at + k)
-            left = np.flatnonzero(side[own] == 0) + at
-            right = np.flatnonzero(side[own] == 1) + at
-            widest = width[own].max()
-            first, second = (Tree(n[of_side], unfolded([raws[i] for i in of_side], widest), part[of_side], hidden[of_side]) for of_side in (left, right))
-            i, j, score = traverse(first, second, False) if len(right) else traverse(first, first, True)
-            i, j = left[i], (right if len(right) else left)[j]
+        for at, k in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
+            own = np.arange(at, at + k)
+            left, right = own[side[own] == 0], own[side[own] == 1]
+            pairs = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+
+            def tree(members: np.ndarray, wide: int) -> Tree:
+                return Tree(n[members], unfolded([raws[i] for i in members], wide), part[members], hidden[members])
+
+            # Similar sets have bitmaps of one width or of neighbouring ones.
+            for w in np.unique(width[own]).tolist():
+                for one, two_ in ((left, right), (right, left)) if len(right) else ((left, left),):
+                    x, wider = one[width[one] == w], two_[width[two_] == 2 * w]
+                    y = two_[width[two_] == w]
+                    if len(x) and len(wider):
+                        i, j, score = traverse(tree(x, 2 * w), tree(wider, 2 * w), False)
+                        pairs.append((x[i], wider[j], score))
+                    if len(x) and len(y) and one is left:
+                        first = tree(x, w)
+                        i, j, score = traverse(first, tree(y, w), False) if len(right) else traverse(first, first, True)
+                        pairs.append((x[i], y[j], score))
+            i, j, score = (np.concatenate(c) for c in zip(*pairs))
             apart = part[i] != part[j]
             apart &= every | (score >= LIKELY / 100)
             i, j, score = i[apart], j[apart], score[apart]
@@ -355,7 +443,7 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
     pairs = by_group.mapInArrow(run, PAIRS)
     cell = F.struct("size", "gid", "slice_a", "slice_b")
     if not every:
-        pairs = keep(pairs, "picks")
+        pairs = scratch.keep(pairs, "picks")
         smallest = pairs.groupBy("a").agg(F.min(F.struct("b", cell.alias("cell"))).alias("p")).select("a", "p.b", "p.cell")
         ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
         best = pairs.select(ends.alias("e"), "a", "b", "score", cell.alias("cell")).groupBy("e.u").agg(F.max(F.struct("score", (-F.col("e.v")).alias("v"), "a", "b", "cell")).alias("p"))
@@ -364,32 +452,37 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max(cell).alias("cell")).select("a", "b", "cell.gid", "cell.slice_a", "cell.slice_b")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets themselves, compared in their cells."""
-    pairs = keep(pairs, "pairs")
+def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets themselves; classes(class, n, doc_id, named).
+
+    Pairs that hang together share a cell if their sets fit one; the others stay in the cells of their trees.
+    """
+    pairs = scratch.keep(pairs, "pairs")
+    together = components(pairs.select("a", "b"))
+    sizes = together.join(classes.select(F.col("class").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("size")).filter(F.col("size") <= CELL)
+    fits = together.join(sizes.select("component"), "component").select(F.col("id").alias("a"), "component")
+    apart = F.col("component").isNull()
+    pairs = scratch.keep(pairs.join(fits, "a", "left").select(
+        "a", "b", F.coalesce("component", "gid").alias("gid"), *[F.when(apart, F.col(c)).otherwise(-1).alias(c) for c in ("slice_a", "slice_b")]), "placed-pairs")
     cell = ["gid", "slice_a", "slice_b"]
-    roles = keep(pairs.select(F.explode(F.array("a", "b")).alias("class"), *cell).distinct(), "roles")
-    at = found.filter("n_shingles > 0").join(roles.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("named"))
+    roles = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("class"), *cell).distinct(), "roles")
+    at = classes.join(roles.select("class").distinct(), "class", "left_semi")
     ids = small(at.filter("named > 0").select("doc_id").distinct(), SMALL_IDS)
-    texts = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    if scratch.any(at.filter("named = 0")):  # sets that only rows without an id have
+        texts = texts.unionByName(docs.filter("doc_id is null").select("text"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for part in parts:
+        for part in slices(parts):
             of, tokens = [], []
             for s in shingle_sets(part.column("text")):
                 if (c := class_of(s)) not in seen:
                     seen.add(c)
                     of.append(c)
-                    tokens.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes())
+                    tokens.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(tokens, pa.binary())], ["class", "tokens"])
 
-    def unpack(v: pa.Scalar) -> np.ndarray:
-        raw = np.frombuffer(v.as_buffer(), dtype=np.uint8).reshape(-1, KEPT)
-        out = np.zeros((len(raw), 8), dtype=np.uint8)
-        out[:, :KEPT] = raw
-        return np.unique(out.view(np.uint64).ravel())
-
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, its sets before its pairs; a set that several tasks made comes several times."""
         now, held, a, b = None, {}, [], []
@@ -399,7 +492,7 @@ def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
                     now, held = key, {}
                 if with_ is None:
                     if of not in held:
-                        held[of] = unpack(tokens)
+                        held[of] = np.frombuffer(tokens.as_py(), dtype=np.uint64)
                     continue
                 x, y = held[of], held[with_]
                 merged = np.sort(np.concatenate([x, y]), kind="stable")
@@ -409,30 +502,36 @@ def similar(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
                     b.append(with_)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
+            pa.default_memory_pool().release_unused()
 
     sent = texts.mapInArrow(sets, "class long, tokens binary").join(small(roles, SMALL_IDS), "class")
     rows = sent.select("class", F.lit(None).cast("long").alias("b"), *cell, "tokens").unionByName(pairs.select(F.col("a").alias("class"), "b", *cell, F.lit(None).cast("binary").alias("tokens")))
     in_order = rows.repartition(*cell).sortWithinPartitions(*cell, F.col("b").isNotNull(), "class")
-    return keep(in_order.mapInArrow(compare, "a long, b long").distinct(), "similar")
+    found = scratch.keep(in_order.mapInArrow(compare, "a long, b long").distinct(), "similar")
+    scratch.drop("pairs", "placed-pairs", "roles", "picks")
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, with a row for each document."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = keep(signatures(docs), "signatures")
+    found = scratch.keep(signatures(docs), "signatures")
     sets = found.filter("n_shingles >= 0")
-    members = groups(docs, common_shingles(found))
-    members = members.select("gid", F.explode(F.concat(F.transform("left", lambda c: F.struct(F.lit(0).alias("side"), c.alias("class"))), F.coalesce(F.transform("right", lambda c: F.struct(F.lit(1).alias("side"), c.alias("class"))), F.array().cast("array<struct<side:int,class:bigint>>")))).alias("m"))
-    sizes = sets.groupBy("class").agg(F.min("n_shingles").alias("n"))
-    members = keep(members.select("gid", "m.side", "m.class").join(sizes, "class"), "members")
-    bits = keep(sets.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("bits").alias("bits")), "bits")
-    links = similar(candidates(members.withColumn("part", F.col("class")), bits, every=False), docs, found)
-    parts = components(links)
-    again = members.join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("part", F.coalesce("component", "class"))
-    more = similar(candidates(again, bits, every=True), docs, found)
-    parts = components(links.unionByName(more)).withColumnRenamed("id", "class")
-    named = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))
-    lowest = named.groupBy("part").agg(F.min("low").alias("component_id"))
+    classes = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("named"))
+    classes = scratch.keep(classes, "classes")
+    blocks = scratch.keep(token_blocks(docs, common_shingles(found)), "blocks")
+    members = scratch.keep(first_groups(blocks).join(classes.select("class", "n"), "class"), "members")
+    bits = scratch.keep(sets.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("bits").alias("bits")), "bits")
+    links = similar(candidates(members.withColumn("part", F.col("class")), bits, False, scratch), docs, classes, scratch)
+    parts = components(links).select(F.col("id").alias("class"), F.col("component").alias("part"))
+    again = scratch.keep(groups_apart(blocks, members, parts, scratch), "groups-apart")
+    scratch.drop("blocks", "blocks-again", "members")
+    more = similar(candidates(again, bits, True, scratch), docs, classes, scratch)
+    scratch.drop("groups-apart", "bits")
+    parts = components(links.unionByName(more)).select(F.col("id").alias("class"), F.col("component").alias("part"))
+    named = classes.join(parts, "class", "left").select("class", F.coalesce("part", "class").alias("part"), "doc_id")
+    lowest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     of_class = named.select("class", "part").join(lowest, "part").select("class", "component_id")
     linked = sets.filter("n_shingles > 0").select("doc_id", "n_shingles", "class").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

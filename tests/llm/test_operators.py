@@ -61,6 +61,25 @@ def test_jaccard_equals_brute_force_near_the_threshold(spark):
     assert got == dict(enumerate(low))
 
 
+def test_jaccard_of_a_large_group_equals_brute_force(spark, monkeypatch):
+    """Near copies that fill several blocks and several tasks' shares of a shingle, in two groups that share a passage."""
+    monkeypatch.setattr(jaccard, "DEALT", 300)
+    rng = np.random.default_rng(11)
+    passage, rows = [f"p{i}" for i in range(12)], []
+    for i in range(1300):
+        w = passage + [f"g{i % 2}x{k}" for k in range(48)]
+        for at in rng.choice(len(w), size=int(rng.integers(0, 4)), replace=False):
+            w[at] = f"r{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(56)) for _, t in rows]
+    low = np.arange(len(rows))
+    near = np.array([[100 * (c := len(a & b)) >= 80 * (len(a) + len(b) - c) for b in sets] for a in sets])
+    while (nxt := np.where(near, low[None, :], len(rows)).min(axis=1)).tolist() != low.tolist():
+        low = nxt
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: int(x) for i, x in enumerate(low)} and len(set(got.values())) > 2
+
+
 def test_components_go_on_until_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(components, "range", lambda n: (0,), raising=False)  # a bound of one round
     path = [7, 2, 9, 4, 11, 1, 8, 5, 10, 3, 6, 0]
