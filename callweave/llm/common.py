@@ -55,14 +55,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read again: compressed, and free of what made them."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing needs any more
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables that a job writes to the shared folder on its way; those that nothing reads any more are dropped."""
 
@@ -97,6 +89,11 @@ class Scratch:
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written as a table in the shared folder and read again: compressed, and free of what made them."""
+    return Scratch(df.sparkSession).keep(df, name)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(doc_id, text, y) of at most max_rows labelled documents, those with the smallest hashed ids; held-out ids are never among them."""
     chosen = (

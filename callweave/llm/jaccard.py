@@ -271,14 +271,13 @@ def first_groups(blocks: DataFrame) -> DataFrame:
     return alone.unionByName(block_pairs(blocks, every=False))
 
 
-def groups_apart(blocks: DataFrame, members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(gid, side, class, n, part): groups with more than one component; members(gid, class, n, ...) as compared at first, parts(class, part)."""
+def groups_apart(blocks: DataFrame, again: DataFrame, members: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gid, side, class, n, part): groups with more than one component, of `again` and of the tokens of `blocks`; members(class, n, ...), parts(class, part)."""
     part = F.coalesce("part", "class").alias("part")
-    alone = members.join(blocks.filter("not many").select("gid"), "gid", "left_semi") if scratch.any(blocks.filter("many")) else members
-    alone = alone.select("gid", "side", "class", "n").join(parts, "class", "left").select("gid", "side", "class", "n", part)
+    alone = again.select("gid", "side", "class", "n").join(parts, "class", "left").select("gid", "side", "class", "n", part)
     mixed = alone.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gid")
     alone = alone.join(mixed, "gid", "left_semi")
-    rows = blocks.filter("many").select("token", F.explode("members").alias("class")).join(parts, "class", "left").select("token", "class", part)
+    rows = blocks.select("token", F.explode("members").alias("class")).join(parts, "class", "left").select("token", "class", part)
     mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("token", "size")
     rows = rows.join(mixed, "token").withColumn("salt", F.pmod("class", F.lit(1) + F.floor(F.col("size") / DEALT)).cast("int"))
     again = rows.select("token", "salt", "part", "class").repartition("token", "salt").sortWithinPartitions("token", "salt", "part", "class")
@@ -348,7 +347,9 @@ def down(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return child[child < n], np.repeat(j, FAN)[child < n]
 
 
-PAIRS = "a long, b long, score double, size int, gid long, slice_a int, slice_b int"
+PAIRS = "a long, b long, score double, size int, gid long, slice_a int, slice_b int, turn int"
+#: A group that leaves more than so many pairs for each member is descended again after the first turn.
+MANY_PAIRS = 8
 
 
 def picked(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -361,9 +362,10 @@ def picked(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
 
 
 def candidates(members: DataFrame, bits: DataFrame, every: bool, scratch: Scratch) -> DataFrame:
-    """members(gid, side, class, n, part), bits(class, bits) -> pairs (a, b) of different parts that the trees leave, and the cell (gid, slice_a, slice_b) to compare them in.
+    """members(gid, side, class, n, part), bits(class, bits) -> pairs (a, b) of different parts that the trees leave: score, turn, and the largest cell (size, gid, slice_a, slice_b) to compare them in.
 
-    every: all of them; else for each class its smallest partner and its best one only, of those that are likely similar.
+    turn: 1 for a set's smallest and best partner in a group if they are likely similar, else 2; where a group would leave too
+    many of the latter, one row of turn 3 and a null pair names it instead. every: all pairs are of turn 2.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,11 +390,11 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool, scratch: Scratc
         size = np.diff(np.append(starts, len(gid)))
         out = []
 
-        def send(i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int, slices: int) -> None:
+        def send(i: np.ndarray, j: np.ndarray, score: np.ndarray, k: int, slices: int, turn: np.ndarray) -> None:
             """Rows i with rows j of one group, or of groups of two."""
             swap = of[i] < of[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            out.append((of[i], of[j], score, np.full(len(i), k), gid[i], np.abs(of[i]) % slices, np.abs(of[j]) % slices))
+            out.append((of[i], of[j], score, np.full(len(i), k), gid[i], np.abs(of[i]) % slices, np.abs(of[j]) % slices, turn))
 
         two = starts[size == 2]  # groups of two are trees of two leaves: all at once
         if len(two):
@@ -405,8 +407,7 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool, scratch: Scratc
                 fill, fill_too = ((n[i] - hidden[i]) / (8 * width[i]) for i in (block, block + 1))
                 score = estimate(shared / (8 * size_of), fill, fill_too, n[block], n[block + 1])
                 ok = shared + np.minimum(hidden[block], hidden[block + 1]) >= needed(n[block], n[block + 1])
-                ok &= every | (score >= LIKELY / 100)
-                send(block[ok], block[ok] + 1, score[ok], 2, 1)
+                send(block[ok], block[ok] + 1, score[ok], 2, 1, np.where((score[ok] >= LIKELY / 100) & (not every), 1, 2))
         for at, k in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
             own = np.arange(at, at + k)
             left, right = own[side[own] == 0], own[side[own] == 1]
@@ -429,35 +430,52 @@ def candidates(members: DataFrame, bits: DataFrame, every: bool, scratch: Scratc
                         pairs.append((x[i], y[j], score))
             i, j, score = (np.concatenate(c) for c in zip(*pairs))
             apart = part[i] != part[j]
-            apart &= every | (score >= LIKELY / 100)
             i, j, score = i[apart], j[apart], score[apart]
+            turn, slices_ = np.full(len(i), 2), 1 + int(n[own].sum()) // CELL
             if not every and len(i):
-                some = picked(np.maximum(of[i], of[j]), np.minimum(of[i], of[j]), score)
-                i, j, score = i[some], j[some], score[some]
-            send(i, j, score, k, 1 + int(n[own].sum()) // CELL)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                likely = np.flatnonzero(score >= LIKELY / 100)
+                if len(likely):
+                    turn[likely[picked(np.maximum(of[i[likely]], of[j[likely]]), np.minimum(of[i[likely]], of[j[likely]]), score[likely])]] = 1
+                if np.count_nonzero(turn == 2) > MANY_PAIRS * k:
+                    i, j, score, turn = i[turn == 1], j[turn == 1], score[turn == 1], turn[turn == 1]
+                    out.append(tuple(np.array([x]) for x in (0, 0, 0.0, k, gid[at], 0, 0, 3)))
+            send(i, j, score, k, slices_, turn)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], ["a", "b", "score", "size", "gid", "slice_a", "slice_b"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], ["a", "b", "score", "size", "gid", "slice_a", "slice_b", "turn"])
 
     by_group = members.join(bits, "class").select("gid", "side", "class", "n", "bits", "part").repartition("gid").sortWithinPartitions("gid", "side", "class")
     pairs = by_group.mapInArrow(run, PAIRS)
+    # Of the groups that hold a pair the largest one compares it, where its sets are needed most; each group of turn 3 stays by itself.
     cell = F.struct("size", "gid", "slice_a", "slice_b")
-    if not every:
-        pairs = scratch.keep(pairs, "picks")
-        smallest = pairs.groupBy("a").agg(F.min(F.struct("b", cell.alias("cell"))).alias("p")).select("a", "p.b", "p.cell")
-        ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-        best = pairs.select(ends.alias("e"), "a", "b", "score", cell.alias("cell")).groupBy("e.u").agg(F.max(F.struct("score", (-F.col("e.v")).alias("v"), "a", "b", "cell")).alias("p"))
-        pairs = smallest.unionByName(best.select("p.a", "p.b", "p.cell")).select("a", "b", "cell.*")
-    # Of the groups that hold a pair the largest one compares it, where its sets are needed most.
-    return pairs.groupBy("a", "b").agg(F.max(cell).alias("cell")).select("a", "b", "cell.gid", "cell.slice_a", "cell.slice_b")
+    redone = F.when(F.col("turn") == 3, F.col("gid")).alias("again")
+    pairs = pairs.groupBy("a", "b", redone).agg(F.max("score").alias("score"), F.min("turn").alias("turn"), F.max(cell).alias("cell"))
+    return scratch.keep(pairs.select("a", "b", "score", "turn", "again", "cell.gid", "cell.slice_a", "cell.slice_b"), "picks")
+
+
+def first_turn(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of turn 1 those of each set with its smallest partner and with its best one."""
+    pairs = pairs.filter("turn = 1")
+    cell = F.struct("gid", "slice_a", "slice_b")
+    smallest = pairs.groupBy("a").agg(F.min(F.struct("b", cell.alias("cell"))).alias("p")).select("a", "p.b", "p.cell")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    best = pairs.select(ends.alias("e"), "a", "b", "score", cell.alias("cell")).groupBy("e.u").agg(F.max(F.struct("score", (-F.col("e.v")).alias("v"), "a", "b", "cell")).alias("p"))
+    return smallest.unionByName(best.select("p.a", "p.b", "p.cell")).distinct().select("a", "b", "cell.*")
+
+
+def second_turn(pairs: DataFrame, done: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs of different components that the first turn hasn't compared; parts(class, part)."""
+    left = pairs.filter("turn < 3").select("a", "b", "gid", "slice_a", "slice_b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    for end in "ab":
+        left = left.join(parts.select(F.col("class").alias(end), F.col("part").alias(f"part_{end}")), end, "left")
+    return left.filter("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b", "gid", "slice_a", "slice_b")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by the sets themselves; classes(class, n, doc_id, named).
+    """Which of pairs(a, b, gid, slice_a, slice_b) are similar, by the sets themselves; classes(class, n, doc_id, named).
 
     Pairs that hang together share a cell if their sets fit one; the others stay in the cells of their trees.
     """
-    pairs = scratch.keep(pairs, "pairs")
     together = components(pairs.select("a", "b"))
     sizes = together.join(classes.select(F.col("class").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("size")).filter(F.col("size") <= CELL)
     fits = together.join(sizes.select("component"), "component").select(F.col("id").alias("a"), "component")
@@ -508,7 +526,7 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scra
     rows = sent.select("class", F.lit(None).cast("long").alias("b"), *cell, "tokens").unionByName(pairs.select(F.col("a").alias("class"), "b", *cell, F.lit(None).cast("binary").alias("tokens")))
     in_order = rows.repartition(*cell).sortWithinPartitions(*cell, F.col("b").isNotNull(), "class")
     found = scratch.keep(in_order.mapInArrow(compare, "a long, b long").distinct(), "similar")
-    scratch.drop("pairs", "placed-pairs", "roles", "picks")
+    scratch.drop("placed-pairs", "roles")
     return found
 
 
@@ -523,12 +541,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = scratch.keep(token_blocks(docs, common_shingles(found)), "blocks")
     members = scratch.keep(first_groups(blocks).join(classes.select("class", "n"), "class"), "members")
     bits = scratch.keep(sets.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("bits").alias("bits")), "bits")
-    links = similar(candidates(members.withColumn("part", F.col("class")), bits, False, scratch), docs, classes, scratch)
+    pairs = candidates(members.withColumn("part", F.col("class")), bits, False, scratch)
+    done = scratch.keep(first_turn(pairs), "pairs")
+    links = similar(done, docs, classes, scratch)
     parts = components(links).select(F.col("id").alias("class"), F.col("component").alias("part"))
-    again = scratch.keep(groups_apart(blocks, members, parts, scratch), "groups-apart")
-    scratch.drop("blocks", "blocks-again", "members")
-    more = similar(candidates(again, bits, True, scratch), docs, classes, scratch)
-    scratch.drop("groups-apart", "bits")
+    left = second_turn(pairs, done, parts)
+    again = members.join(pairs.filter("turn = 3").select(F.col("again").alias("gid")), "gid", "left_semi")
+    hot = blocks.filter("many")
+    if scratch.any(hot) or scratch.any(again):
+        groups = scratch.keep(groups_apart(hot, again, members, parts, scratch), "groups-apart")
+        left = left.unionByName(second_turn(candidates(groups, bits, True, scratch), done, parts))
+    left = scratch.keep(left.groupBy("a", "b").agg(F.max(F.struct("gid", "slice_a", "slice_b")).alias("cell")).select("a", "b", "cell.*"), "pairs")
+    more = similar(left, docs, classes, scratch)
+    scratch.drop("blocks", "blocks-again", "members", "groups-apart", "bits", "picks", "pairs")
     parts = components(links.unionByName(more)).select(F.col("id").alias("class"), F.col("component").alias("part"))
     named = classes.join(parts, "class", "left").select("class", F.coalesce("part", "class").alias("part"), "doc_id")
     lowest = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
