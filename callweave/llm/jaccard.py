@@ -46,7 +46,7 @@ COMMON, MOST_COMMON = 100, 1_000_000
 #: Shingles of a task that are counted together, and texts that are split together.
 TOGETHER, SOME = 1_000_000, 256
 #: Shingles from which on sets that hang together are dealt to several cells.
-CELL = 2_000_000
+CELL = 400_000
 #: Sets with a common shingle are dealt to tasks, so many to each.
 DEALT = 4_096
 #: Fewest bits of a signature (it has two for each member of the set at least), members of a tree's block, children of a node.

@@ -3,11 +3,14 @@
 Four kinds of protected entities are found by their form. Corpus co-occurrence then tells how
 strongly a term reveals an entity: with documents as events, a term t in the context of entity c
 (so many words on both sides) discloses it as far as its pointwise mutual information nears the
-information content of c, which is reached if t never occurs without c. In documents that hold the
-entity, terms beyond the higher threshold are removed and those beyond the lower one generalised.
-A term must stand in two different contexts of an entity, in documents that aren't copies of each
-other (their texts differ in more than case): one text, however often it is copied, proves nothing.
-All else is left to the thresholds.
+information content of c, which is reached if t never occurs without c. Terms beyond the higher threshold
+are removed, those beyond the lower one generalised. Where the lower threshold alone is passed a term must
+stand in two different contexts of an entity, in texts that differ in more than case: one text, however
+often it is copied, proves nothing there. `min_texts` 2 asks the same of terms to be removed; with 1 a term
+that never occurs without an entity goes, even if the entity occurs once. Terms are acted on in documents
+that hold the entity, or with `everywhere` in all of them, as a term that discloses does so wherever it stands.
+
+Contexts are the six words on each side within 120 characters; a term has three letters or digits at least.
 
 Defined cases: a null text is empty; whole texts are read; a match that fails its check is dropped
 and not tried again; terms that overlap a base span are left to it; repeated rows are returned each
@@ -85,8 +88,11 @@ def entity(kind: str, value: Column) -> Column:
 
 def context(text: Column, span: Column) -> Column:
     """Lower-cased words around a span."""
-    left = F.split(F.regexp_replace(F.substring(text, F.greatest(span["start"] + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT_CHARS)).cast("int")), r"^\S*\s", ""), r"\s+")
-    right = F.split(F.regexp_replace(F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS)), r"\s\S*$", ""), r"\s+")
+    left = F.substring(text, F.greatest(span["start"] + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT_CHARS)).cast("int"))
+    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS))
+    # Where the text goes on, the outermost word may be a part of one.
+    left = F.split(F.when(span["start"] > CONTEXT_CHARS, F.regexp_replace(left, r"^\S*\s?", "")).otherwise(left), r"\s+")
+    right = F.split(F.when(F.char_length(text) > span["end"] + CONTEXT_CHARS, F.regexp_replace(right, r"\s?\S*$", "")).otherwise(right), r"\s+")
     near = F.concat(F.slice(F.reverse(F.array_remove(left, "")), 1, CONTEXT_WORDS), F.slice(F.array_remove(right, ""), 1, CONTEXT_WORDS))
     return F.lower(F.array_join(near, " "))
 
@@ -96,21 +102,22 @@ def terms_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, action) of the terms that reveal an entity."""
+def disclosures(found: DataFrame, docs: DataFrame, min_texts: int, remove: float, generalise: float) -> DataFrame:
+    """(entity, term, action) of the terms that reveal an entity, in shares of its information content."""
     near = found.filter("n_spans > 0").select("doc", F.xxhash64(F.lower("text")).alias("copy"), F.explode("near").alias("x")).select("doc", "copy", "x.entity", "x.context")
     terms = near.select("doc", "copy", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     by_doc = terms.groupBy("entity", "term", "doc", "copy").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     pairs = by_doc.groupBy("entity", "term").agg(
         F.count("*").alias("n_tc"), (F.min("low") < F.max("high")).alias("contexts"), (F.min("copy") < F.max("copy")).alias("texts"))
     # Two contexts and two texts: some two places then differ in both.
-    pairs = pairs.filter("contexts and texts").select("entity", "term", "n_tc")
+    pairs = pairs.select("entity", "term", "n_tc", (F.col("contexts") & F.col("texts")).alias("twice"))
+    pairs = pairs.filter("twice") if min_texts > 1 else pairs
     n_c = near.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     n = docs.agg(F.count_distinct("doc").alias("n"))
     pairs = pairs.join(n_c, "entity").join(F.broadcast(n), how="cross")  # n is one row
     content = F.log(F.col("n") / F.col("n_c"))
     # A term in more of the documents with entities than this can't reveal that one, whatever the rest of the corpus holds.
-    most = F.col("n_tc") / F.exp((GENERALISE - 1) * content) + 1e-6
+    most = F.col("n_tc") / F.exp((F.when(F.col("twice"), min(generalise, remove)).otherwise(remove) - 1) * content) + 1e-6
     held = found.filter("n_spans > 0").dropDuplicates(["doc"])
     often = terms_of(held).groupBy("term").agg(F.count("*").alias("seen"))
     pairs = keep(pairs.filter(F.col("n_c") < F.col("n")).join(often, "term").filter(F.col("seen") <= most).drop("seen"), "pii-pairs")
@@ -118,11 +125,11 @@ def disclosures(found: DataFrame, docs: DataFrame) -> DataFrame:
     n_t = terms_of(docs).join(candidates, "term").groupBy("term").agg(F.count_distinct("doc").alias("n_t"))
     joined = pairs.join(n_t, "term")
     pmi = F.log(F.col("n_tc") / F.col("n_t") * F.col("n") / F.col("n_c"))
-    action = F.when(pmi >= REMOVE * content - 1e-9, "remove").when(pmi >= GENERALISE * content, "generalise")
+    action = F.when(pmi >= remove * content - 1e-9, "remove").when((pmi >= generalise * content) & F.col("twice"), "generalise")
     return joined.select("entity", "term", action.alias("action")).filter("action is not null")
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, min_texts: int = 2, everywhere: bool = False, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text, a column of spans for each kind, and `terms`: array of (start, end, value, action)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.struct("doc_id", F.xxhash64(text).alias("hash")).alias("doc"))
@@ -132,11 +139,20 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     about = lambda k: lambda s: F.struct(entity(k, s["value"]).alias("entity"), context(F.col("text"), s).alias("context"))
     near = F.concat(*[F.transform(k, about(k)) for k in KINDS])
     found = keep(found.withColumn("near", near).withColumn("text", F.when(F.col("n_spans") > 0, F.col("text"))), "pii-found")
-    told = small(disclosures(found, keyed), SMALL_TERMS)
-    held = found.filter("n_spans > 0").select("doc", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+    told = keep(disclosures(found, keyed, min_texts, remove, generalise), "pii-told")
+    if everywhere:
+        told = told.groupBy("term").agg(F.max("action").alias("action"))  # removing goes before generalising
+        revealing = terms_of(keyed).join(small(told, SMALL_TERMS), "term")
+    else:
+        held = found.filter("n_spans > 0").select("doc", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+        revealing = held.join(small(told, SMALL_TERMS), "entity")
     # A term that reveals several entities of a document is removed if one of them asks for it.
-    revealing = held.join(told, "entity").groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("told"))
-    out = found.join(revealing.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
+    revealing = keep(revealing.groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("told")), "pii-revealing")
+    out = found.join(small(revealing, SMALL_TERMS).withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
+    if everywhere:
+        bare = keyed.join(small(revealing.select(F.col("doc").alias("of")), SMALL_TERMS), F.col("doc").eqNullSafe(F.col("of")), "left_semi")
+        bare = keep(bare.select(F.col("doc").alias("of_text"), F.col("text").alias("whole")).dropDuplicates(["of_text"]), "pii-texts")
+        out = out.join(small(bare, SMALL_TERMS // 20), F.col("doc").eqNullSafe(F.col("of_text")), "left").withColumn("text", F.coalesce("text", "whole"))
     words = F.array_distinct(F.transform("told", lambda t: F.concat(F.lit(r"\Q"), t["term"], F.lit(r"\E"))))
     form = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
     base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
@@ -150,7 +166,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(found: DataFrame) -> DataFrame:
-    """doc_id and `clean`: base spans become [kind], terms go or become their sort of word. Texts without spans are null: they stay as they are."""
+    """doc_id and `clean`: base spans become [kind], terms go or become their sort of word. Texts without spans, of either sort, are null: they stay as they are."""
     mark = lambda k: lambda s: F.struct(s["start"], s["end"], F.lit(f"[{k}]").alias("by"))
     marks = [F.transform(k, mark(k)) for k in KINDS]
     sort = lambda v: F.when(v.rlike("^[0-9]+$"), "[number]").when(v.rlike(r"^\p{Lu}"), "[name]").otherwise("[term]")
@@ -167,7 +183,7 @@ def sanitise(found: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
-    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), min_texts=1, everywhere=True)
     say = lambda k: lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"])
     said = {k: F.transform(k, say(k)) for k in KINDS}
     terms = F.transform("terms", say("term"))

@@ -5,12 +5,12 @@ pieces, each is compressed with either dictionary and with none, and the differe
 the plain size, summed over the text, tells which kind it is nearer to. A logistic curve fitted to
 labelled rows that the dictionaries haven't seen turns it into a score.
 
-At most `max_rows` labelled rows are learned from, those with the smallest hashed ids, and `PIECES`
-pieces of each class.
+At most `max_rows` labelled rows are learned from, those with the smallest hashed ids, by `PIECES_OF_A_DOCUMENT`
+pieces from all over each text and `PIECES` pieces of each class; what is scored is read whole.
 
 Defined cases: null and empty texts have no difference and get the score that belongs to 0; whole
 texts are scored; labels that are null or other than 0 and 1 are not learned from; with labels of one
-class or none the score is their smoothed share of class 1; repeated rows are scored each; an empty
+class or none, in the sample or in the half that the curve is fitted to, the score is their smoothed share of class 1; repeated rows are scored each; an empty
 table gives no rows.
 """
 
@@ -82,7 +82,9 @@ def with_difference(docs: DataFrame, words: dict[int, bytes]) -> DataFrame:
 
 
 def calibration(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (x, y), by Newton's method with slight shrinkage."""
+    """Slope and offset of a logistic curve through (x, y), by Newton's method with slight shrinkage; with one class or none the smoothed share of class 1."""
+    if not 0 < y.sum() < len(y):
+        return 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     a = np.stack([x, np.ones_like(x)], axis=1)
     w = np.array([0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
     for _ in range(steps):

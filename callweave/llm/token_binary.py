@@ -11,18 +11,21 @@ a task that is run again does no harm. Files go through pyarrow's file systems;
 by memory map.
 
 Defined cases: a null text is empty and yields the end id alone; null ids come first; rows of one
-id follow each other by the hash of their text; texts are encoded word by word, cut at single
-spaces between words, which gives the same ids and lets each different word be encoded once; an empty table gives files of no document and no rows.
+id follow each other by the hash of their text; with a byte-level pre-tokenizer and no normalizer texts
+are encoded word by word, cut at single spaces between words, which gives the same ids and lets each
+different word be encoded once; texts that hold a NUL or the string of an added token, which the library
+turns into that token, are encoded whole, and so are all texts with other tokenizers; an empty table
+gives files of no document and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import sys
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from types import SimpleNamespace
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -46,6 +49,23 @@ TOGETHER, READERS = 2048, 10_000
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
 
 
+#: Words that this Python worker has encoded, by tokenizer; it runs many tasks.
+_known: dict[int, dict[str, bytes]] = {}
+
+
+def remembered(tokenizer: int) -> dict[str, bytes]:
+    return _known.setdefault(tokenizer, {})
+
+
+def whole_texts(tokenizer: str) -> str:
+    """The form of texts that have to be encoded whole with this tokenizer file."""
+    spec = json.loads(tokenizer)
+    kind = spec.get("pre_tokenizer") or {}
+    by_word = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not spec.get("normalizer")
+    added = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
+    return "|".join(["\\x00", *added]) if by_word else ""
+
+
 def file_system(uri: str):
     """(file system, path) of a shared folder's address."""
     from pyarrow import fs
@@ -66,13 +86,13 @@ def cut_words(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(pc.replace_substring_regex(spaced, f"([{LETTER}])([!-&(-/:-@\\[-`{{-~])", "\\1\0\\2"), "\0")
 
 
-def encode(tokenizer, texts: pa.Array, known: dict[str, bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts after each other, number of ids of each); the library encodes a word once, `known` remembers it."""
+def encode(tokenizer, texts: pa.Array, known: dict[str, bytes], width: int, whole: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts after each other, number of ids of each); the library encodes a word once, `known` remembers it. whole: the form of texts that aren't cut."""
     texts = texts.fill_null("").cast(pa.large_string())
-    with_zero = pc.match_substring(texts, "\0")
-    lists = cut_words(pc.if_else(with_zero, "", texts))
-    if pc.any(with_zero).as_py():  # the mark is in the text: such texts are one piece
-        lists = pa.array([[t] if z else words for t, z, words in zip(texts.to_pylist(), with_zero.to_pylist(), lists.to_pylist())], pa.list_(pa.large_string()))
+    uncut = pc.match_substring_regex(texts, whole)
+    lists = cut_words(pc.if_else(uncut, "", texts))
+    if pc.any(uncut).as_py():
+        lists = pa.array([[t] if z else words for t, z, words in zip(texts.to_pylist(), uncut.to_pylist(), lists.to_pylist())], pa.list_(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     if len(known) > REMEMBERED:
@@ -96,6 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: st
     folder = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # of fixed size
+    whole = whole_texts(vocabulary.value)
     width = 2 if max(Tokenizer.from_str(vocabulary.value).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +124,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: st
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary.value)
-        tokenizer.encode_special_tokens = True
-        # A worker runs many tasks; what it remembers is kept between them.
-        known = sys.modules.setdefault(f"callweave_words_{zlib.crc32(vocabulary.value.encode())}", SimpleNamespace(words={})).words
+        known = remembered(zlib.crc32(vocabulary.value.encode()))
         part = TaskContext.get().partitionId()
         files, root = file_system(folder)
         files.create_dir(root, recursive=True)
@@ -115,7 +134,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: st
             for batch in parts:
                 for k in range(0, batch.num_rows, TOGETHER):
                     some = batch.slice(k, TOGETHER)
-                    tokens, n = encode(tokenizer, some.column("text"), known, width)
+                    tokens, n = encode(tokenizer, some.column("text"), known, width, whole)
                     ends = np.cumsum(n)
                     out.write(np.insert(tokens, ends, end_id).astype(dtype).tobytes())
                     at.append(at[-1][-1] + ends + np.arange(1, len(n) + 1))
