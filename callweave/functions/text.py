@@ -32,6 +32,32 @@ def hover_text(parts: Column) -> Column:
     return F.nullif(F.array_join(parts, "\n"), F.lit(""))
 
 
+def hover_of(result: Column) -> Column:
+    """The text of a hover answer, a JSON text: a marked string, several of them or marked-up text; null without one."""
+    contents = F.try_variant_get(F.try_parse_json(result), "$.contents", "variant")
+    field = lambda v, name: F.try_variant_get(v, f"$.{name}", "string")
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    marked = lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string")).otherwise(text_of_marked(field(v, "language"), field(v, "value")))
+    several = F.try_variant_get(contents, "$", "array<variant>")
+    one = F.when(field(contents, "kind").isNotNull(), text_of_markup(field(contents, "kind"), field(contents, "value"))).otherwise(marked(contents))
+    return hover_text(F.when(several.isNotNull(), F.transform(several, marked)).otherwise(F.array(one)))
+
+
+def phase_text(phase: Column, done: Column, total: Column, reason: Column) -> Column:
+    """What the status line says about a phase of loading."""
+    # Phases and their texts.
+    said = {
+        "NotStarted": "not started", "SpawningServer": "starting clangd…", "Initializing": "initializing…", "Initialized": "initialized",
+        "DiscoveringFiles": "discovering project files…", "Completed": "ready",
+    }
+    out = F.when(phase == "PreloadingDocuments", F.format_string("preloading documents… %d/%d", done, total))
+    out = out.when(phase == "LoadingWorkspaceSymbols", F.format_string("loading workspace symbols… %d", done))
+    out = out.when(phase == "Failed", F.concat(F.lit("failed ("), reason, F.lit(")")))
+    for name, text in said.items():
+        out = out.when(phase == name, text)
+    return F.concat(F.lit("LSP: "), out)
+
+
 def fuzzy_score(pattern: Column, text: Column) -> Column:
     """Score of the pattern as a left-most subsequence of the text, both lower-cased; null if it is none.
 

@@ -10,6 +10,7 @@ Positions are floats, and are top-left corners of nodes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,19 +80,31 @@ def back_edges(edges: DataFrame) -> DataFrame:
     return one_way.select("src", "dst").join(walked, ["src", "dst"], "left").select("src", "dst", F.coalesce("back", F.lit(False)).alias("back"))
 
 
+#: After so many rounds what was found is written as one table again.
+ROUNDS = 16
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(idx), edges(src, dst) without cycles -> (idx, layer): the longest way from a root, a job for each layer.
 
-    A node's layer is one more than its highest predecessor's. Each round moves what the last one moved.
+    A node's layer is the length of the longest walk that ends in it. Each round takes the ends of walks that
+    are one edge longer and writes no more than those; the highest round of each node is its layer.
     """
     edges = keep(edges.select("src", "dst").distinct())
-    now = keep(nodes.select("idx", F.lit(0).alias("layer")))
-    total, moved = nodes.count(), now
-    for at in range(1, total + 1):
-        moved = keep(moved.join(edges, moved["idx"] == edges["src"]).select(F.col("dst").alias("idx")).distinct().withColumn("layer", F.lit(at)))
-        if moved.isEmpty():
-            return now
-        now = keep(now.join(moved.withColumnRenamed("layer", "_new"), "idx", "left").select("idx", F.coalesce("_new", "layer").alias("layer")))
+    ends = keep(edges.select("src").distinct().withColumnRenamed("src", "idx"))
+    found, total = [nodes.select("idx", F.lit(0).alias("layer"))], None
+    at = 0
+    while not ends.isEmpty():
+        at += 1
+        ends = keep(ends.join(edges, ends["idx"] == edges["src"]).select(F.col("dst").alias("idx")).distinct())
+        found.append(ends.withColumn("layer", F.lit(at)))
+        if at % ROUNDS == 0:
+            total = nodes.count() if total is None else total
+            found = [keep(reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer")))]
+            if at > total:
+                break
+    else:
+        return reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer"))
     raise LayoutError("edges go round in a cycle")
 
 
@@ -247,6 +260,34 @@ def layout(nodes: DataFrame, edges: DataFrame, config: LayoutConfig | None = Non
     return positions, forward_paths.unionByName(cross_paths(known.filter("back"), positions, config))
 
 
+def paths_of(paths: DataFrame, of: str) -> DataFrame:
+    """The paths of a class."""
+    return paths.filter(F.col("class") == of)
+
+
+def path_between(paths: DataFrame, parent: int, child: int) -> DataFrame:
+    """The path of one edge, or none."""
+    return paths.filter((F.col("parent") == parent) & (F.col("child") == child))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Between two points (x, y)."""
+    return F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
+
+
+def box(bounds_: Column) -> Column:
+    """(width, height, x, y) of a box (min_x, min_y, max_x, max_y), x and y being its centre."""
+    b = bounds_
+    return F.struct(
+        (b["max_x"] - b["min_x"]).alias("width"), (b["max_y"] - b["min_y"]).alias("height"),
+        ((b["min_x"] + b["max_x"]) / 2).alias("x"), ((b["min_y"] + b["max_y"]) / 2).alias("y"))
+
+
+def inside(point: Column, bounds_: Column) -> Column:
+    """Whether a box holds a point, its borders included."""
+    return point["x"].between(bounds_["min_x"], bounds_["max_x"]) & point["y"].between(bounds_["min_y"], bounds_["max_y"])
+
+
 def bounds(positions: DataFrame, config: LayoutConfig) -> DataFrame:
     """A row of min_x, min_y, max_x, max_y of nodes around their positions."""
     w, h = config.node_width / 2, config.node_height / 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fuzzy_score
@@ -25,3 +25,14 @@ def search(g: CallGraph, query: str, mode: str = "fuzzy") -> DataFrame:
         score = F.when(F.contains(F.lower(column), F.lower(F.lit(query))), F.lit(1.0))
     scored = found.withColumn("score", score.cast("float")).filter("score is not null")
     return scored.orderBy(F.desc("score"), "name", "id").limit(MOST)
+
+
+def scroll_offset(selected: int, offset: int, height: int) -> int:
+    """First row to show so that the selected one, counted from 0, stays in sight."""
+    return selected if selected < offset else max(offset, selected - height + 1)
+
+
+def scrolled(results: DataFrame, offset: int, height: int) -> DataFrame:
+    """The rows of search results, of which there are MOST at most, that a window shows."""
+    at = F.row_number().over(Window.orderBy(F.desc("score"), "name", "id")) - 1
+    return results.withColumn("at", at).filter(F.col("at").between(offset, offset + height - 1))

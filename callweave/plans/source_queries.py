@@ -120,3 +120,60 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS symbol_id, arg_max(event_type, (ts, event_type)) AS state FROM events GROUP BY 1")
 def symbol_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.states(table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol_id"), "ts", F.col("event_type").alias("state")))
+
+
+@query("SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS at, props || '€' AS body FROM events")
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as a stream of frames, with one that is cut off at its end, read again."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", messages.framed(F.concat("props", F.lit("€"))).alias("frame"))
+    streams = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f"))
+    cut = F.concat(F.array_join(F.transform("f", lambda x: x["frame"]), ""), F.lit("Content-Length: 9\r\n\r\n{}"))
+    return messages.unframed(streams.select("user_id", cut.alias("value")))
+
+
+@query("""SELECT event_id, '{"jsonrpc":"2.0","id":' || event_id || ',"method":"textDocument/hover","params":{"textDocument":{"uri":"user_' || user_id || '"},"position":{"line":' || (props->>'$.k') || ',"character":4}}}' AS request FROM events""")
+def hover_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    uri = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    return e.select("event_id", messages.hover_request(F.col("event_id"), uri, F.from_json("props", "k int")["k"], F.lit(4)).alias("request"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN p_name || chr(10) || replace(p_name, ' ', '_') ELSE p_name END AS hover FROM part""")
+def hover_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts in each form that a hover answer has."""
+    part = table(spark, sf_dir, "part")
+    code = F.concat(F.lit("int *"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(void)"))
+    marked = F.to_json(F.struct(F.lit("c").alias("language"), code.alias("value")))
+    name = F.concat(F.lit('"'), F.col("p_name"), F.lit('"'))
+    contents = (F.when(F.col("p_partkey") % 4 == 1, marked).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("["), name, F.lit(","), marked, F.lit("]")))
+                .when(F.col("p_partkey") % 4 == 3, F.to_json(F.struct(F.lit("plaintext").alias("kind"), F.col("p_name").alias("value")))).otherwise(name))
+    return part.select("p_partkey", text.hover_of(F.concat(F.lit('{"contents":'), contents, F.lit("}"))).alias("hover"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Loaded' ELSE 'Loading' END AS state,
+CASE WHEN s_suppkey % 3 > 0 THEN '{"jsonrpc":"2.0","id":' || s_suppkey || ',"method":"callHierarchy/incomingCalls","params":{"item":{"name":"' || s_name || '","kind":12}}}' END AS follow_up FROM supplier""")
+def hierarchy_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared hierarchies of none, one or two items: the first is asked on."""
+    s = table(spark, sf_dir, "supplier")
+    item = F.struct(F.col("s_name").alias("name"), F.lit(12).alias("kind"))
+    other = F.struct(F.lit("other").alias("name"), F.lit(6).alias("kind"))
+    result = F.slice(F.array(item, other), 1, (F.col("s_suppkey") % 3).cast("int"))
+    return messages.expansions(s.select(F.col("s_suppkey").alias("id"), F.to_json(result).alias("result"), F.lit(None).cast("string").alias("error")))
+
+
+@query("""SELECT event_id, 'LSP: ' || CASE event_id % 4 WHEN 0 THEN 'preloading documents… ' || user_id || '/' || event_id WHEN 1 THEN 'loading workspace symbols… ' || user_id
+WHEN 2 THEN 'failed (' || event_type || ')' ELSE 'ready' END AS status FROM events""")
+def load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    phases = F.array(*[F.lit(p) for p in ("PreloadingDocuments", "LoadingWorkspaceSymbols", "Failed", "Completed")])
+    phase = F.get(phases, (F.col("event_id") % 4).cast("int"))
+    return e.select("event_id", text.phase_text(phase, F.col("user_id"), F.col("event_id"), F.col("event_type")).alias("status"))
+
+
+@query(f"WITH {ASKED} SELECT q.event_id AS symbol_id, min(a.ts) AS response_ts FROM q JOIN a ON a.user_id = q.user_id AND a.ts >= q.ts AND a.ts <= q.ts + INTERVAL 1 HOUR GROUP BY 1")
+def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first purchase within an hour of each view."""
+    e = table(spark, sf_dir, "events")
+    asked = e.filter("event_type = 'view'").select(F.col("user_id").alias("request_id"), "ts", F.col("event_id").alias("symbol_id"))
+    got = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("request_id"), "ts")
+    return ingest.matched(asked, got, timeout="1 hour").select("symbol_id", "response_ts")

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import call_qualified_name, location_of_range, path_of_uri, qualified_name, reference_kind
+from ..functions.ids import call_qualified_name, location_of_range, path_of_uri, qualified_name, reference_kind, symbol_id
 from ..schema import location
+from ..storage import keep
 
 ENVELOPE = "jsonrpc string, id bigint, method string, result string, error struct<code:int,message:string>"
 POSITION = "struct<line:int,character:int>"
@@ -22,6 +23,9 @@ ITEM = f"struct<name:string,kind:int,detail:string,uri:string,range:{RANGE},sele
 WORKSPACE = f"array<struct<name:string,kind:int,containerName:string,location:struct<uri:string,range:{RANGE}>>>"
 TREE = f"array<struct<name:string,detail:string,kind:int,containerName:string,range:{RANGE},selectionRange:{RANGE},location:struct<uri:string,range:{RANGE}>,children:string>>"
 # Methods that answer with locations, kinds of symbols that are loaded, and what an error without text says.
+PREPARE, INCOMING, OUTGOING = "textDocument/prepareCallHierarchy", "callHierarchy/incomingCalls", "callHierarchy/outgoingCalls"
+#: A frame's header.
+HEADER = r"(?:[A-Za-z-]+:[^\r\n]*\r\n)*?Content-Length: *([0-9]+)\r\n(?:[A-Za-z-]+:[^\r\n]*\r\n)*\r\n"
 REFERENCES = ("textDocument/references", "textDocument/enhancedReferences")
 LOADED_KINDS = (12, 6, 9)
 UNKNOWN_ERROR = "Unknown LSP error"
@@ -34,6 +38,26 @@ def envelopes(messages: DataFrame, column: str = "value") -> DataFrame:
     return messages.withColumn("m", F.from_json(column, ENVELOPE))
 
 
+def unframed(streams: DataFrame, column: str = "value") -> DataFrame:
+    """Rows with a text of frames -> (..., at, body), a row for each whole frame in order; of the last one what is cut off waits.
+
+    Headers can't stand inside of a body, as JSON texts hold no bare line ends.
+    """
+    lengths = F.regexp_extract_all(column, F.lit(HEADER), F.lit(1))
+    bodies = F.slice(F.split(column, HEADER), 2, F.size(lengths) + 1)
+    frames = F.arrays_zip(lengths.alias("n"), bodies.alias("body"))
+    rest = [c for c in streams.columns if c != column]
+    rows = streams.select(*rest, F.posexplode(frames).alias("at", "x")).select(*rest, "at", F.col("x.n").cast("int").alias("n"), F.encode("x.body", "UTF-8").alias("body"))
+    return rows.filter(F.octet_length("body") >= F.col("n")).select(*rest, "at", F.decode(F.substring("body", F.lit(1), F.col("n")), "UTF-8").alias("body"))
+
+
+def malformed(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, message) of answers whose result is there and isn't of this kind, an array; they are errors, not empty."""
+    there = rows.filter("error is null and result is not null and trim(result) <> 'null'")
+    fits = F.startswith(F.ltrim("result"), F.lit("[")) & F.from_json("result", kind).isNotNull()
+    return there.filter(~fits).select("id", F.lit("Unexpected result").alias("message"))
+
+
 def answers(messages: DataFrame, pending: DataFrame, methods: tuple[str, ...]) -> DataFrame:
     """Answers to pending(id, method) requests of these methods: (id, method, result, error); others are left out."""
     rows = messages.filter("m.id is not null and m.method is null").select("m.id", "m.result", "m.error")
@@ -81,6 +105,7 @@ def document_symbols(rows: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         found = level.select("id", "path", "around", "container", F.posexplode(F.from_json("text", TREE)).alias("at", "x"))
         found = found.select("id", F.array_append("path", F.col("at")).alias("path"), "around", F.coalesce("container", "x.containerName").alias("container"), "x")
+        found = keep(found)  # a level is parsed once
         if found.isEmpty():
             break
         levels.append(found)
@@ -126,6 +151,27 @@ def call_sites(rows: DataFrame, outgoing: bool, asked: DataFrame | None = None)
     return each.select("id", _item(F.col("other")).alias("item"), location(file, F.col("r.start.line") + 1, F.col("r.start.character") + 1, length).alias("call_location"))
 
 
+def found_calls(sites: DataFrame, asked: DataFrame, outgoing: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows for `CallGraph.add_functions` and `add_calls`: call_sites of answers to asked(id, function_id), which know the graph's side."""
+    at = F.col("item.definition_location")
+    other = symbol_id(F.col("item.qualified_name"), at["file_path"], at["line"])
+    rows = sites.join(asked.select("id", "function_id"), "id").withColumn("other", other)
+    functions = rows.groupBy(F.col("other").alias("id")).agg(F.min(F.struct(F.col("id").alias("seq"), "item")).alias("x"))
+    functions = functions.select("id", "x.item.name", "x.item.qualified_name", F.col("x.item.definition_location").alias("definition_location"), F.col("x.seq").cast("long").alias("seq"))
+    ends = ("function_id", "other") if outgoing else ("other", "function_id")
+    calls = rows.select(F.col(ends[0]).alias("caller"), F.col(ends[1]).alias("callee"), "call_location", F.col("id").cast("long").alias("seq"))
+    return functions, calls
+
+
+def expansions(rows: DataFrame, outgoing: bool = False) -> DataFrame:
+    """(id, state, follow_up) of answers to prepared hierarchies: the request for the calls of the first item, or Loaded if there is none."""
+    first = F.get(F.from_json("result", "array<string>"), 0)
+    done = first.isNull()
+    method = OUTGOING if outgoing else INCOMING
+    text = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("id").cast("string"), F.lit(f',"method":"{method}","params":{{"item":'), first, F.lit("}}"))
+    return rows.filter("error is null").select("id", F.when(done, "Loaded").otherwise("Loading").alias("state"), text.alias("follow_up"))
+
+
 def sniffed_kind(result: Column) -> Column:
     """What an answer to a forgotten request looks like, by its first member."""
     first = F.get(F.from_json(result, "array<map<string,string>>"), 0)
@@ -158,3 +204,52 @@ def position_params(uri: Column, line: Column, character: Column, declaration: b
     if declaration is not None:
         fields.append(F.struct(F.lit(declaration).alias("includeDeclaration")).alias("context"))
     return F.struct(*fields)
+
+
+def _document(uri: Column) -> Column:
+    return F.struct(uri.alias("uri"))
+
+
+def references_request(id_: Column, uri: Column, line: Column, character: Column) -> Column:
+    return request(id_, REFERENCES[0], position_params(uri, line, character, declaration=True))
+
+
+def hover_request(id_: Column, uri: Column, line: Column, character: Column) -> Column:
+    return request(id_, "textDocument/hover", position_params(uri, line, character))
+
+
+def prepare_request(id_: Column, uri: Column, line: Column, character: Column) -> Column:
+    return request(id_, PREPARE, position_params(uri, line, character))
+
+
+def calls_request(id_: Column, item: Column, outgoing: bool) -> Column:
+    return request(id_, OUTGOING if outgoing else INCOMING, F.struct(item.alias("item")))
+
+
+def workspace_request(id_: Column, query: Column) -> Column:
+    return request(id_, "workspace/symbol", F.struct(query.alias("query")))
+
+
+def symbols_request(id_: Column, uri: Column) -> Column:
+    return request(id_, "textDocument/documentSymbol", F.struct(_document(uri).alias("textDocument")))
+
+
+def initialize_request(id_: Column, root_uri: Column, process: int, client: str, version: str) -> Column:
+    """The root is a workspace folder named by the last part of its path."""
+    plain = lambda: F.struct(F.lit(False).alias("dynamicRegistration"))
+    folder = F.struct(root_uri.alias("uri"), F.coalesce(F.nullif(F.substring_index(root_uri, "/", -1), F.lit("")), F.lit("workspace")).alias("name"))
+    can = F.struct(F.struct(plain().alias("symbol")).alias("workspace"), F.struct(plain().alias("references"), plain().alias("callHierarchy")).alias("textDocument"))
+    who = F.struct(F.lit(client).alias("name"), F.lit(version).alias("version"))
+    return request(id_, "initialize", F.struct(F.lit(process).alias("processId"), can.alias("capabilities"), who.alias("clientInfo"), F.array(folder).alias("workspaceFolders")))
+
+
+def initialized() -> Column:
+    return F.lit('{"jsonrpc":"2.0","method":"initialized","params":{}}')
+
+
+def did_open(uri: Column, language: Column, version: Column, text: Column) -> Column:
+    return notification("textDocument/didOpen", F.struct(F.struct(uri.alias("uri"), language.alias("languageId"), version.alias("version"), text.alias("text")).alias("textDocument")))
+
+
+def did_close(uri: Column) -> Column:
+    return notification("textDocument/didClose", F.struct(_document(uri).alias("textDocument")))

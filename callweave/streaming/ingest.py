@@ -11,8 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import distinct_calls, first_wins
 
-# Fixed value: how long a request waits for its answer.
-TIMEOUT = "30 seconds"
+# How long a request, a server's start and the first symbols are waited for.
+TIMEOUT, START, SYMBOLS = "30 seconds", "10 seconds", "2 seconds"
+#: Parts of a growing table by its keys; a batch reads those that its own keys belong to.
+BUCKETS = 64
 
 
 def new_functions(stream: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -23,28 +25,29 @@ def new_functions(stream: DataFrame, late: str = "1 minute") -> DataFrame:
 def grow(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Writes rows whose keys are new to the table at `path`, the first of each; without keys, calls by their identity.
 
-    Each batch is a folder named by its number: run again it is written over, so that rows are never doubled.
+    Each batch is a folder named by its number, with a folder for each part of the keys: run again it is
+    written over, so that rows are never doubled.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         own = f"{path}/batch={number}"
         spark = batch.sparkSession
         rows = first_wins(batch, keys) if keys else distinct_calls(batch)
+        place = F.struct(*(keys or ["caller", "callee", *[F.col(f"call_location.{c}").alias(c) for c in ("file_path", "line", "column")]]))
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(place), F.lit(BUCKETS)).cast("int"))
         if number > 0:
-            known = spark.read.option("mergeSchema", False).schema(batch.schema.add("batch", "long")).parquet(path).filter(F.col("batch") < number)
-            if keys:
-                rows = rows.join(known.select(*keys), keys, "left_anti")
-            else:
-                place = lambda d: d.withColumn("_at", F.struct("caller", "callee", *[F.col(f"call_location.{c}").alias(c) for c in ("file_path", "line", "column")]))
-                rows = place(rows).join(place(known).select("_at"), "_at", "left_anti").drop("_at")
-        rows.write.mode("overwrite").parquet(own)
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # BUCKETS numbers at most
+            known = spark.read.option("mergeSchema", False).schema(batch.schema.add("batch", "long").add("_bucket", "integer")).parquet(path)
+            known = known.filter((F.col("batch") < number) & F.col("_bucket").isin(*touched))
+            rows = rows.withColumn("_at", place).join(known.select(place.alias("_at")), "_at", "left_anti").drop("_at")
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)
 
     out = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return out.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def matched(requests: DataFrame, responses: DataFrame, late: str = "10 seconds", timeout: str = TIMEOUT) -> DataFrame:
-    """requests(request_id, ts, ...), responses(request_id, ts, ...) -> each request with its answer within the timeout, as response_ts and what else it has; later answers are ignored."""
+    """requests(request_id, ts, ...), responses(request_id, ts, ...) -> each request with its first answer within the timeout, as response_ts and what else it has; later ones are ignored."""
     return _joined(requests, responses, late, timeout, "inner")
 
 
@@ -62,7 +65,27 @@ def _joined(requests: DataFrame, responses: DataFrame, late: str, timeout: str,
     if requests.isStreaming:
         requests, right = requests.withWatermark("ts", late), right.withWatermark("response_ts", late)
     in_time = (F.col("request_id") == F.col("_id")) & (F.col("response_ts") >= F.col("ts")) & (F.col("response_ts") <= F.col("ts") + F.expr(f"interval {timeout}"))
-    return requests.join(right, in_time, how).drop("_id")
+    joined = requests.join(right, in_time, how).drop("_id")
+    # A request is done with its first answer.
+    rest = [c for c in right.columns if c not in ("_id", "response_ts")]
+    first = joined.groupBy(*requests.columns).agg(F.min(F.struct("response_ts", *rest)).alias("_first"))
+    return first.select(*requests.columns, "_first.response_ts", *[f"_first.{c}" for c in rest])
+
+
+def loads(sessions: DataFrame) -> DataFrame:
+    """sessions(session_id, started, initialized, asked, symbols: array of (ts, name)) -> session_id, phase, reason, loaded: symbols that came in time; a server that doesn't start in time has failed."""
+    up = F.col("initialized") <= F.col("started") + F.expr(f"interval {START}")
+    in_time = F.size(F.filter(F.coalesce("symbols", F.array()), lambda s: s["ts"] <= F.col("asked") + F.expr(f"interval {SYMBOLS}")))
+    failed = ~F.coalesce(up, F.lit(False))
+    return sessions.select(
+        "session_id", F.when(failed, "Failed").otherwise("Completed").alias("phase"), F.when(failed, "Initialization timed out").alias("reason"),
+        F.when(failed, 0).otherwise(F.coalesce(in_time, F.lit(0))).alias("loaded"))
+
+
+def since_refresh(events: DataFrame, refreshes: DataFrame) -> DataFrame:
+    """events(ts, ...) after the last refresh(ts): what was loading or pending before is forgotten."""
+    last = refreshes.agg(F.max("ts").alias("_last"))
+    return events.join(F.broadcast(last), F.col("_last").isNull() | (F.col("ts") > F.col("_last"))).drop("_last")  # one row
 
 
 def states(events: DataFrame) -> DataFrame:

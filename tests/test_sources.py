@@ -84,3 +84,50 @@ def test_streams(spark, tmp_path):
     parts = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "base_id int, part_id int")
     expected = spark.createDataFrame([(1, 2), (2, 2), (3, 0)], "base_id int, n int")
     assert sorted(r.base_id for r in ingest.complete_groups(parts, expected).collect()) == [1, 3]
+
+
+def test_requests_are_answered_once_on_a_stream(spark, tmp_path):
+    """The first answer in time wins; a request without one fails once the watermark has passed."""
+    from callweave.streaming import ingest
+
+    stamp = lambda n: f"2024-01-01 00:{n // 60:02d}:{n % 60:02d}"
+    asked = [(1, 0, "a"), (2, 5, "b"), (3, 6, "c"), (99, 300, "z")]
+    got = [(1, 3, "first"), (1, 9, "second"), (2, 50, "late"), (98, 300, "none")]
+    spark.createDataFrame([(i, stamp(t), s) for i, t, s in asked], "request_id long, ts string, symbol_id string").selectExpr("request_id", "timestamp(ts) ts", "symbol_id").coalesce(1).write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([(i, stamp(t), s) for i, t, s in got], "request_id long, ts string, said string").selectExpr("request_id", "timestamp(ts) ts", "said").coalesce(1).write.parquet(str(tmp_path / "a"))
+    read = lambda k, schema: spark.readStream.schema(schema).parquet(str(tmp_path / k))
+    out = ingest.outcomes(read("q", "request_id long, ts timestamp, symbol_id string"), read("a", "request_id long, ts timestamp, said string"))
+    q = out.writeStream.format("memory").queryName("outcomes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = {r.symbol_id: (r.state, r.reason) for r in spark.table("outcomes").collect()}
+    assert rows == {"a": ("Loaded", None), "b": ("Failed", "Request timed out"), "c": ("Failed", "Request timed out")}
+    assert spark.table("outcomes").count() == 3
+    batch = ingest.matched(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "a"))).collect()
+    assert [(r.symbol_id, r.said) for r in batch] == [("a", "first")]
+
+
+def test_answers_of_hierarchies_enter_the_graph(spark):
+    from callweave.graph import CallGraph
+    from callweave.sources import messages
+
+    at = '{"start":{"line":4,"character":2},"end":{"line":4,"character":8}}'
+    item = f'{{"name":"f","kind":12,"detail":"ns","uri":"file:///x.c","range":{at},"selectionRange":{at}}}'
+    rows = spark.createDataFrame([(1, f'[{{"from":{item},"fromRanges":[{at},{at}]}}]', None), (2, "{}", None), (3, "null", None)], "id long, result string, error string")
+    sites = messages.call_sites(rows.filter("id = 1"), outgoing=False)
+    functions, calls = messages.found_calls(sites, spark.createDataFrame([(1, "me")], "id long, function_id string"), outgoing=False)
+    g = CallGraph.empty(spark).add_functions(functions).add_calls(calls)
+    f = g.functions.collect()
+    assert [(x.qualified_name, x.definition_location.line) for x in f] == [("ns::f", 5)]
+    assert [(c.caller, c.callee) for c in g.calls.collect()] == [(f[0].id, "me")]
+    assert [r.id for r in messages.malformed(rows, messages.LOCATIONS).collect()] == [2]
+
+
+def test_loading_keeps_its_deadlines(spark):
+    from callweave.streaming import ingest
+
+    rows = spark.sql("""SELECT 1 session_id, timestamp'2024-01-01 00:00:00' started, timestamp'2024-01-01 00:00:09' initialized, timestamp'2024-01-01 00:00:10' asked,
+        array(named_struct('ts', timestamp'2024-01-01 00:00:11', 'name', 'a'), named_struct('ts', timestamp'2024-01-01 00:00:13', 'name', 'b')) symbols
+        UNION ALL SELECT 2, timestamp'2024-01-01 00:00:00', timestamp'2024-01-01 00:00:11', null, null""")
+    assert sorted((r.session_id, r.phase, r.loaded) for r in ingest.loads(rows).collect()) == [(1, "Completed", 1), (2, "Failed", 0)]
+    kept = ingest.since_refresh(rows.select(F.col("started").alias("ts"), "session_id"), rows.select(F.col("started").alias("ts")).limit(0))
+    assert kept.count() == 2
