@@ -111,10 +111,12 @@ class CallGraph:
         """
         pairs = self.calls.groupBy("caller", "callee").agg(F.count("*").alias("n"))
         ids = self.functions.select("id")
-        ins = pairs.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").groupBy(F.col("callee").alias("id")).agg(F.sum("n").alias("n_callers"))
-        outs = pairs.join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi").groupBy(F.col("caller").alias("id")).agg(F.sum("n").alias("n_callees"))
+        end = lambda of, other, ins, outs: F.struct(F.col(of).alias("id"), F.col(other).alias("other"), ins.alias("ins"), outs.alias("outs"))
+        ends = F.explode(F.array(end("callee", "caller", F.col("n"), F.lit(0).cast("long")), end("caller", "callee", F.lit(0).cast("long"), F.col("n"))))
+        known = pairs.select(ends.alias("e")).select("e.*").join(ids.withColumnRenamed("id", "other"), "other", "left_semi")
+        counts = known.groupBy("id").agg(F.sum("ins").alias("n_callers"), F.sum("outs").alias("n_callees"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-        return ids.join(ins, "id", "left").join(outs, "id", "left").select("id", zero("n_callers"), zero("n_callees"))
+        return ids.join(counts, "id", "left").select("id", zero("n_callers"), zero("n_callees"))
 
     def calling_symbols(self) -> DataFrame:
         """function_id, seq, name: the functions, methods and constructors that refer to a function."""

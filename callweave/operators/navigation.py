@@ -1,36 +1,42 @@
 """Steps between the nodes of an extracted graph: siblings with wrap-around, middle child, active parent.
 
-Windows run over the children of one parent; children that repeat stay where they are.
+Children are numbered over all parents at once, by ranges that are sorted side by side, so that a parent
+with a third of all edges is no task of its own; children that repeat stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import keep, numbered
+
+
+def _ranked(edges: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges with their number `at`, and for each key the range of its numbers: low, high."""
+    ranked = keep(numbered(edges.select("src", "dst", "ord"), [key, *order], "at"))
+    return ranked, ranked.groupBy(key).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+
 
 def siblings(edges: DataFrame) -> DataFrame:
     """edges(src, dst, ord) -> (parent, idx, ord, next, previous): the first follows the last."""
-    order = Window.partitionBy("src").orderBy("ord", "dst")
-    first, last = F.min_by("dst", F.struct("ord", "dst")), F.max_by("dst", F.struct("ord", "dst"))
-    ends = edges.groupBy("src").agg(first.alias("first"), last.alias("last"))
-    near = edges.select("src", "dst", "ord", F.lead("dst").over(order).alias("_next"), F.lag("dst").over(order).alias("_previous"))
-    return near.join(ends, "src").select(
-        F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord",
-        F.coalesce("_next", "first").alias("next"), F.coalesce("_previous", "last").alias("previous"))
+    ranked, ends = _ranked(edges, "src", ["ord", "dst"])
+    near = ranked.join(ends, "src").select(
+        "src", "dst", "ord", F.when(F.col("at") == F.col("high"), F.col("low")).otherwise(F.col("at") + 1).alias("_next"),
+        F.when(F.col("at") == F.col("low"), F.col("high")).otherwise(F.col("at") - 1).alias("_previous"))
+    at = lambda name: ranked.select(F.col("at").alias(f"_{name}"), F.col("dst").alias(name))
+    return near.join(at("next"), "_next").join(at("previous"), "_previous").select(F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord", "next", "previous")
 
 
 def middle_children(edges: DataFrame) -> DataFrame:
     """(parent, child): of n children number (n - 1) / 2, from 0."""
-    order = Window.partitionBy("src").orderBy("ord", "dst")
-    ranked = edges.select("src", "dst", (F.row_number().over(order) - 1).alias("k"))
-    sizes = edges.groupBy("src").agg(F.count("*").alias("n"))
-    return ranked.join(sizes, "src").filter(F.col("k") == F.floor((F.col("n") - 1) / 2)).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+    ranked, ends = _ranked(edges, "src", ["ord", "dst"])
+    middle = ends.select((F.col("low") + F.floor((F.col("high") - F.col("low")) / 2)).alias("at"))
+    return ranked.join(middle, "at").select(F.col("src").alias("parent"), F.col("dst").alias("child"))
 
 
 def active_parents(edges: DataFrame, cursor: int) -> DataFrame:
     """(idx, parent): of each node's parents the one at the cursor, which goes round."""
-    order = Window.partitionBy("dst").orderBy("src", "ord")
-    ranked = edges.select("src", "dst", (F.row_number().over(order) - 1).alias("k"))
-    sizes = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    return ranked.join(sizes, "dst").filter(F.col("k") == F.pmod(F.lit(cursor), F.col("n"))).select(F.col("dst").alias("idx"), F.col("src").alias("parent"))
+    ranked, ends = _ranked(edges, "dst", ["src", "ord"])
+    active = ends.select((F.col("low") + F.pmod(F.lit(cursor), F.col("high") - F.col("low") + 1)).alias("at"))
+    return ranked.join(active, "at").select(F.col("dst").alias("idx"), F.col("src").alias("parent"))

@@ -8,19 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep
-from .traversal import bfs_tree, one
+from .traversal import bfs, one
 
 
 def _steps(edges: DataFrame, start: str, max_nodes: int, stop: str | None = None) -> list[DataFrame]:
-    """Tables of (path, last), of one node, two, and so on; paths that arrived at `stop` go no further."""
+    """Tables of (path, last), of one node, two, and so on; with `stop` paths that can't arrive there any more are left, and those that did go no further."""
     if max_nodes < 1:
         return []
     edges = keep(edges.select("src", "dst"))
+    if stop is not None:
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        near = keep(bfs(back, one(edges, stop), max_nodes - 1))
     level = one(edges, start).select(F.array("id").alias("path"), F.col("id").alias("last"))
     levels = [level]
-    for _ in range(max_nodes - 1):
+    for nodes in range(2, max_nodes + 1):
         going = level if stop is None else level.filter(F.col("last") != stop)
         step = going.join(edges, going["last"] == edges["src"]).filter(~F.array_contains("path", F.col("dst")))
+        if stop is not None:
+            step = step.join(near, F.col("dst") == near["id"]).filter(F.col("depth") <= max_nodes - nodes).drop("id", "depth")
         level = keep(step.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")))
         if level.isEmpty():
             break
@@ -52,5 +57,5 @@ def cycles(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
 
 def path_analysis(sites: DataFrame, start: str) -> DataFrame:
     """One row over the shortest paths from start, its own of no edge included: total_paths, max_depth, avg_depth."""
-    return bfs_tree(sites, start).agg(
+    return bfs(sites.select("src", "dst"), one(sites, start)).agg(
         F.count("*").alias("total_paths"), F.max("depth").cast("long").alias("max_depth"), F.avg("depth").alias("avg_depth"))

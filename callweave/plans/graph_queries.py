@@ -279,7 +279,9 @@ def search_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(line_graph(spark, sf_dir), "")
 
 
-@query()
+@query("""SELECT * FROM (SELECT p_partkey::VARCHAR AS id, p_name AS name, 'src/' || p_type || '.c' AS file_path, (p_partkey + 1)::INT AS line, (1.0::DOUBLE / greatest(log2(a), 1.0) * (1.0::DOUBLE / (c - a + 1)))::FLOAT AS score
+FROM (SELECT *, b + instr(substr(t, b + 1), 'n') AS c FROM (SELECT *, a + instr(substr(t, a + 1), 'a') AS b FROM (SELECT *, lower(p_name) AS t, instr(lower(p_name), 'b') AS a FROM part))) WHERE a > 0 AND b > a AND c > b)
+ORDER BY score DESC, name, id LIMIT 50""")
 def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(line_graph(spark, sf_dir), "ban")
 

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where it is unset, as in tests on one machine, a new temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="callweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
