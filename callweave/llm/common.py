@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not current.isDefined() and (not master.startswith("local") or "cluster" in master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="callweave-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(path)
