@@ -42,19 +42,38 @@ from .common import keep, shared_dir, table
 VISIBLE, LETTER = "!-~\u00C0-\u024F", "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
 #: Texts with a space beside something else than two visible characters.
 ODD_SPACE = f"[^{VISIBLE}] |^ | $| [^{VISIBLE}]"
-#: Words that a Python worker remembers at most; beyond that it begins anew.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers at most: those of two generations.
+REMEMBERED = 500_000
 #: Documents encoded together, and tasks that read files at most.
 TOGETHER, READERS = 2048, 10_000
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
 
 
+class Words:
+    """Ids of words that were encoded; when a generation is full, the older one goes, but for the words that were asked for since."""
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def missing(self, words: list[str]) -> list[str]:
+        if len(self.new) > REMEMBERED // 2:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                if (ids := old.get(w)) is None:
+                    out.append(w)
+                else:
+                    new[w] = ids
+        return out
+
+
 #: Words that this Python worker has encoded, by tokenizer; it runs many tasks.
-_known: dict[int, dict[str, bytes]] = {}
+_known: dict[int, Words] = {}
 
 
-def remembered(tokenizer: int) -> dict[str, bytes]:
-    return _known.setdefault(tokenizer, {})
+def remembered(tokenizer: int) -> Words:
+    return _known.setdefault(tokenizer, Words())
 
 
 def whole_texts(tokenizer: str) -> str:
@@ -86,7 +105,7 @@ def cut_words(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(pc.replace_substring_regex(spaced, f"([{LETTER}])([!-&(-/:-@\\[-`{{-~])", "\\1\0\\2"), "\0")
 
 
-def encode(tokenizer, texts: pa.Array, known: dict[str, bytes], width: int, whole: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(tokenizer, texts: pa.Array, known: Words, width: int, whole: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts after each other, number of ids of each); the library encodes a word once, `known` remembers it. whole: the form of texts that aren't cut."""
     texts = texts.fill_null("").cast(pa.large_string())
     uncut = pc.match_substring_regex(texts, whole)
@@ -95,12 +114,13 @@ def encode(tokenizer, texts: pa.Array, known: dict[str, bytes], width: int, whol
         lists = pa.array([[t] if z else words for t, z, words in zip(texts.to_pylist(), uncut.to_pylist(), lists.to_pylist())], pa.list_(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = [w for w in words if w not in known]
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, dtype=f"<u{width}").tobytes()
-    ids = [known[w] for w in words]
+    new = known.missing(words)
+    form = re.compile(whole)
+    for some, plain in (([w for w in new if not form.search(w)], True), ([w for w in new if form.search(w)], False)):
+        tokenizer.encode_special_tokens = plain  # words hold no added token: the library needn't look for them
+        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            known.new[w] = np.array(e.ids, dtype=f"<u{width}").tobytes()
+    ids = [known.new[w] for w in words]
     n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
     flat, first, at = np.frombuffer(b"".join(ids), dtype=f"<u{width}"), np.cumsum(n) - n, coded.indices.to_numpy()
     ends = np.cumsum(n[at])
