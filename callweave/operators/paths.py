@@ -11,6 +11,10 @@ from ..storage import keep
 from .traversal import bfs, one
 
 
+#: The last steps of a path, in which those that can't arrive any more are left; there are most of them by then.
+NEAR = 2
+
+
 def _steps(edges: DataFrame, start: str, max_nodes: int, stop: str | None = None) -> list[DataFrame]:
     """Tables of (path, last), of one node, two, and so on; with `stop` paths that can't arrive there any more are left, and those that did go no further."""
     if max_nodes < 1:
@@ -18,13 +22,13 @@ def _steps(edges: DataFrame, start: str, max_nodes: int, stop: str | None = None
     edges = keep(edges.select("src", "dst"))
     if stop is not None:
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        near = keep(bfs(back, one(edges, stop), max_nodes - 1))
+        near = keep(bfs(back, one(edges, stop), max(0, min(NEAR, max_nodes - 2))))
     level = one(edges, start).select(F.array("id").alias("path"), F.col("id").alias("last"))
     levels = [level]
     for nodes in range(2, max_nodes + 1):
         going = level if stop is None else level.filter(F.col("last") != stop)
         step = going.join(edges, going["last"] == edges["src"]).filter(~F.array_contains("path", F.col("dst")))
-        if stop is not None:
+        if stop is not None and max_nodes - nodes <= NEAR:
             step = step.join(near, F.col("dst") == near["id"]).filter(F.col("depth") <= max_nodes - nodes).drop("id", "depth")
         level = keep(step.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")))
         if level.isEmpty():

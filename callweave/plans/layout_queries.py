@@ -44,12 +44,14 @@ def dag_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.dummies(*_layered(spark, sf_dir)).select("src", "dst", "hop")
 
 
-@query(f"""WITH RECURSIVE {LAYERS}, k AS (SELECT idx, layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY layer) AS n FROM ly)
-SELECT idx, (layer * 4.0)::FLOAT AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::FLOAT AS y FROM k""")
+@query(f"""WITH RECURSIVE {LAYERS}, p AS (SELECT layer, idx AS a, idx AS b FROM ly UNION ALL SELECT unnest(range(u.layer + 1, v.layer))::INT, src, dst FROM te JOIN ly u ON u.idx = src JOIN ly v ON v.idx = dst),
+k AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY a <> b, a, b) - 1 AS pos, count(*) OVER (PARTITION BY layer) AS n FROM p)
+SELECT a AS idx, b AS other, (layer * 4.0)::FLOAT AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::FLOAT AS y FROM k""")
 def dag_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes (idx twice) and dummies of long edges (idx to other) in their first order."""
     edges, layer = _layered(spark, sf_dir)
-    placed = layout.coordinates(layout.initial_order(layout.vertices(layer, layout.dummies(edges.limit(0), layer))), CONFIG)
-    return placed.select(F.col("v.a").alias("idx"), "at.x", "at.y")
+    placed = layout.coordinates(layout.initial_order(layout.vertices(layer, layout.dummies(edges, layer))), CONFIG)
+    return placed.select(F.col("v.a").alias("idx"), F.col("v.b").alias("other"), "at.x", "at.y")
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
