@@ -7,7 +7,7 @@ windows of its passages, compiles an Aho-Corasick automaton from them and stream
 order of documents, through it: every occurrence but a window's first is covered. Covered words go.
 
 Equal texts are one document here: the first is searched, later ones lose all if they have a window.
-Word sequences are compared as sequences of 32-bit word hashes.
+Word sequences are compared as sequences of 64-bit word hashes.
 
 Defined cases: a null text has no words; a document shorter than a window loses nothing; null ids come
 before all others; texts of one id are ordered by their hash, and rows that repeat id and text are one
@@ -127,12 +127,11 @@ def covered(docs: DataFrame) -> DataFrame:
             for i, h, text, prints in zip(*(part.column(c).to_pylist() for c in ("id", "hash", "text", "prints"))):
                 hashes = word_hashes(text, known)[1]
                 found, starts, n = passages(hashes)
-                low = hashes.astype(np.uint32)
                 ours = np.isin(found.astype(np.int64), np.array(prints, dtype=np.int64))
                 for p, a, k in zip(found[ours].astype(np.int64), starts[ours], n[ours]):
                     for b in range(a, a + k, LONGEST):
                         m = min(LONGEST, a + k - b)
-                        out.append((p, i, h, b, low[b : b + m + WINDOW - 1].tobytes()))
+                        out.append((p, i, h, b, hashes[b : b + m + WINDOW - 1].tobytes()))
                 if len(out) > 20_000:
                     yield sent(out)
                     out = []
@@ -162,26 +161,27 @@ def covered(docs: DataFrame) -> DataFrame:
     def locate(rows: pa.Table, earlier: tuple[int | None, set]) -> tuple[pa.RecordBatch, tuple[int | None, set]]:
         """Covered ranges of passages in order; earlier: a fingerprint whose passages went before, and its windows."""
         prints, ids, hashes, starts = (rows.column(c).to_numpy() for c in ("print", "id", "hash", "start"))
-        words = [np.frombuffer(w.as_buffer(), dtype=np.uint32) for w in rows.column("words")]
+        words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows.column("words")]
         size = np.array([len(w) for w in words])
         flat = np.concatenate(words)
         first = np.cumsum(size) - size
-        window = mixed(flat.astype(np.uint64), WINDOW)
+        window = mixed(flat, WINDOW)
         at = np.concatenate([np.arange(f, f + n - WINDOW + 1) for f, n in zip(first, size)])
         of = np.repeat(np.arange(len(size)), size - WINDOW + 1)
         value, begin, back, count = np.unique(window[at], return_index=True, return_inverse=True, return_counts=True)
         known = np.array([int(v) in earlier[1] for v in value]) if earlier[1] else np.zeros(len(value), dtype=bool)
         recurs = (count > 1) | known
+        letter = np.unique(flat, return_inverse=True)[1]  # an automaton's letters are 32-bit numbers: those of its words
         phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k in np.flatnonzero(recurs):
-            phrases.add_word(tuple(flat[at[begin[k]] : at[begin[k]] + WINDOW].tolist()), int(k))
+            phrases.add_word(tuple(letter[at[begin[k]] : at[begin[k]] + WINDOW].tolist()), int(k))
         out = []
         if len(phrases):
             phrases.make_automaton()
             seen = set(np.flatnonzero(known).tolist())
             for s in np.unique(of[recurs[back]]):
                 gone = []
-                for end, k in phrases.iter(tuple(words[s].tolist())):
+                for end, k in phrases.iter(tuple(letter[first[s] : first[s] + size[s]].tolist())):
                     if k in seen:
                         gone.append(end - WINDOW + 1)
                     seen.add(k)

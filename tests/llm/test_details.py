@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -163,6 +164,24 @@ def test_repeats_of_a_null_id_and_of_a_hot_passage(spark):
     assert got == {None: (31, 0), **{i: (33, 30) for i in range(60)}}
 
 
+def test_windows_that_differ_in_one_word_of_a_like_hash(spark):
+    """Two words whose 64-bit hashes agree in their lower half, at any place of a window."""
+    half, pair = {}, None
+    for i in range(10_000_000):
+        pair = half.setdefault(xxhash.xxh64_intdigest(f"w{i}") & 0xFFFFFFFF, i), i
+        if pair[0] != i:
+            break
+    one, other = (f"w{i}" for i in pair)
+    rows = []
+    for at in range(20):
+        for n, word in enumerate((one, other)):
+            words = [f"p{at}x{k}" for k in range(20)]
+            words[at] = word
+            rows.append((2 * at + n, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (100, rows[0][1] + " end")], DOCS)
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect() if r.n_removed} == {100: 20}
+
+
 def test_pipeline_stages(spark):
     """Each stage on its own input against a plain version of its decision."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
