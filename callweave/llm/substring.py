@@ -6,6 +6,10 @@ documents then send the passages whose fingerprint recurs to its shard. A shard
 windows of its passages, compiles an Aho-Corasick automaton from them and streams all its passages, in
 order of documents, through it: every occurrence but a window's first is covered. Covered words go.
 
+Phrases that very many documents hold are thinned out before they are shuffled. Of a fingerprint that
+a batch holds in several texts only two go to where it is counted; the others are known to recur. A
+passage that a task has sent once is covered wherever it stands again later, and isn't sent again.
+
 Equal texts are one document here: the first is searched, later ones lose all if they have a window.
 Word sequences are compared as sequences of 64-bit word hashes.
 
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 WINDOW, PHRASE = 20, 8
-#: Words that a task remembers; windows of a passage; passages of an automaton.
-REMEMBERED, LONGEST, PASSAGES = 1_000_000, 256, 20_000
+#: Words and passages that a task remembers; windows of a passage; passages of an automaton.
+REMEMBERED, SENT, LONGEST, PASSAGES = 1_000_000, 500_000, 256, 20_000
+#: What is known of a fingerprint in a text: it stands there once, stands there again, or recurs elsewhere.
+ONCE, AGAIN, SETTLED = 0, 1, 2
 RANGES = "array<struct<start:int,n:int>>"
 
 
@@ -72,7 +79,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     def prints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = {}, set()
         for part in parts:
-            out, of, again = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
+            out, of, again = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int8)]
             for h, text in zip(part.column("hash").to_pylist(), part.column("text").to_pylist()):
                 if h in seen:
                     continue
@@ -84,16 +91,26 @@ def recurring(docs: DataFrame) -> DataFrame:
                     out.append(found)
                     of.append(np.full(len(found), h, dtype=np.int64))
                     # A window that recurs in its own text has a phrase that stands there twice.
-                    again.append(np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left") > 1)
-            yield pa.RecordBatch.from_pydict({"print": np.concatenate(out).astype(np.int64), "hash": np.concatenate(of), "again": np.concatenate(again)})
+                    twice = np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left") > 1
+                    again.append(np.where(twice, AGAIN, ONCE).astype(np.int8))
+            p, known_as = np.concatenate(out), np.concatenate(again)
+            order = np.argsort(p, kind="stable")  # rows of one print are of different texts
+            third = np.flatnonzero(p[order][2:] == p[order][:-2]) + 2
+            known_as[order[third]] = SETTLED
+            yield pa.RecordBatch.from_pydict({"print": p.astype(np.int64), "hash": np.concatenate(of), "again": known_as})
 
     def repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by print and hash; a row whose print isn't known to recur yet waits for the next."""
         last, wait = None, None
         for part in parts:
             p, h, again = (part.column(c).to_numpy(zero_copy_only=False) for c in ("print", "hash", "again"))
+            settled = again == SETTLED
+            if settled.any():
+                yield rows(p[settled], h[settled])
+                p, h, again = p[~settled], h[~settled], again[~settled]
             if not len(p):
                 continue
+            again = again == AGAIN
             same = np.concatenate([[last is not None and p[0] == last[0]], p[1:] == p[:-1]])
             other = np.concatenate([[bool(same[0]) and h[0] != last[1]], same[1:] & (h[1:] != h[:-1])])
             starts = np.flatnonzero(np.concatenate([[True], ~same[1:]]))
@@ -112,16 +129,19 @@ def recurring(docs: DataFrame) -> DataFrame:
     def rows(p, h) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"print": pa.array(p, pa.int64()), "hash": pa.array(h, pa.int64())})
 
-    counted = docs.mapInArrow(prints, "print long, hash long, again boolean").repartition("print").sortWithinPartitions("print", "hash")
+    counted = docs.mapInArrow(prints, "print long, hash long, again byte")
+    counted = counted.repartition(F.when(F.col("again") == SETTLED, F.col("hash")).otherwise(F.col("print"))).sortWithinPartitions("print", "hash")
     found = counted.mapInArrow(repeated, "print long, hash long")
     return keep(found.groupBy("hash").agg(F.collect_set("print").alias("prints")), "recurring")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """docs(id, hash, text, prints) -> (id, hash, ranges): runs of windows (start, n) that occur earlier."""
+    places, kinds = ["print", "id", "hash", "start", "words", "n"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {}
+        """Documents come in order of id and hash; a passage that went before is a covered range (n), without words."""
+        known, before = {}, set()
         for part in parts:
             out = []
             for i, h, text, prints in zip(*(part.column(c).to_pylist() for c in ("id", "hash", "text", "prints"))):
@@ -131,19 +151,30 @@ def covered(docs: DataFrame) -> DataFrame:
                 for p, a, k in zip(found[ours].astype(np.int64), starts[ours], n[ours]):
                     for b in range(a, a + k, LONGEST):
                         m = min(LONGEST, a + k - b)
-                        out.append((p, i, h, b, hashes[b : b + m + WINDOW - 1].tobytes()))
+                        words = hashes[b : b + m + WINDOW - 1].tobytes()
+                        key = xxhash.xxh3_128_digest(words)
+                        if key in before:
+                            out.append((h, i, h, b, None, m))
+                            continue
+                        if len(before) >= SENT:
+                            before.clear()
+                        before.add(key)
+                        out.append((p, i, h, b, words, None))
                 if len(out) > 20_000:
                     yield sent(out)
                     out = []
             yield sent(out)
 
     def sent(out: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["print", "id", "hash", "start", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], places)
 
     def shard(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, earlier = None, (None, set())
         for part in parts:
+            told = part.column("n").is_valid()
+            if part.num_rows > told.false_count:
+                yield part.filter(told).select(["id", "hash", "start", "n"])
+                part = part.filter(pc.invert(told))
             now = pa.Table.from_batches([part] if rest is None else [rest, part]).combine_chunks()
             rest = None
             if now.num_rows < PASSAGES:
@@ -190,12 +221,13 @@ def covered(docs: DataFrame) -> DataFrame:
                     edge = np.flatnonzero(np.concatenate([[True], np.diff(gone) > 1]))
                     for a, n in zip(gone[edge], np.diff(np.append(edge, len(gone)))):
                         out.append((ids[s], hashes[s], starts[s] + a, n))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["id", "hash", "start", "n"])
+        found = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(found)], ["id", "hash", "start", "n"])
         own = window[at[prints[of] == prints[-1]]].tolist()
         return batch, (prints[-1], ({*own} | earlier[1]) if earlier[0] == prints[-1] else {*own})
 
-    passed = docs.mapInArrow(send, "print long, id long, hash long, start int, words binary")
+    ordered = docs.sortWithinPartitions("id", "hash")
+    passed = ordered.mapInArrow(send, "print long, id long, hash long, start int, words binary, n int")
     in_order = passed.repartition("print").sortWithinPartitions("print", "id", "hash", "start")
     found = in_order.mapInArrow(shard, "id long, hash long, start int, n int")
     return keep(found.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "covered")

@@ -1,5 +1,6 @@
 """Cases of single operators and of the pipeline's stages, held against plain versions."""
 
+import random
 import re
 import zlib
 
@@ -164,6 +165,36 @@ def test_repeats_of_a_null_id_and_of_a_hot_passage(spark):
     assert got == {None: (31, 0), **{i: (33, 30) for i in range(60)}}
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_dedup_equals_brute_force(spark, parts):
+    """Passages that most documents hold, whole, in part, twice and at odd places; copies; runs of one word."""
+    dice = random.Random(7)
+    hot = [f"h{i}" for i in range(70)]
+    texts = []
+    for i in range(240):
+        a = dice.randrange(0, 40)
+        some = hot if i % 3 else hot[a : a + dice.randrange(10, 31)]
+        own = [f"o{i}x{k}" for k in range(dice.randrange(0, 30))]
+        at = dice.randrange(len(own) + 1)
+        words = own[:at] + some + own[at:] + (some if i % 5 == 0 else [])
+        texts.append(" ".join(words))
+    texts += [texts[3], texts[3], "r " * 50, "r " * 45 + "s", " ".join(hot[:19]), ""]
+    dice.shuffle(texts)
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        words = text.split()
+        gone = set()
+        for at in range(len(words) - 19):
+            window = tuple(words[at : at + 20])
+            if window in seen:
+                gone |= set(range(at, at + 20))
+            seen.add(window)
+        want[i] = (len(words), " ".join(w for at, w in enumerate(words) if at not in gone))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(parts)
+    got = {r.doc_id: (r.n_words, r.kept) for r in substring.remove_repeats(docs).collect()}
+    assert got == want
+
+
 def test_windows_that_differ_in_one_word_of_a_like_hash(spark):
     """Two words whose 64-bit hashes agree in their lower half, at any place of a window."""
     half, pair = {}, None
