@@ -267,7 +267,7 @@ def paths_of(paths: DataFrame, of: str) -> DataFrame:
 
 def path_between(paths: DataFrame, parent: int, child: int) -> DataFrame:
     """The path of one edge, or none."""
-    return paths.filter((F.col("parent") == parent) & (F.col("child") == child))
+    return paths.filter((F.col("parent_id") == parent) & (F.col("child_id") == child))
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -44,14 +44,42 @@ def dag_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.dummies(*_layered(spark, sf_dir)).select("src", "dst", "hop")
 
 
-@query(f"""WITH RECURSIVE {LAYERS}, p AS (SELECT layer, idx AS a, idx AS b FROM ly UNION ALL SELECT unnest(range(u.layer + 1, v.layer))::INT, src, dst FROM te JOIN ly u ON u.idx = src JOIN ly v ON v.idx = dst),
-k AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY a <> b, a, b) - 1 AS pos, count(*) OVER (PARTITION BY layer) AS n FROM p)
-SELECT a AS idx, b AS other, (layer * 4.0)::FLOAT AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::FLOAT AS y FROM k""")
+# Nodes and dummies by layer, in their first order.
+ORDERED = f"""WITH RECURSIVE {LAYERS}, p AS (SELECT layer, idx AS a, idx AS b FROM ly UNION ALL SELECT unnest(range(u.layer + 1, v.layer))::INT, src, dst FROM te JOIN ly u ON u.idx = src JOIN ly v ON v.idx = dst),
+k AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY a <> b, a, b) - 1 AS pos, count(*) OVER (PARTITION BY layer) AS n FROM p)"""
+PLACED = f"{ORDERED}, c AS (SELECT a AS idx, (layer * 4.0)::DOUBLE AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::DOUBLE AS y FROM k WHERE a = b)"
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges, layer = _layered(spark, sf_dir)
+    return edges, layout.coordinates(layout.initial_order(layout.vertices(layer, layout.dummies(edges, layer))), CONFIG)
+
+
+def _positions(placed: DataFrame) -> DataFrame:
+    return placed.filter("v.a = v.b").select(F.col("v.a").alias("idx"), F.col("at.x").cast("double").alias("x"), F.col("at.y").cast("double").alias("y"))
+
+
+@query(f"{ORDERED} SELECT a AS idx, b AS other, (layer * 4.0)::FLOAT AS x, (-(n - 1) * 2.0 / 2 + pos * 2.0)::FLOAT AS y FROM k")
 def dag_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes (idx twice) and dummies of long edges (idx to other) in their first order."""
-    edges, layer = _layered(spark, sf_dir)
-    placed = layout.coordinates(layout.initial_order(layout.vertices(layer, layout.dummies(edges, layer))), CONFIG)
-    return placed.select(F.col("v.a").alias("idx"), F.col("v.b").alias("other"), "at.x", "at.y")
+    return _placed(spark, sf_dir)[1].select(F.col("v.a").alias("idx"), F.col("v.b").alias("other"), "at.x", "at.y")
+
+
+@query(f"{PLACED} SELECT src, dst, u.x + 2 AS exit_x, u.y + 1 AS exit_y, v.x AS entry_x, v.y + 1 AS entry_y FROM te JOIN c u ON u.idx = src JOIN c v ON v.idx = dst")
+def dag_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, placed = _placed(spark, sf_dir)
+    return layout.connections(_positions(placed), edges)
+
+
+@query(f"{PLACED} SELECT min(x) - 10 AS min_x, min(y) - 1.5::DOUBLE AS min_y, max(x) + 10 AS max_x, max(y) + 1.5::DOUBLE AS max_y FROM c")
+def dag_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.bounds(_positions(_placed(spark, sf_dir)[1]), CONFIG)
+
+
+@query(f"{PLACED}, s AS (SELECT idx, (x - 4) / 2 AS x, (y + 20) / 2 AS y FROM c) SELECT * FROM s WHERE x BETWEEN 0 AND 100 AND y BETWEEN 0 AND 40")
+def dag_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on a screen of 100 by 40 at half their size, the view moved to (4, -20)."""
+    return layout.visible(_positions(_placed(spark, sf_dir)[1]), (4, -20), 0.5, 100, 40)
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

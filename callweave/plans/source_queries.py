@@ -78,14 +78,15 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.project_paths(table(spark, sf_dir, "pages").select("page_id", "url"), "url", names)
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders),
+SHIPPED = """WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders),
 l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1995-01-01', l_shipdate::DATE) AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS k FROM lineitem),
 s AS (SELECT o_custkey AS file, [k] AS path, d AS a, d + 120 AS b, d AS oa, d + 120 AS ob, 'order ' || o_orderkey AS symbol FROM o
   UNION ALL SELECT o_custkey, [o.k, l.k], l.d, l.d + 5, o.d, o.d + 120, 'line ' || o_orderkey || '/' || l.k FROM l JOIN o ON l_orderkey = o_orderkey),
 p AS (SELECT l_orderkey * 1000 + l.k AS pos_id, o_custkey AS file, l.d AS pd FROM l JOIN o ON l_orderkey = o_orderkey),
-h AS (SELECT pos_id, symbol, row_number() OVER (PARTITION BY pos_id ORDER BY list_append(path, 2147483647)) AS r FROM p JOIN s ON p.file = s.file AND pd BETWEEN a AND b AND pd BETWEEN oa AND ob)
-SELECT p.pos_id::BIGINT AS pos_id, symbol FROM p LEFT JOIN (SELECT * FROM h WHERE r = 1) h USING (pos_id)""")
-def containing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+h AS (SELECT pos_id, symbol, row_number() OVER (PARTITION BY pos_id ORDER BY list_append(path, 2147483647)) AS r FROM p JOIN s ON p.file = s.file AND pd BETWEEN a AND b AND pd BETWEEN oa AND ob)"""
+
+
+def _shipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Days lines were shipped, in the orders of the same customer: an order runs for 120 days, a line for five."""
     day = lambda c: F.date_diff(F.to_date(c), F.lit("1995-01-01").cast("date"))
     point = lambda d: F.struct(d.alias("line"), F.lit(0).alias("character"))
@@ -100,7 +101,71 @@ def containing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = o.select(file, F.array("ok").alias("path"), order_range.alias("range"), none.alias("around"), F.concat(F.lit("order "), key).alias("symbol")).unionByName(
         both.select(file, F.array("ok", "k").alias("path"), span(F.col("d"), 5).alias("range"), F.array(order_range).alias("around"), F.concat(F.lit("line "), key, F.lit("/"), F.col("k").cast("string")).alias("symbol")))
     positions = both.select((F.col("l_orderkey") * 1000 + F.col("k")).alias("pos_id"), file, point(F.col("d")).alias("at"))
-    return containment.containing_symbol(positions, symbols)
+    return positions, symbols
+
+
+@query(f"{SHIPPED} SELECT p.pos_id::BIGINT AS pos_id, symbol FROM p LEFT JOIN (SELECT * FROM h WHERE r = 1) h USING (pos_id)")
+def containing_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.containing_symbol(*_shipped(spark, sf_dir))
+
+
+@query(f"{SHIPPED} SELECT p.pos_id::BIGINT AS pos_id, p.file::VARCHAR AS file, pd::INT AS line, symbol FROM p LEFT JOIN (SELECT * FROM h WHERE r = 1) h USING (pos_id)")
+def enhanced_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions, symbols = _shipped(spark, sf_dir)
+    return containment.enhanced_references(positions, symbols).select("pos_id", "file", F.col("at.line").alias("line"), "symbol")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem)
+SELECT o_orderkey AS id, '0' AS path, 'order ' || o_orderkey AS name, 'order ' || o_orderkey AS qualified_name, 5::INT AS kind, NULL AS container_name, 0::INT AS line FROM orders
+UNION ALL SELECT l_orderkey, '0/' || k, 'line ' || l_partkey, 'order ' || l_orderkey || '::line ' || l_partkey, 12, 'order ' || l_orderkey, l_linenumber::INT FROM l JOIN orders ON l_orderkey = o_orderkey""")
+def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents with one symbol, their lines as symbols in it, parsed level by level."""
+    point = lambda line, c: F.struct(line.cast("int").alias("line"), F.lit(c).alias("character"))
+    span = lambda line: F.struct(point(line, 0).alias("start"), point(line, 9).alias("end"))
+
+    def symbol(name, kind: int, line) -> list:
+        return [name.alias("name"), F.lit(kind).alias("kind"), span(line).alias("range"), span(line).alias("selectionRange")]
+
+    line = F.struct(*symbol(F.concat(F.lit("line "), F.col("l_partkey").cast("string")), 12, F.col("l_linenumber")))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("symbol")))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    inside = F.transform("lines", lambda x: x["symbol"]).alias("children")
+    result = F.array(F.struct(*symbol(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), 5, F.lit(0)), inside))
+    found = messages.document_symbols(orders.select(F.col("o_orderkey").alias("id"), F.to_json(result).alias("result"), F.lit(None).cast("string").alias("error")))
+    return found.select("id", F.array_join("path", "/").alias("path"), "name", "qualified_name", "kind", "container_name", "location.line")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS id, l_partkey AS p, l_linenumber AS n, unnest(range(0, 1 + l_linenumber % 2)) AS r FROM lineitem)
+SELECT id, 'part ' || p AS name, CASE p % 2 WHEN 0 THEN 'lib::part ' || p ELSE 'part ' || p END AS qualified_name, CASE p % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind,
+'/src/part ' || p || '.c' AS file_path, (p + 1)::INT AS line, (n + r + 1)::INT AS call_line, 3::INT AS call_column, CASE r WHEN 0 THEN 4 ELSE -1 END::INT AS call_length FROM x""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as answers with an outgoing call each, which stands in one place or two; a length of -1 for places that end on another line."""
+    point = lambda line, c: F.struct(line.cast("int").alias("line"), F.lit(c).alias("character"))
+    span = lambda a, b: F.struct(point(a, 2).alias("start"), point(b, 6).alias("end"))
+    part, n = F.col("l_partkey"), F.col("l_linenumber")
+    to = F.struct(
+        F.concat(F.lit("part "), part.cast("string")).alias("name"), F.when(part % 3 == 0, 6).otherwise(12).alias("kind"), F.when(part % 2 == 0, "lib").otherwise("").alias("detail"),
+        F.concat(F.lit("file:///src/part%20"), part.cast("string"), F.lit(".c")).alias("uri"), span(part, part).alias("range"), span(part, part).alias("selectionRange"))
+    places = F.slice(F.array(span(n, n), span(n + 1, n + 2)), 1, (1 + n % 2).cast("int"))
+    result = F.to_json(F.array(F.struct(to.alias("to"), places.alias("fromRanges"))))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), result.alias("result"), F.lit(None).cast("string").alias("error"))
+    at, call = F.col("item.definition_location"), F.col("call_location")
+    return messages.call_sites(rows, outgoing=True).select(
+        "id", "item.name", "item.qualified_name", "item.kind", at["file_path"].alias("file_path"), at["line"].alias("line"),
+        call["line"].alias("call_line"), call["column"].alias("call_column"), F.coalesce(call["length"], F.lit(-1)).alias("call_length"))
+
+
+@query("""WITH x AS (SELECT event_id, user_id, event_type, (props->>'$.k')::INT AS k FROM events)
+SELECT event_id, '/user ' || user_id AS file_path, (k + 1)::INT AS line, 4::INT AS "column", greatest(k - 1, 0)::INT AS asked, CASE k % 2 WHEN 0 THEN 'k' ELSE '' END || '::' || event_type AS detailed FROM x""")
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of events by URI and position, the line that a request for them has, and names with a detail."""
+    k = F.from_json("props", "k int")["k"]
+    uri = F.concat(F.lit("file:///user%20"), F.col("user_id").cast("string"))
+    at = ids.location_of_position(uri, F.struct(k.alias("line"), F.lit(3).alias("character")))
+    named = ids.detailed_name(F.when(k % 2 == 0, "k"), F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("event_id", at.alias("at"), ids.request_position(k).alias("asked"), named.alias("detailed"))
+    return rows.select("event_id", "at.file_path", "at.line", "at.column", "asked", "detailed")
 
 
 # Requests are views, answers the purchases of the same user.
