@@ -99,11 +99,16 @@ def cells(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(placed: DataFrame, threshold: float) -> DataFrame:
-    """(id, links, root): from each pair of blocks of a cell, links of ids that are counted there, and a linked id to join with."""
+    """(id, links, root): from each pair of blocks of a cell, links of ids that are counted there, and a linked id to join with; only ids that have either."""
     placed = keep(placed, "cells")
-    blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    at_home = F.col("home") == F.col("cell")
+    in_blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    blocks = placed.groupBy("label", "dim", "cell").agg(in_blocks(at_home).alias("homes"), in_blocks(~at_home).alias("visitors")).filter("homes > 0")
+    # Blocks of those at home come first and meet all blocks; visitors meet those at home only.
+    block = F.when(at_home, F.pmod(F.xxhash64("id"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("id"), F.col("visitors")))
+    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", block.cast("int"))
+    met = F.col("homes") + F.when(at_home, F.col("visitors")).otherwise(0)
+    other = F.explode(F.sequence(F.lit(0), met - 1)).alias("other")
     dealt = dealt.select("label", "dim", "cell", "block", "home", "visits", "id", "n", "embedding", other)
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
@@ -121,23 +126,23 @@ def links(placed: DataFrame, threshold: float) -> DataFrame:
             """Whether x counts its link with y here: at home, or where y is at home that doesn't visit the home of x."""
             return own[x][:, None] | (own[y][None, :] & ~visits[np.ix_(y, home[x])].T)
 
-        # Two visitors meet where one of them is at home.
-        for left, right in ((rows[own[rows]], cols), (rows[~own[rows]], cols[own[cols]])):
-            for at in range(0, len(left), 512):
-                some = left[at : at + 512]
-                near = v[some] @ v[right].T >= threshold
-                near[some[:, None] == right[None, :]] = False
-                count[some] += (near & counts(some, right)) @ n[right]
-                if first != last:
-                    count[right] += (near.T & counts(right, some)) @ n[some]
-                for i, line in zip(some, near):
-                    found = right[line]
-                    if len(found):
-                        # Only ids that aren't yet together are joined.
-                        for r in np.unique(forest.up[found]):
-                            forest.join(int(i), int(r))
+        # The first block is at home. Two visitors meet where one of them is at home.
+        for at in range(0, len(rows), 512):
+            some = rows[at : at + 512]
+            near = v[some] @ v[cols].T >= threshold
+            near[some[:, None] == cols[None, :]] = False
+            count[some] += (near & counts(some, cols)) @ n[cols]
+            if first != last:
+                count[cols] += (near.T & counts(cols, some)) @ n[some]
+            for i, line in zip(some, near):
+                found = cols[line]
+                if len(found):
+                    # Only ids that aren't yet together are joined.
+                    for r in np.unique(forest.up[found]):
+                        forest.join(int(i), int(r))
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "links": count, "root": ids[forest.roots()]})
+        out = pd.DataFrame({"id": ids, "links": count, "root": ids[forest.roots()]})
+        return out[(out["links"] > 0) | (out["root"] != out["id"])]
 
     return dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(multiply, "id long, links long, root long")
 

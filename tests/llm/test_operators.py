@@ -106,8 +106,10 @@ def test_embeddings_with_bad_vectors(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in range(3, 9)}}
 
 
-def test_embeddings_of_one_wide_label_equal_brute_force(spark):
-    """A low-rank cloud that k-means cuts along its widest axes into many cells."""
+@pytest.mark.parametrize("block", [embed_dedup.BLOCK, 50])
+def test_embeddings_of_one_wide_label_equal_brute_force(spark, monkeypatch, block):
+    """A low-rank cloud that k-means cuts along its widest axes into many cells, of one block and of several."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
     rng = np.random.default_rng(5)
     v = (rng.normal(size=(6000, 64)) / np.arange(1, 65) ** 1.75).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
