@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embed_dedup, jaccard, mixing, pii, quality, substring, token_binary, toxicity
+from . import chat, collocations, decontaminate, embed_dedup, jaccard, mixing, periodic, pii, quality, sharding, substring, token_binary, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_shards": sharding.op13_shards,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,5 @@ ORACLE_SQL = {
     "op4_chat_format": chat.OP4_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
