@@ -6,10 +6,11 @@ are sorted there by multikey three-way quicksort: a part of suffixes is split by
 into those below, equal to and above a pivot. The equal part is a phrase, its size is how often the
 phrase occurs, and it goes on one word deeper; a part smaller than the least count is abandoned.
 
-Before that, words and pairs of words are counted by buckets of their hashes. A bucket below the least
-count holds nothing frequent: suffixes end before such a pair, and words of such buckets begin none. The
-buckets are a bitmap whose size follows the input up to BUCKETS; above it, more infrequent suffixes are
-sorted, with the same result. Suffixes that are equal in a batch are sent once, with their number.
+Before that, words and pairs of words are counted by buckets of their hashes, and then triples whose
+pairs may be frequent. A bucket below the least count holds nothing frequent: suffixes end before such a
+pair or triple, and words of such buckets begin none. The buckets become bitmaps whose size follows the
+input up to BUCKETS; above it, more infrequent suffixes are sorted, with the same result. Suffixes that are
+equal are sent once by a task, with their number, as far as it remembers them.
 
 Leading words with more than 1/HOT of everything are told by the same counts, HOT of them at most: their
 suffixes are routed by two leading words, and those of a hot pair by all their words. What such a word or
@@ -27,6 +28,7 @@ polynomials.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,10 @@ from .common import keep, table
 MOST, LEAST, TOP = 5, 100, 2000
 #: Buckets at most (their bitmap has as many bits); bytes of text for a bucket; leading words that count as hot.
 BUCKETS, BYTES_OF_A_BUCKET, HOT = 1 << 28, 64, 1024
-#: Bytes of text handled at once; words and pairs counted at once; suffixes of a sorted block.
-AT_ONCE, COUNTED, BLOCK = 1 << 21, 4_000_000, 300_000
+#: Bytes of text handled at once; hashes counted at once; suffixes that a task remembers; suffixes of a sorted block.
+AT_ONCE, COUNTED, REMEMBERED, BLOCK = 1 << 21, 4_000_000, 1_000_000, 300_000
+#: Buckets of a range, which is counted in one place.
+RANGE = 1 << 16
 #: Kinds of bytes: of words, between words, between pieces.
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, dtype=np.uint8)
@@ -121,44 +125,90 @@ def texts_of(part: pa.RecordBatch) -> Iterator[Words]:
         a = b
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Bits:
+    """A bit for each of some buckets, a power of two."""
+
+    def __init__(self, buckets: int, parts: list[tuple[int, bytes]] = ()):
+        self.mask, self.bits = np.uint64(buckets - 1), np.zeros(max(1, buckets >> 3), dtype=np.uint8)
+        for k, part in parts:
+            self.bits[k * (RANGE >> 3) :][: len(part)] = np.frombuffer(part, dtype=np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = (h & self.mask).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def packed(keys: np.ndarray) -> pa.RecordBatch:
+    """Buckets with their counts, a row for each range."""
     keys = np.sort(keys)
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys.astype(np.int64)
-    return keys[starts], np.diff(np.append(starts, len(keys)))
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    bucket, n = keys[starts].astype(np.int64), np.diff(np.append(starts, len(keys))).astype("<u4")
+    of = bucket // RANGE
+    ranges, first = np.unique(of, return_index=True)
+    cuts = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(of)])]
+    at = (bucket % RANGE).astype("<u2")
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(ranges), pa.string()), pa.array(ranges, pa.int64()), pa.array([at[c].tobytes() for c in cuts], pa.binary()), pa.array([n[c].tobytes() for c in cuts], pa.binary()), pa.array([None] * len(ranges), pa.int64())], ["lang", "range", "at", "n", "total"])
 
 
-def bucket_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(text, lang) -> (lang, bucket, n): words and pairs in each bucket; with lang, all words of it."""
+def counted(docs: DataFrame, buckets: int, least: int, hashes, name: str) -> DataFrame:
+    """docs(text, lang) -> (lang, total): all words; and for ranges of buckets (range, bits: which of them count `least` or more, total, most: (bucket, n) of the fullest).
+
+    hashes gives what is counted of some words.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        waiting, size, words_of = [], 0, Counter()
         for part in parts:
             for words in texts_of(part):
-                keys = np.concatenate([words.hash, words.pairs()[1]]) & np.uint64(buckets - 1)
-                waiting.append(keys.astype(np.uint32))
+                if not len(words.hash):
+                    continue
+                keys = (hashes(words) & np.uint64(buckets - 1)).astype(np.uint32)
+                waiting.append(keys)
                 size += len(keys)
-                of = np.bincount(words.lang[words.text], minlength=len(words.langs)) if len(words.text) else np.zeros(len(words.langs), dtype=int)
-                yield batch(words.langs, [None] * len(of), of)
+                words_of.update(dict(zip(words.langs, np.bincount(words.lang[words.text], minlength=len(words.langs)).tolist())))
                 if size > COUNTED:
-                    yield batch(None, *counted(np.concatenate(waiting)))
+                    yield packed(np.concatenate(waiting))
                     waiting, size = [], 0
         if waiting:
-            yield batch(None, *counted(np.concatenate(waiting)))
+            yield packed(np.concatenate(waiting))
+        none = [None] * len(words_of)
+        yield pa.RecordBatch.from_arrays([pa.array(list(words_of), pa.string()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(list(words_of.values()), pa.int64())], ["lang", "range", "at", "n", "total"])
 
-    def batch(langs, keys, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs if langs is not None else [None] * len(n), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by range."""
+        now, sums, totals = None, np.zeros(RANGE, dtype=np.int64), Counter()
+        for part in parts:
+            for lang, k, at, n, total in zip(*(part.column(c).to_pylist() for c in ("lang", "range", "at", "n", "total"))):
+                if k is None:
+                    totals[lang] += total
+                    continue
+                if k != now:
+                    if now is not None:
+                        yield ended(now, sums)
+                    now, sums = k, np.zeros(RANGE, dtype=np.int64)
+                sums[np.frombuffer(at, dtype="<u2")] += np.frombuffer(n, dtype="<u4")
+        if now is not None:
+            yield ended(now, sums)
+        if totals:
+            none = [None] * len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.array(none, most)], ["lang", "range", "bits", "total", "most"])
 
-    rows = docs.mapInArrow(count, "lang string, bucket long, n long")
-    return keep(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "buckets")
+    most = pa.list_(pa.struct([("bucket", pa.int64()), ("n", pa.int64())]))
 
+    def ended(k: int, sums: np.ndarray) -> pa.RecordBatch:
+        top = np.argsort(-sums, kind="stable")[:HOT]
+        full = [{"bucket": k * RANGE + int(b), "n": int(sums[b])} for b in top if sums[b] >= least]
+        bits = np.packbits(sums >= least, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([k], pa.int64()), pa.array([bits], pa.binary()), pa.array([int(sums.sum())], pa.int64()), pa.array([full], most)], ["lang", "range", "bits", "total", "most"])
+
+    rows = docs.mapInArrow(count, "lang string, range long, at binary, n binary, total long")
+    by = F.coalesce("range", F.xxhash64("lang"))
+    return keep(rows.repartition(by).sortWithinPartitions("range").mapInArrow(add, "lang string, range long, bits binary, total long, most array<struct<bucket:long,n:long>>"), name)
 
-def bitmap(full: DataFrame, buckets: int) -> np.ndarray:
-    """A bit for each bucket of full(bucket); BUCKETS bits at most come to the driver, whatever the input."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(F.lit(63)).cast("int"))
-    found = full.groupBy(F.shiftright("bucket", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = np.zeros(max(1, buckets >> 6), dtype=np.int64)
-    out[found["at"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
-    return out
+
+def bits_of(counts: DataFrame, buckets: int) -> Bits:
+    """A bit for each bucket; BUCKETS of them at most come to the driver, whatever the input."""
+    return Bits(buckets, [(r["range"], r["bits"]) for r in counts.filter("lang is null").select("range", "bits").toLocalIterator()])
 
 
 def frequent(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -166,57 +216,86 @@ def frequent(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(BUCKETS, 1 << max(16, int(size // BYTES_OF_A_BUCKET).bit_length()))
-    counts = bucket_counts(docs, buckets)
-    totals = counts.filter("lang is not null").select("lang", F.col("n").alias("total"))
-    in_buckets = counts.filter("lang is null")
-    everything = in_buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    full = spark.sparkContext.broadcast(bitmap(in_buckets.filter(F.col("n") >= least), buckets))
-    # HOT of them at most.
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in in_buckets.filter(F.col("n") * HOT > everything).select("bucket").collect()], dtype=np.int64)))
+    counts = counted(docs, buckets, least, lambda words: np.concatenate([words.hash, words.pairs()[1]]), "one-and-two")
+    totals = counts.filter("lang is not null").groupBy("lang").agg(F.sum("total").alias("total"))
+    of_pairs = spark.sparkContext.broadcast(bits_of(counts, buckets))
+    everything = counts.filter("lang is null").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    # HOT of them at most, as each has more than 1 / HOT of everything.
+    hot = counts.select(F.explode("most").alias("x")).filter(F.col("x.n") * HOT > everything).select("x.bucket").collect()
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot], dtype=np.int64)))
+
+    def triples(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of triples whose pairs may be frequent."""
+        one, pair = words.pairs()
+        goes_on = np.zeros(len(words.hash) + 1, dtype=bool)
+        goes_on[one] = of_pairs.value(pair)
+        first = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+        return first, mixed(words.hash[first] * np.uint64(7) + words.hash[first + 1] * np.uint64(3) + words.hash[first + 2], 2)
+
+    counts = counted(docs, buckets, least, lambda words: triples(words)[1], "three")
+    of_triples = spark.sparkContext.broadcast(bits_of(counts, buckets))
 
     def suffixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, is_hot = np.uint64(buckets - 1), hot.value
-        passes = lambda h: (full.value[(h & mask).astype(np.int64) >> 6] >> (h & np.uint64(63)).astype(np.int64)) & 1 > 0
-        within = lambda h: np.isin((h & mask).astype(np.int64), is_hot)
+        within = lambda h: np.isin((h & np.uint64(buckets - 1)).astype(np.int64), hot.value)
+        known, sums, told = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), []
+        new: list[tuple] = []
         for part in parts:
-            waiting = []
             for words in texts_of(part):
                 n = len(words.hash)
                 if not n:
                     continue
                 one, pair = words.pairs()
-                goes_on = np.zeros(n + most, dtype=bool)
-                goes_on[one] = passes(pair)
-                first = np.flatnonzero(passes(words.hash))
+                first = np.flatnonzero(of_pairs.value(words.hash))
+                goes_on, again = np.zeros(n + most, dtype=bool), np.zeros(n + most, dtype=bool)
+                goes_on[one] = of_pairs.value(pair)
+                begin, three = triples(words)
+                again[begin] = of_triples.value(three)
                 length, same = np.ones(len(first), dtype=np.int64), np.ones(len(first), dtype=bool)
                 key = words.hash[first]
                 for d in range(1, most):
-                    same &= goes_on[first + d - 1]
+                    same = same & (goes_on[first] if d == 1 else again[first + d - 2])
                     length += same
                     key = np.where(same, mixed(key * np.uint64(5) + words.hash[np.minimum(first + d, n - 1)], d), key)
+                uniq, at, count = np.unique(key, return_index=True, return_counts=True)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
+                    there = known[place] == uniq
+                    sums[place[there]] += count[there]
+                    uniq, at, count = uniq[~there], at[~there], count[~there]
                 of_pair = np.zeros(n, dtype=np.uint64)
                 of_pair[one] = pair
-                whole = np.where(within(words.hash[first]), np.where((length > 1) & within(of_pair[first]), most, 2), 1)
-                route = np.where(whole == 1, words.hash[first], np.where((whole == 2) & (length > 1), of_pair[first], key))
-                uniq, at, count = np.unique(key, return_index=True, return_counts=True)
-                data, begin, end = words.data, words.begin, words.end
-                text = [b" ".join(data[begin[k] : end[k + m - 1]].split()) for k, m in zip(first[at].tolist(), length[at].tolist())]
-                waiting.append(pa.RecordBatch.from_arrays([
-                    pa.array([words.langs[x] for x in words.lang[words.text[first[at]]].tolist()], pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()),
-                    pa.array(whole[at].astype(np.int8), pa.int8()), pa.array(route[at].astype(np.int64), pa.int64()), pa.array(uniq.astype(np.int64), pa.int64())], names))
-            if waiting:
-                yield once(waiting)
-
-    def once(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
-        """Equal suffixes of a batch as one."""
-        every = pa.Table.from_batches(waiting)
-        key, n = every.column("key").to_numpy(), every.column("n").to_numpy()
-        _, at, back = np.unique(key, return_index=True, return_inverse=True)
-        sums = np.bincount(back, weights=n).astype(np.int64)
-        out = every.take(pa.array(at)).drop_columns(["n", "key"]).append_column("n", pa.array(sums, pa.int64())).combine_chunks()
-        return out.select(["lang", "suffix", "n", "whole", "route"]).to_batches()[0]
-
-    names = ["lang", "suffix", "n", "whole", "route", "key"]
+                begin, m = first[at], length[at]
+                whole = np.where(within(words.hash[begin]), np.where((m > 1) & within(of_pair[begin]), most, 2), 1)
+                route = np.where(whole == 1, words.hash[begin], np.where((whole == 2) & (m > 1), of_pair[begin], uniq))
+                names = np.array(words.langs, dtype=object)[words.lang[words.text[begin]]]
+                text = [b" ".join(words.data[a:b].split()) for a, b in zip(words.begin[begin].tolist(), words.end[begin + m - 1].tolist())]
+                new.append((uniq, count, names, np.array(text, dtype=object), whole, route))
+                if sum(len(x[0]) for x in new) > REMEMBERED // 4:
+                    known, sums, told = together(known, sums, told, new)
+                    new = []
+                    if len(known) > REMEMBERED:
+                        yield from sent(sums, told)
+                        known, sums, told = known[:0], sums[:0], []
+        known, sums, told = together(known, sums, told, new)
+        yield from sent(sums, told)
+
+    def together(known: np.ndarray, sums: np.ndarray, told: list, new: list[tuple]) -> tuple[np.ndarray, np.ndarray, list]:
+        """Sorted keys, their sums and what belongs to them, with new ones among them."""
+        if not new:
+            return known, sums, told
+        key, n = np.concatenate([known, *(x[0] for x in new)]), np.concatenate([sums, *(x[1] for x in new)])
+        rest = [np.concatenate([*([told[c - 2]] if told else []), *(x[c] for x in new)]) for c in range(2, 6)]
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        out = np.zeros(len(key), dtype=np.int64)
+        np.add.at(out, back, n)
+        return key, out, [r[at] for r in rest]
+
+    def sent(sums: np.ndarray, told: list) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(sums), 50_000):
+            lang, text, whole, route = (x[a : a + 50_000] for x in told)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(lang, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(sums[a : a + 50_000], pa.int64()),
+                pa.array(whole.astype(np.int8), pa.int8()), pa.array(route.astype(np.int64), pa.int64())], ["lang", "suffix", "n", "whole", "route"])
 
     def mine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by whole and route; a block ends where a route does, unless a route is more than a block."""
