@@ -53,9 +53,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, SPACE), "")), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, size: int = 1 << 25) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows and bytes (as JSON); beyond that Spark shuffles both sides."""
+    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n"))
+    n, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 class Scratch:

@@ -19,7 +19,7 @@ and count once; a null doc_id is an id like another; an empty table gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, small, table
@@ -36,8 +36,10 @@ CONTEXT_WORDS, CONTEXT_CHARS = 6, 120
 #: Shares of an entity's information content that a term must carry to be removed, and to be generalised.
 REMOVE, GENERALISE = 1.0, 0.9
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'-]{2,}"
-#: Broadcast up to so many disclosing terms or candidates.
+#: Broadcast up to so many disclosing terms, candidates or documents with spans, and so many bytes of them.
 SMALL_TERMS = 200_000
+#: Characters of a block, in which a text is searched by places; more than CONTEXT_CHARS.
+BLOCK = 1000
 
 
 def digits(value: Column) -> Column:
@@ -51,50 +53,72 @@ def luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def located(text: Column, form: Column) -> Column:
-    """Matches of a form in order: array of (start, end, value), in code points."""
-    found = F.regexp_extract_all(text, form, F.lit(0))
-    gaps = F.transform(F.split(text, form, -1), lambda x: F.char_length(x).cast("long"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    steps = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+def matches(text: Column, form: Column, kind: str) -> Column:
+    """Matches of a form in order: array of (kind, at: their number, gap: characters since the one before, value)."""
+    both = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.regexp_extract_all(text, form, F.lit(0)).alias("value"))
+    found = F.transform(both, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.char_length(x["gap"]).cast("long").alias("gap"), x["value"].alias("value")))
+    return F.filter(found, lambda x: x["value"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def located(found: DataFrame) -> DataFrame:
+    """found(doc, kind, at, gap, value, ...) -> (doc, kind, start, end, value, ...), in code points: sums over the matches of a document, so that a text with many of them costs no more than others of that length."""
+    once = found.repartition("doc", "kind").dropDuplicates(["doc", "kind", "at"])  # rows that repeat a document
+    end = F.sum(F.col("gap") + F.char_length("value")).over(Window.partitionBy("doc", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return once.withColumn("end", end).withColumn("start", F.col("end") - F.char_length("value")).drop("at", "gap")
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind its spans: array of (start, end, value)."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    octets = lambda v: F.forall(F.split(v, r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike("^(|[0-9]|[0-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
-    checks = {
-        "email": (F.contains(text, F.lit("@")), EMAIL, lambda v: F.lit(True)),
-        "ip": (text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), IP, octets),
-        "card": (text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), CARD, lambda v: F.char_length(digits(v)).between(16, 19) & luhn(digits(v))),
-        "phone": (text.rlike(r"\+[0-9]"), PHONE, lambda v: F.char_length(digits(v)).between(8, 15)),
-    }
-    passed = lambda ok: lambda s: ok(s["value"])
-    return {k: F.when(sign, F.filter(located(text, F.lit(form)), passed(ok))).otherwise(none) for k, (sign, form, ok) in checks.items()}
+def signs(text: Column) -> dict[str, Column]:
+    """Whether a text can hold a span of a kind."""
+    return {
+        "email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+        "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), "phone": text.rlike(r"\+[0-9]")}
 
 
-def entity(kind: str, value: Column) -> Column:
-    """What a span stands for, however it is written."""
-    return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind == "email" else value if kind == "ip" else digits(value))
+def base_spans(signed: DataFrame) -> DataFrame:
+    """signed(doc, text) -> (doc, kind, start, end, value) of base spans."""
+    none = F.array().cast("array<struct<kind:string,at:int,gap:bigint,value:string>>")
+    forms = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+    can = signs(F.col("text"))
+    each = F.concat(*[F.when(can[k], matches(F.col("text"), F.lit(form), k)).otherwise(none) for k, form in forms.items()])
+    found = located(signed.select("doc", F.explode(each).alias("x")).select("doc", "x.*"))
+    v = F.col("value")
+    octets = F.forall(F.split(v, r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike("^(|[0-9]|[0-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
+    card = F.char_length(digits(v)).between(16, 19) & luhn(digits(v))
+    good = F.when(F.col("kind") == "ip", octets).when(F.col("kind") == "card", card).when(F.col("kind") == "phone", F.char_length(digits(v)).between(8, 15)).otherwise(True)
+    return found.filter(good)
+
 
+def blocks(texts: DataFrame) -> DataFrame:
+    """texts(doc, text) -> (doc, block, part): a text in parts of BLOCK characters, so that none is searched from its begin again and again."""
+    parts = texts.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "part"))
+    return parts.repartition("doc").dropDuplicates(["doc", "block"])
 
-def context(text: Column, span: Column) -> Column:
-    """Lower-cased words around a span."""
-    left = F.substring(text, F.greatest(span["start"] + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT_CHARS)).cast("int"))
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS))
+
+def entity() -> Column:
+    """What a span stands for, however it is written."""
+    same = F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(digits(F.col("value")))
+    return F.concat("kind", F.lit(":"), same)
+
+
+def contexts(spans: DataFrame, signed: DataFrame) -> DataFrame:
+    """spans and signed(doc, text) -> spans with `context`: lower-cased words around them, from the blocks they begin and end in and those beside."""
+    by = Window.partitionBy("doc").orderBy("block")
+    wide = blocks(signed.join(spans.select("doc").distinct(), "doc", "left_semi")).select(
+        "doc", "block", F.concat(F.coalesce(F.lag("part").over(by), F.lit("")), "part", F.coalesce(F.lead("part").over(by), F.lit(""))).alias("wide"))
+    wide = keep(wide, "pii-blocks")
+    first = F.greatest(F.col("block") - 1, F.lit(0)) * BLOCK
+    at = spans.withColumn("block", F.floor(F.col("start") / BLOCK)).join(wide, ["doc", "block"])
+    place = F.col("start") - first
+    left = F.substring("wide", F.greatest(place + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(place, F.lit(CONTEXT_CHARS)).cast("int"))
     # Where the text goes on, the outermost word may be a part of one.
-    left = F.split(F.when(span["start"] > CONTEXT_CHARS, F.regexp_replace(left, r"^\S*\s?", "")).otherwise(left), r"\s+")
-    right = F.split(F.when(F.char_length(text) > span["end"] + CONTEXT_CHARS, F.regexp_replace(right, r"\s?\S*$", "")).otherwise(right), r"\s+")
-    near = F.concat(F.slice(F.reverse(F.array_remove(left, "")), 1, CONTEXT_WORDS), F.slice(F.array_remove(right, ""), 1, CONTEXT_WORDS))
-    return F.lower(F.array_join(near, " "))
+    left = F.when(F.col("start") > CONTEXT_CHARS, F.regexp_replace(left, r"^\S*\s?", "")).otherwise(left)
+    at = at.select(*spans.columns, left.alias("left"), F.floor((F.col("end") - 1) / BLOCK).alias("block")).join(wide, ["doc", "block"])
+    place = F.col("end") - first
+    right = F.substring("wide", (place + 1).cast("int"), F.lit(CONTEXT_CHARS))
+    right = F.when(F.char_length("wide") > place + CONTEXT_CHARS, F.regexp_replace(right, r"\s?\S*$", "")).otherwise(right)
+    words = lambda c: F.array_remove(F.split(c, r"\s+"), "")
+    near = F.concat(F.slice(F.reverse(words(F.col("left"))), 1, CONTEXT_WORDS), F.slice(words(right), 1, CONTEXT_WORDS))
+    return at.select(*spans.columns, F.lower(F.array_join(near, " ")).alias("context"))
 
 
 def terms_of(docs: DataFrame) -> DataFrame:
@@ -102,9 +126,8 @@ def terms_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, min_texts: int, remove: float, generalise: float) -> DataFrame:
-    """(entity, term, action) of the terms that reveal an entity, in shares of its information content."""
-    near = found.filter("n_spans > 0").select("doc", F.xxhash64(F.lower("text")).alias("copy"), F.explode("near").alias("x")).select("doc", "copy", "x.entity", "x.context")
+def disclosures(near: DataFrame, held: DataFrame, docs: DataFrame, min_texts: int, remove: float, generalise: float) -> DataFrame:
+    """(entity, term, action) of the terms that reveal an entity, in shares of its information content; near(doc, copy, entity, context), held(doc, text): documents with spans, docs: all."""
     terms = near.select("doc", "copy", "entity", F.xxhash64("context").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
     by_doc = terms.groupBy("entity", "term", "doc", "copy").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     pairs = by_doc.groupBy("entity", "term").agg(
@@ -118,7 +141,6 @@ def disclosures(found: DataFrame, docs: DataFrame, min_texts: int, remove: float
     content = F.log(F.col("n") / F.col("n_c"))
     # A term in more of the documents with entities than this can't reveal that one, whatever the rest of the corpus holds.
     most = F.col("n_tc") / F.exp((F.when(F.col("twice"), min(generalise, remove)).otherwise(remove) - 1) * content) + 1e-6
-    held = found.filter("n_spans > 0").dropDuplicates(["doc"])
     often = terms_of(held).groupBy("term").agg(F.count("*").alias("seen"))
     pairs = keep(pairs.filter(F.col("n_c") < F.col("n")).join(often, "term").filter(F.col("seen") <= most).drop("seen"), "pii-pairs")
     candidates = small(pairs.select("term").distinct(), SMALL_TERMS)
@@ -130,59 +152,77 @@ def disclosures(found: DataFrame, docs: DataFrame, min_texts: int, remove: float
 
 
 def find_personal_data(docs: DataFrame, min_texts: int = 2, everywhere: bool = False, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, a column of spans for each kind, and `terms`: array of (start, end, value, action)."""
+    """docs(doc_id, text) -> doc_id, doc, text (if it has spans), a column of spans for each kind, and `terms`: array of (start, end, value, action)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.struct("doc_id", F.xxhash64(text).alias("hash")).alias("doc"))
-    spans = base_spans(F.col("text"))
-    found = keyed.select("doc", "doc_id", "text", *[c.alias(k) for k, c in spans.items()])
-    found = found.withColumn("n_spans", sum((F.size(k) for k in KINDS), F.lit(0)))
-    about = lambda k: lambda s: F.struct(entity(k, s["value"]).alias("entity"), context(F.col("text"), s).alias("context"))
-    near = F.concat(*[F.transform(k, about(k)) for k in KINDS])
-    found = keep(found.withColumn("near", near).withColumn("text", F.when(F.col("n_spans") > 0, F.col("text"))), "pii-found")
-    told = keep(disclosures(found, keyed, min_texts, remove, generalise), "pii-told")
+    can = signs(F.col("text"))
+    signed = keep(keyed.filter(can["email"] | can["ip"] | can["card"] | can["phone"]).select("doc", "text"), "pii-signed")
+    spans = keep(base_spans(signed), "pii-spans")
+    copies = signed.select("doc", F.xxhash64(F.lower("text")).alias("copy")).dropDuplicates(["doc"])
+    near = contexts(spans.withColumn("entity", entity()), signed).join(copies, "doc").select("doc", "copy", "entity", "context")
+    held = signed.join(spans.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    told = keep(disclosures(keep(near, "pii-near"), held, keyed, min_texts, remove, generalise), "pii-told")
     if everywhere:
         told = told.groupBy("term").agg(F.max("action").alias("action"))  # removing goes before generalising
         revealing = terms_of(keyed).join(small(told, SMALL_TERMS), "term")
     else:
-        held = found.filter("n_spans > 0").select("doc", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-        revealing = held.join(small(told, SMALL_TERMS), "entity")
+        of = spans.select("doc", entity().alias("entity")).distinct()
+        revealing = of.join(small(told, SMALL_TERMS), "entity")
     # A term that reveals several entities of a document is removed if one of them asks for it.
-    revealing = keep(revealing.groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("told")), "pii-revealing")
-    out = found.join(small(revealing, SMALL_TERMS).withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of")), "left")
-    if everywhere:
-        bare = keyed.join(small(revealing.select(F.col("doc").alias("of")), SMALL_TERMS), F.col("doc").eqNullSafe(F.col("of")), "left_semi")
-        bare = keep(bare.select(F.col("doc").alias("of_text"), F.col("text").alias("whole")).dropDuplicates(["of_text"]), "pii-texts")
-        out = out.join(small(bare, SMALL_TERMS // 20), F.col("doc").eqNullSafe(F.col("of_text")), "left").withColumn("text", F.coalesce("text", "whole"))
-    words = F.array_distinct(F.transform("told", lambda t: F.concat(F.lit(r"\Q"), t["term"], F.lit(r"\E"))))
-    form = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
-    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
-    apart = lambda s: F.forall(base, lambda b: (s["end"] <= b["start"]) | (s["start"] >= b["end"]))
-    gone = lambda s: F.exists("told", lambda t: (t["term"] == F.lower(s["value"])) & (t["action"] == "remove"))
-    terms = F.when(F.col("told").isNotNull(), F.transform(
-        F.filter(located(F.col("text"), form), apart),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.when(gone(s), "remove").otherwise("generalise").alias("action"))))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,action:string>>")
-    return out.select("doc_id", "text", *KINDS, F.coalesce(terms, none).alias("terms"))
+    revealing = keep(revealing.groupBy("doc", "term").agg(F.max("action").alias("action")), "pii-revealing")
+    texts = keyed.select("doc", "text").join(small(revealing.select("doc").distinct(), SMALL_TERMS), "doc")
+    form = F.lit(r"(?<![\p{L}\p{N}'-])" + TERM)
+    words = located(texts.select("doc", F.explode(matches(F.col("text"), form, "term")).alias("x")).select("doc", "x.*"))
+    terms = words.withColumn("term", F.lower("value")).join(revealing, ["doc", "term"]).drop("term")
+    every = spans.withColumn("action", F.lit(None).cast("string")).unionByName(terms)
+    every = keep(apart(every), "pii-all")
+    parts = {k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end", "value")))) for k in KINDS}
+    parts["terms"] = F.array_sort(F.collect_list(F.when(F.col("kind") == "term", F.struct("start", "end", "value", "action"))))
+    found = every.groupBy(F.col("doc").alias("of")).agg(*[c.alias(k) for k, c in parts.items()])
+    out = keyed.join(small(found, SMALL_TERMS), F.col("doc").eqNullSafe(F.col("of")), "left")
+    none = "array<struct<start:bigint,end:bigint,value:string"
+    filled = [F.coalesce(k, F.array().cast(f"{none}{',action:string' if k == 'terms' else ''}>>")).alias(k) for k in parts]
+    return out.select("doc_id", "doc", F.when(F.col("of").isNotNull(), F.col("text")).alias("text"), *filled)
+
+
+def apart(spans: DataFrame) -> DataFrame:
+    """Spans without the terms that overlap a span of another kind."""
+    base = F.col("kind") != "term"
+    forward = Window.partitionBy("doc").orderBy("start", base.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("doc").orderBy(F.col("start").desc(), base.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    met = spans.withColumn("_before", F.max(F.when(base, F.col("end"))).over(forward)).withColumn("_after", F.min(F.when(base, F.col("start"))).over(back))
+    free = (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.col("_after").isNull() | (F.col("_after") >= F.col("end")))
+    return met.filter(base | free).drop("_before", "_after")
 
 
 def sanitise(found: DataFrame) -> DataFrame:
     """doc_id and `clean`: base spans become [kind], terms go or become their sort of word. Texts without spans, of either sort, are null: they stay as they are."""
     mark = lambda k: lambda s: F.struct(s["start"], s["end"], F.lit(f"[{k}]").alias("by"))
-    marks = [F.transform(k, mark(k)) for k in KINDS]
     sort = lambda v: F.when(v.rlike("^[0-9]+$"), "[number]").when(v.rlike(r"^\p{Lu}"), "[name]").otherwise("[term]")
-    marks.append(F.transform("terms", lambda s: F.struct(s["start"], s["end"], F.when(s["action"] == "remove", "").otherwise(sort(s["value"])).alias("by"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int"))
-        seen = m["start"] < acc["at"]  # spans of two kinds may overlap
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(seen, acc["out"]).otherwise(F.concat(acc["out"], between, m["by"])).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text")))
-    return found.select("doc_id", F.aggregate(F.array_sort(F.concat(*marks)), start, step, rest).alias("clean"))
+    of_term = lambda s: F.struct(s["start"], s["end"], F.when(s["action"] == "remove", "").otherwise(sort(s["value"])).alias("by"))
+    every = F.concat(*[F.transform(k, mark(k)) for k in KINDS], F.transform("terms", of_term))
+    marks = found.dropDuplicates(["doc"]).select("doc", F.explode(every).alias("x")).select("doc", "x.*")
+    # Spans of two kinds may overlap: what hangs together becomes what its first one does.
+    order = Window.partitionBy("doc").orderBy("start", "end", "by")
+    begins = F.coalesce(F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    groups = marks.withColumn("_new", begins.cast("int")).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = groups.groupBy("doc", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "end", "by")).alias("first"))
+    spread = whole.select("doc", "start", "end", F.col("first.by").alias("by"), F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block"))
+    base = F.col("block") * BLOCK
+    cut = spread.select("doc", "block", F.struct(
+        F.greatest(F.col("start") - base, F.lit(0)).alias("start"), F.least(F.col("end") - base, F.lit(BLOCK)).alias("end"),
+        F.when(F.col("start") >= base, F.col("by")).otherwise("").alias("by")).alias("mark")).groupBy("doc", "block").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    joined = blocks(found.filter("text is not null").select("doc", "text")).join(cut, ["doc", "block"], "left")
+    step = lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring("part", (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int")), m["by"]).alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.substring("part", (acc["at"] + 1).cast("int"), F.lit(BLOCK)))
+    clean = F.when(F.col("marks").isNull(), F.col("part")).otherwise(F.aggregate("marks", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, rest))
+    texts = joined.groupBy(F.col("doc").alias("of")).agg(F.array_sort(F.collect_list(F.struct("block", clean.alias("clean")))).alias("parts"))
+    texts = texts.select("of", F.array_join(F.transform("parts", lambda p: p["clean"]), "").alias("clean"))
+    return found.select("doc_id", "doc").join(texts, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc_id", "clean")
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that disclose it wherever they stand; null texts are empty."""
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), min_texts=1, everywhere=True)
     say = lambda k: lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"])
     said = {k: F.transform(k, say(k)) for k in KINDS}
