@@ -1,12 +1,13 @@
 """Operator 8: quality by compression with dictionaries of good and bad text.
 
-Two zstandard dictionaries are built from pieces of labelled good and bad texts. A text is cut into
-pieces, each is compressed with either dictionary and with none, and the difference of the sizes by
-the plain size, summed over the text, tells which kind it is nearer to. A logistic curve fitted to
-labelled rows that the dictionaries haven't seen turns it into a score.
+Two zstandard dictionaries are built from labelled good and bad texts. A text is cut into pieces, each is
+compressed with either dictionary and with none, and the difference of the sizes by the plain size,
+summed over the text, tells which kind it is nearer to. A logistic curve fitted to labelled rows that the
+dictionaries haven't seen turns it into a score.
 
-At most `max_rows` labelled rows are learned from, those with the smallest hashed ids, by `PIECES_OF_A_DOCUMENT`
-pieces from all over each text and `PIECES` pieces of each class; what is scored is read whole.
+At most `max_rows` labelled rows are learned from, those with the smallest hashed ids, and their texts are
+read whole, those of a class in one task. Texts in which too little recurs for zstandard to choose from,
+such as a few short ones, are the dictionary themselves.
 
 Defined cases: null and empty texts have no difference and get the score that belongs to 0; whole
 texts are scored; labels that are null or other than 0 and 1 are not learned from; with labels of one
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table, training_rows
+from .common import held_out, keep, table, training_rows
 
-#: Bytes of a piece and of a dictionary; pieces learned from by class, and by document.
-PIECE, DICTIONARY, PIECES, PIECES_OF_A_DOCUMENT = 512, 32_768, 4_000, 8
+#: Bytes of a piece and of a dictionary.
+PIECE, DICTIONARY = 512, 32_768
 LEVEL = 3
 
 
@@ -36,34 +37,30 @@ def cut(text: str | None) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)] or [b""]
 
 
-def spread(pieces: list[bytes], n: int) -> list[bytes]:
-    """n pieces from all over a text."""
-    return [pieces[i] for i in sorted({int(k * len(pieces) / n) for k in range(n)})]
+def dictionary(pieces: list[bytes]) -> bytes:
+    """What recurs most in the pieces, or what there is of them."""
+    size = sum(map(len, pieces))
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, size // 4), pieces, k=200, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(pieces)[:DICTIONARY]
 
 
 def dictionaries(rows: DataFrame) -> dict[int, bytes]:
-    """A dictionary for each class of rows(doc_id, text, y)."""
-
-    def some(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = [(y, p) for text, y in zip(pdf["text"], pdf["y"]) for p in spread(cut(text), PIECES_OF_A_DOCUMENT)]
-            yield pd.DataFrame(found, columns=["y", "piece"])
-
-    pieces = rows.select("text", "y").mapInPandas(some, "y int, piece binary")
-    out = {}
-    for y in (0, 1):
-        chosen = pieces.filter(F.col("y") == y).orderBy(F.xxhash64("piece"), "piece").limit(PIECES)
-        samples = [bytes(r["piece"]) for r in chosen.collect()]  # PIECES of PIECE bytes at most
-        if len(samples) >= 16 and sum(map(len, samples)) >= 4096:
-            size = min(DICTIONARY, sum(map(len, samples)) // 4)
-            out[y] = zstandard.train_dictionary(size, samples, k=200, d=8).as_bytes()
-    return out
-
-
-def with_difference(docs: DataFrame, words: dict[int, bytes]) -> DataFrame:
-    """docs with `difference`: how much better the good dictionary compresses a text than the bad one."""
+    """A dictionary for each class of rows(doc_id, text, y) that has text."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        in_order = pdf.sort_values(["doc_id", "text"])
+        return pd.DataFrame({"y": pdf["y"].iloc[:1], "content": [dictionary([p for t in in_order["text"] for p in cut(t)])]})
+
+    found = rows.groupBy("y").applyInPandas(train, "y int, content binary").collect()  # two rows
+    return {r["y"]: bytes(r["content"]) for r in found if r["content"]}
+
+
+def difference_of(docs: DataFrame, words: dict[int, bytes]) -> Column:
+    """How much better the good dictionary compresses a text of docs than the bad one; 0 if there aren't both."""
     if len(words) < 2:
-        return docs.withColumn("difference", F.lit(0.0))
+        return F.lit(0.0)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("double")
@@ -78,7 +75,7 @@ def with_difference(docs: DataFrame, words: dict[int, bytes]) -> DataFrame:
                 out.append((sizes[0] - sizes[1]) / sizes[2])
             yield pd.Series(out, dtype=float)
 
-    return docs.withColumn("difference", difference(F.col("text")))
+    return difference(docs["text"])
 
 
 def calibration(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -99,21 +96,22 @@ def calibration(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, f
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 12_000) -> dict:
     """The model: two dictionaries, slope and offset."""
-    rows = training_rows(docs, labels, label, max_rows)
+    rows = keep(training_rows(docs, labels, label, max_rows), "quality-sample")  # documents are read once for it
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     words = dictionaries(rows.filter(half == 0))
-    seen = with_difference(rows.filter(half == 1), words).select("difference", "y").toPandas()  # max_rows pairs of numbers at most
+    seen = rows.filter(half == 1).select(difference_of(rows, words).alias("difference"), "y").toPandas()  # max_rows pairs of numbers at most
     slope, offset = calibration(seen["difference"].to_numpy(dtype=float), seen["y"].to_numpy(dtype=float))
     return {"words": words, "slope": slope, "offset": offset}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs with a column `score`, 0 to 1; an input column of that name is replaced."""
-    z = F.col("difference") * model["slope"] + model["offset"]
-    return with_difference(docs, model["words"]).withColumn("score", 1 / (1 + F.exp(-z))).drop("difference")
+    z = difference_of(docs, model["words"]) * model["slope"] + model["offset"]
+    return docs.withColumn("score", 1 / (1 + F.exp(-z)))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """A score of every document, learned from labelled documents that aren't held out; null and empty texts are scored as texts without a difference."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

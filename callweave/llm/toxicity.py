@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table, training_rows
+from .common import held_out, keep, table, training_rows
 
 #: Lengths of n-grams, and slots that they are hashed to.
 GRAMS, SLOTS = (3, 4, 5), 1 << 20
@@ -96,7 +96,7 @@ def fit_logistic(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: i
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000) -> dict:
     """The model: the number of each slot (-1: unused), weights by number, and a bias."""
-    rows = training_rows(docs, labels, label, max_rows)
+    rows = keep(training_rows(docs, labels, label, max_rows), "toxicity-sample")  # documents are read once for it
     slots, ratios = gram_ratios(rows)
     number = np.full(SLOTS, -1, dtype=np.int32)
     number[slots] = np.arange(len(slots), dtype=np.int32)
@@ -131,6 +131,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A score of every document, learned from labelled documents that aren't held out; null and empty texts are scored as texts without n-grams."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
