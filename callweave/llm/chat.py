@@ -40,6 +40,13 @@ def unescape(text: str) -> str:
     return text.replace("\\g", ">").replace("\\l", "<").replace("\\b", "\\")
 
 
+def body_of(piece: Column) -> Column:
+    """The text in a piece, unescaped: ties are ordered by it, as escapes sort otherwise than what they stand for."""
+    begin = F.locate(">", piece)
+    body = F.substring(piece, begin + 1, F.char_length(piece) - begin - F.lit(len("</turn>\n")))
+    return F.replace(F.replace(F.replace(body, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+
+
 def visit(part: Column) -> Column:
     """A part as it stands in the formatted text."""
     kind = F.coalesce(part["type"], F.lit("text"))
@@ -115,13 +122,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return pd.DataFrame({k: [x[k] for x in done] for k in ("conv_id", "n_turns", "loss_chars", "formatted_chars")} | digests)
 
     kind = formatted.schema["conv_id"].dataType
-    in_order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "piece")
+    in_order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", body_of(F.col("piece")))
     narrow = in_order.select(F.col("conv_id").cast("string"), "piece", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     out = narrow.mapInPandas(read, "conv_id string, n_turns long, loss_chars long, formatted_chars long, turns_sha256 string, loss_sha256 string")
     return out.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and a probe, read back from the formatted turns; null texts are empty, turns that tie go by role and text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
