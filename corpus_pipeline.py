@@ -38,8 +38,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a word that stands in a window of the benchmark."""
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = found.filter("n_hit > 0").select(F.struct("doc_id", "hash").alias("of")).distinct()
-    key = F.struct(docs["doc_id"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    return docs.join(bad, key.eqNullSafe(F.col("of")), "left_anti")
+    rows = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(bad, F.col("key").eqNullSafe(F.col("of")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
