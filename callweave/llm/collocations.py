@@ -7,10 +7,11 @@ into those below, equal to and above a pivot. The equal part is a phrase, its si
 phrase occurs, and it goes on one word deeper; a part smaller than the least count is abandoned.
 
 Before that, words and pairs of words are counted by buckets of their hashes, and then triples whose
-pairs may be frequent. A bucket below the least count holds nothing frequent: suffixes end before such a
-pair or triple, and words of such buckets begin none. The buckets become bitmaps whose size follows the
-input up to BUCKETS; above it, more infrequent suffixes are sorted, with the same result. Suffixes that are
-equal are sent once by a task, with their number, as far as it remembers them.
+pairs may be frequent, and the words of such pairs. A bucket below the least count holds nothing frequent:
+suffixes end before such a pair or triple, and words that stand in no such pair begin none. The buckets
+become bitmaps whose size follows the input up to BUCKETS; above it, more infrequent suffixes are sorted,
+with the same result. Suffixes that are equal are sent once by a task, with their number, as far as it
+remembers them, and all that a task has for a range of routes is one row.
 
 Leading words with more than 1/HOT of everything are told by the same counts, HOT of them at most: their
 suffixes are routed by two leading words, and those of a hot pair by all their words. What such a word or
@@ -45,8 +46,10 @@ MOST, LEAST, TOP = 5, 100, 2000
 BUCKETS, BYTES_OF_A_BUCKET, HOT = 1 << 28, 64, 1024
 #: Bytes of text handled at once; hashes counted at once; suffixes that a task remembers; suffixes of a sorted block.
 AT_ONCE, COUNTED, REMEMBERED, BLOCK = 1 << 21, 4_000_000, 1_000_000, 300_000
-#: Buckets of a range, which is counted in one place.
-RANGE = 1 << 16
+#: Buckets of a range, which is counted in one place; bytes of text for a range of routes.
+RANGE, BYTES_OF_A_RANGE = 1 << 16, 1 << 22
+#: What is known of a suffix.
+FIELDS = ["lang", "suffix", "n", "whole", "route"]
 #: Kinds of bytes: of words, between words, between pieces.
 WORD, GAP, END = 0, 1, 2
 KIND = np.zeros(256, dtype=np.uint8)
@@ -232,8 +235,15 @@ def frequent(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
         first = np.flatnonzero(goes_on[:-1] & goes_on[1:])
         return first, mixed(words.hash[first] * np.uint64(7) + words.hash[first + 1] * np.uint64(3) + words.hash[first + 2], 2)
 
-    counts = counted(docs, buckets, least, lambda words: triples(words)[1], "three")
+    def in_pairs(words: Words) -> np.ndarray:
+        """Hashes of the words of pairs that may be frequent; a frequent pair's words come as often as it."""
+        one, pair = words.pairs()
+        one = one[of_pairs.value(pair)]
+        return mixed(words.hash[np.concatenate([one, one + 1])], 9)
+
+    counts = counted(docs, buckets, least, lambda words: np.concatenate([triples(words)[1], in_pairs(words)]), "three")
     of_triples = spark.sparkContext.broadcast(bits_of(counts, buckets))
+    shift = np.uint64(64 - max(12, int(size // BYTES_OF_A_RANGE).bit_length()))
 
     def suffixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         within = lambda h: np.isin((h & np.uint64(buckets - 1)).astype(np.int64), hot.value)
@@ -245,7 +255,7 @@ def frequent(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
                 if not n:
                     continue
                 one, pair = words.pairs()
-                first = np.flatnonzero(of_pairs.value(words.hash))
+                first = np.flatnonzero(of_triples.value(mixed(words.hash, 9)))
                 goes_on, again = np.zeros(n + most, dtype=bool), np.zeros(n + most, dtype=bool)
                 goes_on[one] = of_pairs.value(pair)
                 begin, three = triples(words)
@@ -291,42 +301,47 @@ def frequent(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
         return key, out, [r[at] for r in rest]
 
     def sent(sums: np.ndarray, told: list) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(sums), 50_000):
-            lang, text, whole, route = (x[a : a + 50_000] for x in told)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(lang, pa.string()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(sums[a : a + 50_000], pa.int64()),
-                pa.array(whole.astype(np.int8), pa.int8()), pa.array(route.astype(np.int64), pa.int64())], ["lang", "suffix", "n", "whole", "route"])
+        """A row for each range of routes."""
+        if not len(sums):
+            return
+        lang, text, whole, route = told
+        by = np.argsort(route, kind="stable")
+        ranges = (route[by] >> shift).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]]))
+        rows = pa.StructArray.from_arrays([
+            pa.array(lang[by], pa.string()), pa.array(text[by], pa.binary()).cast(pa.string()), pa.array(sums[by], pa.int64()), pa.array(whole[by], pa.int64()), pa.array(route[by].astype(np.int64), pa.int64())], FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(ranges[cuts[:-1]], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows)], ["range", "rows"])
 
     def mine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by whole and route; a block ends where a route does, unless a route is more than a block."""
+        """Rows come by range; a block ends where a range does, unless a range is more than a block."""
         rest, cut = None, None
         for part in parts:
-            now = pa.Table.from_batches([part] if rest is None else [rest, part]).combine_chunks()
-            rest = now.to_batches()[0] if now.num_rows else None
-            if now.num_rows < BLOCK:
+            lists = part.column("rows")
+            now = pa.Table.from_arrays([*lists.flatten().flatten(), pa.array(np.repeat(part.column("range").to_numpy(), np.diff(lists.offsets.to_numpy())))], [*FIELDS, "range"])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            if rest.num_rows < BLOCK:
                 continue
-            route = now.column("route").to_numpy()
-            ends = np.flatnonzero(route != route[-1])
-            end = int(ends[-1]) + 1 if len(ends) else now.num_rows
-            parted = {cut} if not len(ends) or cut is not None else set()
-            yield from blocks(now.slice(0, end), parted | ({int(route[-1])} if not len(ends) else set()))
-            cut = int(route[-1]) if not len(ends) else None
-            rest = now.slice(end).combine_chunks().to_batches()[0] if end < now.num_rows else None
-        if rest is not None:
-            yield from blocks(pa.Table.from_batches([rest]), {cut})
+            of = rest.column("range").to_numpy()
+            ends = np.flatnonzero(of != of[-1])
+            end = int(ends[-1]) + 1 if len(ends) else len(of)
+            yield from blocks(rest.slice(0, end).combine_chunks(), {cut} if len(ends) else {cut, int(of[-1])})
+            cut = cut if len(ends) == 0 and cut == int(of[-1]) else None if len(ends) else int(of[-1])
+            rest = rest.slice(end)
+        if rest is not None and rest.num_rows:
+            yield from blocks(rest.combine_chunks(), {cut})
 
     def blocks(rows: pa.Table, parted: set) -> Iterator[pa.RecordBatch]:
-        """Sorts rows of one lang and whole at a time; of routes that are parted nothing is abandoned."""
+        """Sorts rows of one lang and whole at a time; of ranges that are parted nothing is abandoned."""
         whole, lang = rows.column("whole").to_numpy().astype(np.int64), rows.column("lang").to_numpy().astype(str)
-        whole[np.isin(rows.column("route").to_numpy(), [x for x in parted if x is not None])] = most + 1
+        whole[np.isin(rows.column("range").to_numpy(), [x for x in parted if x is not None])] = most + 1
         for w in np.unique(whole).tolist():
             for name in np.unique(lang[whole == w]).tolist():
                 some = rows.filter(pa.array((whole == w) & (lang == name)))
                 found = quicksorted(some.column("suffix"), some.column("n").to_numpy(), w, least)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["lang", "phrase", "n"])
 
-    sent = docs.mapInArrow(suffixes, "lang string, suffix string, n long, whole byte, route long")
-    routed = sent.repartition("whole", "route").sortWithinPartitions("whole", "route")
+    sent_rows = docs.mapInArrow(suffixes, "range long, rows array<struct<lang:string,suffix:string,n:long,whole:long,route:long>>")
+    routed = sent_rows.repartition("range").sortWithinPartitions("range")
     found = routed.mapInArrow(mine, "lang string, phrase string, n long")
     return keep(found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "frequent"), totals
 
