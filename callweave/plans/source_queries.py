@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import containment
 from ..sources import files, messages
-from ..streaming import ingest
+from ..streaming import ingest, state
 from .derived import table
 
 QUERIES: dict = {}
@@ -242,3 +242,81 @@ def first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.filter("event_type = 'view'").select(F.col("user_id").alias("request_id"), "ts", F.col("event_id").alias("symbol_id"))
     got = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("request_id"), "ts")
     return ingest.matched(asked, got, timeout="1 hour").select("symbol_id", "response_ts")
+
+
+@query("SELECT 'user ' || user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at, props || '€' AS body FROM events")
+def frames_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as a stream of frames, cut into chunks of 37 bytes, also inside headers and letters, and put together again."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", messages.framed(F.concat("props", F.lit("€"))).alias("frame"))
+    streams = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f"))
+    data = F.encode(F.array_join(F.transform("f", lambda x: x["frame"]), ""), "UTF-8")
+    whole = streams.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("stream_id"), data.alias("data"))
+    places = F.posexplode(F.sequence(F.lit(1), F.octet_length("data"), F.lit(37)))
+    cut = whole.select("stream_id", "data", places.alias("seq", "from")).select("stream_id", "seq", F.substring("data", F.col("from"), F.lit(37)).alias("chunk"))
+    return state.frames(cut)
+
+
+LOADING = """WITH a AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts FROM events WHERE event_type = 'click'),
+x AS (SELECT a.user_id, a.event_id, a.ts AS asked, (SELECT min(p.ts) FROM p WHERE p.user_id = a.user_id AND p.ts >= a.ts AND p.ts <= a.ts + INTERVAL 1 HOUR) AS got FROM a)"""
+
+
+@query(f"""{LOADING} SELECT 'user ' || user_id AS symbol_id, 'r' || event_id AS request_id, CASE WHEN got IS NULL THEN 'Failed' WHEN event_id % 3 = 0 THEN 'Loaded' ELSE 'Failed' END AS state,
+CASE WHEN got IS NULL OR event_id % 3 > 0 THEN 'Request timed out' END AS reason,
+CASE WHEN got IS NULL THEN date_trunc('milliseconds', asked + INTERVAL 1 HOUR) WHEN event_id % 3 = 0 THEN got ELSE date_trunc('milliseconds', got + INTERVAL 1 HOUR) END AS ts FROM x""")
+def symbol_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views ask for a user's calls, the first click within an hour prepares them, for two of three with an item that is asked on and never answered: how each request ends."""
+    e = table(spark, sf_dir, "events")
+    symbol = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    asked = e.filter("event_type = 'view'").select(F.col("user_id").alias("request_id"), "ts", F.col("event_id").alias("symbol_id"))
+    got = ingest.matched(asked, e.filter("event_type = 'click'").select(F.col("user_id").alias("request_id"), "ts"), timeout="1 hour")
+    of = F.concat(F.lit("r"), F.col("symbol_id").cast("string"))
+    user = F.concat(F.lit("user "), F.col("request_id").cast("string"))
+    items = F.when(F.col("symbol_id") % 3 == 0, "[]").otherwise('[{"name":"f"},{"name":"g"}]')
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    row = lambda who, ts, kind, request, what: [who.alias("symbol_id"), ts.alias("ts"), F.lit(kind).alias("kind"), request.alias("request_id"), what.alias("items"), none.alias("message"), zero.alias("generation")]
+    own = F.concat(F.lit("r"), F.col("event_id").cast("string"))
+    events = e.filter("event_type = 'view'").select(*row(symbol, F.col("ts"), "asked", own, none)).unionByName(got.select(*row(user, F.col("response_ts"), "prepared", of, items)))
+    turns = state.symbol_states(events, timeout_ms=3_600_000)
+    ended = turns.filter("state in ('Loaded', 'Failed')")
+    return ended.select("symbol_id", F.regexp_replace("request_id", "/calls$", "").alias("request_id"), "state", "reason", "ts")
+
+
+GATHERED = """WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders),
+p AS (SELECT l_orderkey, l_suppkey, min(l_shipdate::TIMESTAMP) AS ts FROM lineitem JOIN o ON o_orderkey = l_orderkey WHERE l_shipdate::TIMESTAMP >= o.ts AND l_shipdate::TIMESTAMP <= o.ts + INTERVAL 60 DAY GROUP BY ALL)"""
+
+
+@query(f"""{GATHERED} SELECT 'order ' || o_orderkey AS base_id, count(l_suppkey)::BIGINT AS parts, CASE WHEN n = 0 THEN 'empty' WHEN count(l_suppkey) = n THEN 'complete' ELSE 'timeout' END AS why,
+CASE WHEN n = 0 THEN o.ts WHEN count(l_suppkey) = n THEN max(p.ts) ELSE o.ts + INTERVAL 60 DAY END AS ts FROM o LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY o_orderkey, n, o.ts""")
+def reference_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders ask each of their suppliers for a part, which comes with the first line that it ships: when orders are complete, or given up after sixty days."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    base = lambda c: F.concat(F.lit("order "), F.col(c).cast("string")).alias("base_id")
+    supplier = F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))
+    paths = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(supplier).alias("file_paths"))
+    answers = orders.join(paths, "o_orderkey", "left").select(base("o_orderkey"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.coalesce("file_paths", F.array().cast("array<string>")).alias("file_paths"))
+    sent = lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate >= o_orderdate")
+    parts = sent.select(base("l_orderkey"), F.col("l_shipdate").cast("timestamp").alias("ts"), supplier.alias("part"), F.col("l_partkey").cast("string").alias("payload"))
+    done = state.gathered(answers, parts, timeout_ms=60 * 86_400_000)
+    return done.groupBy("base_id", "why", "ts").agg(F.count("part").alias("parts"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS n, p_size % 8 AS deep, p_partkey % 5 = 0 AS flat FROM part),
+x AS (SELECT id, n, flat, deep, unnest(range(0, CASE WHEN flat THEN 1 ELSE deep + 1 END)) AS k FROM t)
+SELECT id, array_to_string(list_transform(range(0, k + 1), lambda z: '0'), '/') AS path, n || k AS name, CASE WHEN k > 0 THEN n || (k - 1) || '::' || n || k ELSE n || k END AS qualified_name,
+CASE WHEN flat THEN 'box' END AS detail, CASE WHEN k > 0 THEN n || (k - 1) END AS container_name, k::INT AS line FROM x""")
+def deep_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents whose symbols are nested up to eight deep, or flat with a location in the older form."""
+    part = table(spark, sf_dir, "part")
+    point = lambda k: F.struct(F.lit(k).alias("line"), F.lit(2).alias("character"))
+    span = lambda k: F.struct(point(k).alias("start"), point(k).alias("end"))
+    name = lambda k: F.concat("p_name", F.lit(str(k)))
+    tree = F.lit("null")
+    for k in range(7, -1, -1):
+        own = F.substring(F.to_json(F.struct(name(k).alias("name"), F.lit(5).alias("kind"), span(k).alias("range"), span(k).alias("selectionRange"))), F.lit(2), F.lit(1 << 20))
+        here = F.concat(F.lit('[{"children":'), tree, F.lit(","), own, F.lit("]"))
+        tree = F.when(F.col("p_size") % 8 >= k, here).otherwise(F.lit("null"))
+    where = F.struct(F.lit("file:///x.c").alias("uri"), span(0).alias("range"))
+    flat = F.to_json(F.array(F.struct(name(0).alias("name"), F.lit(12).alias("kind"), F.lit("box").alias("containerName"), where.alias("location"))))
+    rows = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, flat).otherwise(tree).alias("result"), F.lit(None).cast("string").alias("error"))
+    found = messages.document_symbols(rows)
+    return found.select("id", F.array_join("path", "/").alias("path"), "name", "qualified_name", "detail", "container_name", "location.line")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import call_qualified_name, location_of_range, path_of_uri, qualified_name, reference_kind, symbol_id
-from ..schema import location
+from ..schema import FUNCTIONS, location
 from ..storage import keep
 
 ENVELOPE = "jsonrpc string, id bigint, method string, result string, error struct<code:int,message:string>"
@@ -29,8 +29,8 @@ HEADER = r"(?:[A-Za-z-]+:[^\r\n]*\r\n)*?Content-Length: *([0-9]+)\r\n(?:[A-Za-z-
 REFERENCES = ("textDocument/references", "textDocument/enhancedReferences")
 LOADED_KINDS = (12, 6, 9)
 UNKNOWN_ERROR = "Unknown LSP error"
-#: Levels of nested symbols that are looked for before a document counts as broken.
-LEVELS = 1000
+#: Rows of functions that answers bring.
+FUNCTION_ROW = FUNCTIONS
 
 
 def envelopes(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -94,31 +94,26 @@ def loadable(symbols: DataFrame, most: int = 200) -> DataFrame:
 
 
 def document_symbols(rows: DataFrame) -> DataFrame:
-    """(id, path, name, qualified_name, kind, container_name, location, range, around): the symbols of documents, nested ones by a join for each level.
+    """(id, path, name, qualified_name, kind, detail, container_name, location, range, around): the symbols of documents, nested ones by a join for each level, however many there are.
 
     path numbers a symbol and those around it, so that its order is that of the document. Lines and
-    columns are counted from 0 and files are blank, as the answer has them; flat symbols with a
-    location of their own keep it. around holds the ranges of the symbols around.
+    columns are counted from 0 and files are blank, as the answer has them. Flat symbols with a location
+    of their own, the older form, are in no container: theirs is their detail. around holds the ranges of
+    the symbols around.
     """
-    first = rows.filter("error is null").select("id", F.array().cast("array<int>").alias("path"), F.array().cast(f"array<{RANGE}>").alias("around"), F.lit(None).cast("string").alias("container"), F.col("result").alias("text"))
-    levels, level = [], first
-    for _ in range(LEVELS):
+    level = rows.filter("error is null").select("id", F.array().cast("array<int>").alias("path"), F.array().cast(f"array<{RANGE}>").alias("around"), F.lit(None).cast("string").alias("container"), F.col("result").alias("text"))
+    levels = []
+    while not levels or not levels[-1].isEmpty():
         found = level.select("id", "path", "around", "container", F.posexplode(F.from_json("text", TREE)).alias("at", "x"))
-        found = found.select("id", F.array_append("path", F.col("at")).alias("path"), "around", F.coalesce("container", "x.containerName").alias("container"), "x")
-        found = keep(found)  # a level is parsed once
-        if found.isEmpty():
-            break
-        levels.append(found)
-        level = found.filter("x.children is not null").select("id", "path", F.array_append("around", F.col("x.range")).alias("around"), F.col("x.name").alias("container"), F.col("x.children").alias("text"))
-    if not levels:
-        levels = [first.select("id", "path", "around", "container", F.explode(F.from_json("text", TREE)).alias("x")).limit(0)]
-    s = F.coalesce("x.selectionRange", "x.range")
+        levels.append(keep(found.select("id", F.array_append("path", F.col("at")).alias("path"), "around", "container", "x")))  # a level is parsed once
+        level = levels[-1].filter("x.children is not null").select("id", "path", F.array_append("around", F.col("x.range")).alias("around"), F.col("x.name").alias("container"), F.col("x.children").alias("text"))
+    flat = F.col("x.location").isNotNull()
+    s = F.coalesce("x.selectionRange", "x.range", "x.location.range")
     length = F.when(s["start"]["line"] == s["end"]["line"], s["end"]["character"] - s["start"]["character"])
-    flat = location_of_range(F.col("x.location.uri"), F.col("x.location.range.start"), F.col("x.location.range.end"))
-    own = location("", s["start"]["line"], s["start"]["character"], length)
     return reduce(DataFrame.unionByName, levels).select(
-        "id", "path", "x.name", qualified_name(F.col("container"), F.col("x.name")).alias("qualified_name"), "x.kind", F.col("container").alias("container_name"),
-        F.when(F.col("x.location").isNotNull(), flat).otherwise(own).alias("location"), F.coalesce("x.range", "x.location.range").alias("range"), "around")
+        "id", "path", "x.name", qualified_name(F.col("container"), F.col("x.name")).alias("qualified_name"), "x.kind",
+        F.when(flat, F.col("x.containerName")).otherwise(F.col("x.detail")).alias("detail"), F.col("container").alias("container_name"),
+        location("", s["start"]["line"], s["start"]["character"], length).alias("location"), F.coalesce("x.range", "x.location.range").alias("range"), "around")
 
 
 def _item(x: Column) -> Column:
@@ -163,6 +158,14 @@ def found_calls(sites: DataFrame, asked: DataFrame, outgoing: bool) -> tuple[Dat
     return functions, calls
 
 
+def loaded_functions(rows: DataFrame) -> DataFrame:
+    """Rows for `CallGraph.add_functions` of found workspace symbols that are functions."""
+    at = F.col("location")
+    found = workspace_symbols(rows).filter(F.col("kind").isin(*LOADED_KINDS))
+    return found.select(
+        symbol_id(F.col("qualified_name"), at["file_path"], at["line"]).alias("id"), "name", "qualified_name", at.alias("definition_location"), F.col("id").cast("long").alias("seq"))
+
+
 def expansions(rows: DataFrame, outgoing: bool = False) -> DataFrame:
     """(id, state, follow_up) of answers to prepared hierarchies: the request for the calls of the first item, or Loaded if there is none."""
     first = F.get(F.from_json("result", "array<string>"), 0)

@@ -5,11 +5,13 @@ State is bounded by watermarks. What a batch finds goes to tables by foreachBatc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..graph import distinct_calls, first_wins
+from .. import schema
+from ..graph import CallGraph, distinct_calls, first_wins
+from ..sources import messages
 
 # How long a request, a server's start and the first symbols are waited for.
 TIMEOUT, START, SYMBOLS = "30 seconds", "10 seconds", "2 seconds"
@@ -93,6 +95,55 @@ def states(events: DataFrame) -> DataFrame:
     return events.groupBy("symbol_id").agg(F.max_by("state", F.struct("ts", "state")).alias("state"))
 
 
+def put_answers(stream: DataFrame, pending: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes what a stream of JSON messages(value) answers to pending(id, method, function_id, file_path) requests into the graph's tables at `path`.
+
+    Callees, callers and workspace symbols are new functions and calls; references replace those that their
+    function had, also by none. Every batch has a folder of its number in each table and is written over
+    when it is run again, so that nothing counts twice; `graph_at` puts the tables together.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        opened = messages.envelopes(batch.select("value")).filter("m is not null")
+        asked = pending.withColumnRenamed("id", "_id").dropDuplicates(["_id"])
+        asked = asked.select(F.col("_id").alias("id"), "method", "function_id", "file_path")
+        of = lambda *methods: messages.answers(opened, asked, methods)
+        functions, calls = [], []
+        for method, outgoing in ((messages.OUTGOING, True), (messages.INCOMING, False)):
+            sites = messages.call_sites(of(method), outgoing, asked if outgoing else None)
+            new, sent = messages.found_calls(sites, asked, outgoing)
+            functions.append(new)
+            calls.append(sent)
+        functions.append(messages.loaded_functions(of("workspace/symbol")))
+        known = of(*messages.REFERENCES)
+        refreshed = known.filter("error is null").join(asked.select("id", "function_id"), "id").select("function_id", F.col("id").cast("long").alias("seq"))
+        places = messages.locations(known).join(asked.select("id", "function_id"), "id")
+        places = places.select(F.col("id").cast("long").alias("seq"), "at", "function_id", "location")
+        tables = {"functions": functions[0].unionByName(functions[1]).unionByName(functions[2]), "calls": calls[0].unionByName(calls[1]), "references": places, "refreshed": refreshed}
+        try:
+            for name, rows in tables.items():
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    out = stream.select("value").writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def graph_at(spark: SparkSession, path: str) -> CallGraph:
+    """The graph that `put_answers` has written so far: functions as they came first, calls once, references of each function's last answer."""
+    read = lambda name, kind: spark.read.schema(f"{kind}, batch long").parquet(f"{path}/{name}")
+    functions = read("functions", messages.FUNCTION_ROW).withColumn("seq", F.struct("batch", "seq"))
+    functions = first_wins(functions.drop("batch"), ["id"]).withColumn("seq", F.col("seq.seq"))
+    calls = read("calls", schema.CALLS).drop("batch")
+    last = read("refreshed", "function_id string, seq long").groupBy("function_id").agg(F.max(F.struct("batch", "seq")).alias("last"))
+    places = read("references", f"seq long, at int, function_id string, location {schema.LOCATION}")
+    current = places.join(last, "function_id").filter(F.struct("batch", "seq") == F.col("last"))
+    references = current.select(F.col("at").cast("long").alias("seq"), "function_id", "location", F.lit(None).cast(schema.SYMBOL).alias("referencing_symbol"))
+    return CallGraph.empty(spark).add_functions(functions).add_calls(calls).add_references(references)
+
+
 def latest_references(refreshes: DataFrame) -> DataFrame:
     """refreshes(function_id, ts, ...): the rows of each function's last refresh, which replaces those before."""
     last = refreshes.groupBy("function_id").agg(F.max("ts").alias("ts"))
