@@ -7,7 +7,8 @@ of the three.
 
 Groups that hold more than 1/BIG of all bytes, words or rows are placed first. There are 3 * BIG of them
 at most, whatever the input, and they are the only ones that the driver sees. Of these, a group above
-1/PIECES of a shard is split by hashed ids, as no shard could hold it and be even.
+1/PIECES of a shard is split by hashed ids, into parts of 1/FINE of a shard, as no shard could hold it and
+be even.
 
 All other groups are dealt to lanes by their hash, some LANE groups each. What the shards have left is
 dealt to the lanes by what the lanes hold, and each lane is packed on its own: as lanes end with their
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import keep, shared_dir, table, word_count
 
 SHARDS = 16
-#: Groups above this part of everything are placed first; a shard's parts that a piece of a group has at most.
-BIG, PIECES = 4096, 2
+#: Groups above this part of everything are placed first; those above this part of a shard are split, into such parts of a shard.
+BIG, PIECES, FINE = 4096, 2, 16
 #: Small groups of a lane.
 LANE = 20_000
 #: What is balanced.
@@ -74,7 +75,7 @@ def place(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = groups.agg(F.count("*").alias("groups"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS]).first()
     whole = np.array([max(1, total[c]) for c in SUMS], dtype=np.float64)
     part = F.greatest(*[F.col(c) / F.lit(float(w)) for c, w in zip(SUMS, whole)])
-    cuts = F.greatest(F.lit(1), F.ceil(part * F.lit(shards * PIECES))).cast("int")
+    cuts = F.when(part * F.lit(shards * PIECES) > 1, F.ceil(part * F.lit(shards * FINE))).otherwise(1).cast("int")
     # A part above 1 / BIG: 3 * BIG groups at most, as BIG of them for each sum.
     big = F.broadcast(keep(groups.filter(part * F.lit(BIG) > 1).select(*KEY, cuts.alias("cuts")), "big-groups"))
     of_big = rows.join(big, KEY).withColumn("piece", piece(F.col("cuts")))
