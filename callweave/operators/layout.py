@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -295,12 +296,57 @@ def bounds(positions: DataFrame, config: LayoutConfig) -> DataFrame:
         (F.min("x") - w).alias("min_x"), (F.min("y") - h).alias("min_y"), (F.max("x") + w).alias("max_x"), (F.max("y") + h).alias("max_y"))
 
 
+#: Blocks that a sequence is cut into to count its inversions; their histogram has BLOCKS * BLOCKS numbers at most.
+BLOCKS = 512
+
+
+def inversions(x: np.ndarray) -> int:
+    """Pairs of a sequence of numbers from 0 on in which the larger comes first: bit by bit, ones before zeros among those that share the bits above."""
+    total = 0
+    for bit in range(int(x.max()).bit_length() if len(x) else 0):
+        by = np.argsort(x >> (bit + 1), kind="stable")
+        above, one = (x >> (bit + 1))[by], ((x >> bit) & 1)[by]
+        before = np.cumsum(one)
+        first = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+        own = before - np.repeat(before[first] - one[first], np.diff(np.append(first, len(x))))
+        total += int(own[one == 0].sum())
+    return total
+
+
 def crossings(positions: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row: pairs of edges between the same neighbouring layers whose ends stand in opposite order."""
+    """A row: pairs of edges between the same neighbouring layers whose ends stand in opposite order.
+
+    Edges are numbered by layer, the place of their first end, then of their second, and numbered again by
+    layer and second end: crossings are the inversions between both numbers. Both are cut into blocks.
+    Pairs in different blocks of the second number are told by it: those in one block of the first number
+    are counted there, the others by sums over the histogram of blocks. The rest is in one block of the second
+    number. So a task has a block of edges, and nothing is joined with itself.
+    """
     at = lambda name: positions.select(F.col("idx").alias(name), F.col("layer").alias(f"{name}_layer"), F.col("y").alias(f"{name}_y"))
     ends = edges.select("src", "dst").join(at("src"), "src").join(at("dst"), "dst").filter("dst_layer = src_layer + 1")
-    a, b = ends.alias("a"), ends.alias("b")
-    return a.join(b, (F.col("a.src_layer") == F.col("b.src_layer")) & (F.col("a.src_y") < F.col("b.src_y")) & (F.col("a.dst_y") > F.col("b.dst_y"))).agg(F.count("*").alias("crossings"))
+    places = ends.select(F.col("src_layer").alias("layer"), F.col("src_y").alias("a"), F.col("dst_y").alias("b"))
+    both = numbered(numbered(places, ["layer", "a", "b"], "k"), ["layer", "b", "k"], "v")
+    both = keep(both.select("k", "v"))
+    size = max(1, -(-both.count() // BLOCKS))
+    cut = keep(both.select("k", "v", F.floor(F.col("k") / size).cast("int").alias("p"), F.floor(F.col("v") / size).cast("int").alias("q")))
+
+    def within(order: str, value: str):
+        def count(rows: pd.DataFrame) -> pd.DataFrame:
+            x = rows.sort_values(order)[value].to_numpy(dtype=np.int64)
+            return pd.DataFrame({"n": [inversions(x - x.min())]})
+
+        return count
+
+    by_p = cut.groupBy("p").applyInPandas(within("k", "q"), "n long")
+    by_q = cut.groupBy("q").applyInPandas(within("k", "v"), "n long")
+    # BLOCKS * BLOCKS numbers at most, whatever the graph.
+    cells = cut.groupBy("p", "q").agg(F.count("*").alias("n")).toPandas()
+    grid = np.zeros((BLOCKS + 1, BLOCKS + 1), dtype=np.int64)
+    grid[cells["p"], cells["q"]] = cells["n"]
+    larger = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid  # in the same block p, of a larger q
+    earlier = np.cumsum(larger, axis=0) - larger  # in earlier blocks
+    apart = sum(int(n) for n in (earlier * grid).sum(axis=1))
+    return by_p.unionByName(by_q).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.lit(apart)).alias("crossings"))
 
 
 def connections(positions: DataFrame, edges: DataFrame) -> DataFrame:

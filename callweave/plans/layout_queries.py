@@ -82,6 +82,19 @@ def dag_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.visible(_positions(_placed(spark, sf_dir)[1]), (4, -20), 0.5, 100, 40)
 
 
+@query(f"""{PLACED}, e AS (SELECT u.layer, k.pos AS a, m.pos AS b FROM te JOIN ly u ON u.idx = src JOIN ly w ON w.idx = dst AND w.layer = u.layer + 1
+  JOIN k ON k.a = src AND k.b = src JOIN k m ON m.a = dst AND m.b = dst),
+one AS (SELECT layer, b, row_number() OVER (ORDER BY layer, a, b) - 1 AS k FROM e), two AS (SELECT k, row_number() OVER (ORDER BY layer, b, k) - 1 AS v FROM one),
+bits AS (SELECT k, v, t, (v >> t) & 1 AS o FROM two, (SELECT unnest(range(0, 32)) AS t) AS ts),
+sums AS (SELECT o, sum(o) OVER (PARTITION BY t, v >> (t + 1) ORDER BY k) AS n FROM bits)
+SELECT coalesce(sum(n) FILTER (o = 0), 0)::BIGINT AS crossings FROM sums""")
+def dag_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings of the edges between neighbouring layers of the graph of tables, nodes and dummies in their first order."""
+    edges, placed = _placed(spark, sf_dir)
+    positions = placed.filter("v.a = v.b").select(F.col("v.a").alias("idx"), "v.layer", "at.y")
+    return layout.crossings(positions, edges)
+
+
 def _transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     steps = transitions(spark, sf_dir)
     nodes = numbered(steps.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), ["id"])
