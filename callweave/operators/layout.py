@@ -24,7 +24,36 @@ SEGMENT = f"struct<from:{POINT},to:{POINT},type:string>"
 
 
 class LayoutError(ValueError):
-    """A view that can't be laid out, or a configuration that makes no sense."""
+    """A view that can't be laid out."""
+
+
+# What the kinds of errors say.
+class InvalidNode(LayoutError):
+    """An edge whose end is no node."""
+
+    def __init__(self, idx: int):
+        super().__init__(f"Invalid node index: {idx}")
+
+
+class InvalidTree(LayoutError):
+    """Edges that can't be brought into layers."""
+
+    def __init__(self, message: str):
+        super().__init__(f"Invalid tree structure: {message}")
+
+
+class ConfigError(LayoutError):
+    """Sizes or distances that make no sense."""
+
+    def __init__(self, message: str):
+        super().__init__(f"Configuration error: {message}")
+
+
+class EmptyTree(LayoutError):
+    """Nothing to lay out."""
+
+    def __init__(self):
+        super().__init__("Empty tree provided")
 
 
 @dataclass(frozen=True)
@@ -41,9 +70,9 @@ class LayoutConfig:
 
     def __post_init__(self):
         if self.node_width <= 0 or self.node_height <= 0:
-            raise LayoutError("the size of nodes must be above 0")
+            raise ConfigError("the size of nodes must be above 0")
         if min(self.node_separation, self.level_separation, self.subtree_separation) < 0:
-            raise LayoutError("distances must not be below 0")
+            raise ConfigError("distances must not be below 0")
 
 
 def back_edges(edges: DataFrame) -> DataFrame:
@@ -106,7 +135,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
     else:
         return reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer"))
-    raise LayoutError("edges go round in a cycle")
+    raise InvalidTree("edges go round in a cycle")
 
 
 def dummies(edges: DataFrame, layer: DataFrame) -> DataFrame:
@@ -250,7 +279,11 @@ def layout(nodes: DataFrame, edges: DataFrame, config: LayoutConfig | None = Non
     """positions(idx, layer, x, y) and paths(class, parent_id, child_id, segments); an empty view raises."""
     config = config or LayoutConfig()
     if nodes.isEmpty():
-        raise LayoutError("there is nothing to lay out")
+        raise EmptyTree()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("idx")).distinct().join(nodes.select("idx"), "idx", "left_anti")
+    bad = ends.agg(F.min("idx")).first()[0]
+    if bad is not None:
+        raise InvalidNode(bad)
     known = keep(back_edges(edges))
     forward = known.filter("not back").select("src", "dst")
     layer = layers(nodes, forward)
@@ -266,6 +299,16 @@ def paths_of(paths: DataFrame, of: str) -> DataFrame:
     return paths.filter(F.col("class") == of)
 
 
+def with_cross_edges(paths: DataFrame, positions: DataFrame, edges: DataFrame) -> DataFrame:
+    """The paths, with others in place of those that go back: straight from the right of one node to the left of the other, by edges(src, dst); ends without a place are left out."""
+    ends = connections(positions, edges)
+    start, end = point(F.col("exit_x"), F.col("exit_y")), point(F.col("entry_x"), F.col("entry_y"))
+    routed = ends.select("src", "dst", start.alias("start"), end.alias("end"))
+    mid = ((F.col("start.x") + F.col("end.x")) / 2).cast("float")
+    crossing = routed.select(F.lit("cross").alias("class"), F.col("src").alias("parent_id"), F.col("dst").alias("child_id"), hop_segments(F.col("start"), F.col("end"), mid).alias("segments"))
+    return paths.filter("class <> 'cross'").unionByName(crossing)
+
+
 def path_between(paths: DataFrame, parent: int, child: int) -> DataFrame:
     """The path of one edge, or none."""
     return paths.filter((F.col("parent_id") == parent) & (F.col("child_id") == child))
