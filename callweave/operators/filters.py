@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,18 @@ def where(g: CallGraph, *predicates: Column) -> DataFrame:
     return g.functions.filter(both(*predicates))
 
 
+def where_all(g: CallGraph, *predicates: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Functions for which all predicates hold that Columns can't state: each takes some functions as a pandas frame and returns a truth value for each; later ones see what earlier ones left."""
+
+    def holding(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for p in predicates:
+                pdf = pdf[p(pdf).fillna(False).astype(bool).to_numpy()] if len(pdf) else pdf
+            yield pdf
+
+    return g.functions.mapInPandas(holding, g.functions.schema) if predicates else g.functions
+
+
 def with_severity(g: CallGraph, severity: int) -> DataFrame:
     """Functions with a diagnostic of this severity."""
     return g.functions.join(g.diagnostics.filter(F.col("severity") == severity), F.col("id") == F.col("function_id"), "left_semi")

@@ -320,3 +320,50 @@ def deep_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, flat).otherwise(tree).alias("result"), F.lit(None).cast("string").alias("error"))
     found = messages.document_symbols(rows)
     return found.select("id", F.array_join("path", "/").alias("path"), "name", "qualified_name", "detail", "container_name", "location.line")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS id, s_suppkey AS k, s_name AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier)
+SELECT id, place::INT AS at, n AS name, CASE k % 3 WHEN 0 THEN 'box::' || n ELSE n END AS qualified_name, CASE k % 4 WHEN 0 THEN 12 WHEN 1 THEN 6 WHEN 2 THEN 13 ELSE 5 END::INT AS kind,
+'/w/' || n || '.c' AS file_path, CASE k % 2 WHEN 0 THEN k + 1 ELSE 0 END::INT AS line, CASE k % 2 WHEN 0 THEN 3 ELSE 0 END::INT AS "column", CASE k % 3 WHEN 0 THEN 'box' END AS container_name FROM s""")
+def workspace_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as answers with their suppliers as symbols, every other one with no more than a URI."""
+    k = F.col("s_suppkey")
+    point = lambda c: F.struct(k.alias("line"), F.lit(c).alias("character"))
+    span = F.when(k % 2 == 0, F.struct(point(2).alias("start"), point(7).alias("end")))
+    where = F.struct(F.concat(F.lit("file:///w/"), F.replace("s_name", F.lit("#"), F.lit("%23")), F.lit(".c")).alias("uri"), span.alias("range"))
+    kind = F.get(F.array(*[F.lit(x) for x in (12, 6, 13, 5)]), (k % 4).cast("int"))
+    symbol = F.struct(F.col("s_name").alias("name"), kind.alias("kind"), F.when(k % 3 == 0, "box").alias("containerName"), where.alias("location"))
+    answers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", symbol.alias("symbol")))).alias("x"))
+    rows = answers.select("id", F.to_json(F.transform("x", lambda x: x["symbol"])).alias("result"), F.lit(None).cast("string").alias("error"))
+    found = messages.workspace_symbols(rows)
+    return found.select("id", "at", "name", "qualified_name", "kind", "location.file_path", "location.line", "location.column", "container_name")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS id, l_partkey AS p, l_linenumber AS n, unnest(range(0, 1 + l_linenumber % 3)) AS r FROM lineitem)
+SELECT id, 'part ' || p AS name, CASE p % 2 WHEN 0 THEN 'lib::part ' || p ELSE 'part ' || p END AS qualified_name, '/src/part ' || p || '.c' AS call_file, (n + r + 1)::INT AS call_line FROM x""")
+def incoming_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as answers with an incoming call each, from one place to three in the caller's file; some from none."""
+    part, n = F.col("l_partkey"), F.col("l_linenumber")
+    point = lambda line, c: F.struct(line.cast("int").alias("line"), F.lit(c).alias("character"))
+    span = lambda a: F.struct(point(a, 2).alias("start"), point(a, 6).alias("end"))
+    named = F.concat(F.lit("part "), part.cast("string"))
+    caller = F.struct(
+        named.alias("name"), F.lit(12).alias("kind"), F.when(part % 2 == 0, "lib").alias("detail"),
+        F.concat(F.lit("file:///src/part%20"), part.cast("string"), F.lit(".c")).alias("uri"), span(part).alias("range"), span(part).alias("selectionRange"))
+    places = F.slice(F.array(span(n), span(n + 1), span(n + 2)), 1, (1 + n % 3).cast("int"))
+    result = F.to_json(F.array(F.struct(caller.alias("from"), places.alias("fromRanges"))))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), result.alias("result"), F.lit(None).cast("string").alias("error"))
+    found = messages.call_sites(rows, outgoing=False)
+    return found.select("id", "item.name", "item.qualified_name", F.col("call_location.file_path").alias("call_file"), F.col("call_location.line").alias("call_line"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'references' WHEN 1 THEN 'references' WHEN 2 THEN 'references' WHEN 3 THEN 'outgoing' WHEN 4 THEN 'incoming' WHEN 5 THEN 'prepare'
+WHEN 6 THEN 'workspace' WHEN 7 THEN 'document' ELSE 'unknown' END AS kind FROM part""")
+def sniffed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What answers to forgotten requests look like, by the keys of their first member."""
+    of = lambda *keys: F.to_json(F.array(F.struct(*[F.col("p_name").alias(k) for k in keys])))
+    forms = [
+        F.lit("null"), F.lit("[]"), of("uri", "range"), of("to", "fromRanges"), of("from", "fromRanges"), of("name", "uri", "range", "selectionRange"),
+        of("name", "location"), of("name", "range"), of("other")]
+    result = F.element_at(F.array(*forms), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", messages.sniffed_kind(result).alias("kind"))

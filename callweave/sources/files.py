@@ -56,10 +56,20 @@ def read_graph_json(spark: SparkSession, path: str) -> CallGraph:
     return CallGraph.empty(spark).add_functions(nodes).add_calls(edges)
 
 
+#: The tables of a graph that is exchanged as JSON lines, with their schemas.
+TABLES = {"functions": schema.FUNCTIONS, "calls": schema.CALLS, "references": schema.REFERENCES, "diagnostics": schema.DIAGNOSTICS}
+
+
 def write_graph_json(g: CallGraph, path: str) -> None:
-    """Functions and calls as JSON lines, a folder each: what a graph of any size is exchanged as."""
-    g.functions.write.json(f"{path}/functions")
-    g.calls.write.json(f"{path}/calls")
+    """The four tables of a graph as JSON lines, a folder each: what a graph of any size is exchanged as. `load_graph_json` reads them."""
+    for name in TABLES:
+        getattr(g, name).write.option("ignoreNullFields", False).json(f"{path}/{name}")
+
+
+def load_graph_json(spark: SparkSession, path: str) -> CallGraph:
+    """A graph written by `write_graph_json`; functions come as they came first, calls that are there twice count once. A line that is no row raises."""
+    read = lambda name: spark.read.schema(TABLES[name]).option("mode", "FAILFAST").json(f"{path}/{name}")
+    return CallGraph.empty(spark).add_functions(read("functions")).add_calls(read("calls")).add_references(read("references")).add_diagnostics(read("diagnostics"))
 
 
 def documents(uris: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ TREE = f"array<struct<name:string,detail:string,kind:int,containerName:string,ra
 PREPARE, INCOMING, OUTGOING = "textDocument/prepareCallHierarchy", "callHierarchy/incomingCalls", "callHierarchy/outgoingCalls"
 #: A frame's header.
 HEADER = r"(?:[A-Za-z-]+:[^\r\n]*\r\n)*?Content-Length: *([0-9]+)\r\n(?:[A-Za-z-]+:[^\r\n]*\r\n)*\r\n"
-REFERENCES = ("textDocument/references", "textDocument/enhancedReferences")
+REFERENCES = ("textDocument/references", "textDocument/references_enhanced")
 LOADED_KINDS = (12, 6, 9)
 UNKNOWN_ERROR = "Unknown LSP error"
 #: Rows of functions that answers bring.
@@ -217,6 +217,11 @@ def references_request(id_: Column, uri: Column, line: Column, character: Column
     return request(id_, REFERENCES[0], position_params(uri, line, character, declaration=True))
 
 
+def enhanced_references_request(id_: Column, uri: Column, line: Column, character: Column) -> tuple[Column, Column]:
+    """(request, method it is pending as): the same message, whose answer is joined with the symbols around each place."""
+    return references_request(id_, uri, line, character), F.lit(REFERENCES[1])
+
+
 def hover_request(id_: Column, uri: Column, line: Column, character: Column) -> Column:
     return request(id_, "textDocument/hover", position_params(uri, line, character))
 
