@@ -117,6 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """How many words of every document stand in windows of the benchmark; a null text has no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.select(

@@ -164,4 +164,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 
 def op5_embed_dedup(spark, sf_dir: str) -> DataFrame:
+    """A row for each vector: its links, its component, and whether it is the one that is kept; vectors that can't be compared are kept."""
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND norm > 0 AND isfinite(norm)),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good AS a JOIN good AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON l.x = r.y),
+component AS (SELECT x, min(y) AS low FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept FROM v JOIN component AS c ON c.x = vec_id LEFT JOIN counts AS k ON k.x = vec_id
+"""

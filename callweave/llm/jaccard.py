@@ -563,6 +563,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """The set size and the component of every document; one without words is its own component."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

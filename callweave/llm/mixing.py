@@ -73,6 +73,7 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document. As copies are drawn, what a source gives nears its target as the source grows: within some percent for thousands of documents, not for a few."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

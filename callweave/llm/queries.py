@@ -24,6 +24,7 @@ ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op5_embed_dedup": embed_dedup.OP5_SQL,
     "op7_ngram_jaccard": jaccard.OP7_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op11_collocations": collocations.OP11_SQL,

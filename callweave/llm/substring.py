@@ -266,6 +266,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words of every document and those that go, as their window stands earlier; a null text has none."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 

@@ -209,6 +209,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def op6_token_binary(spark, sf_dir: str) -> DataFrame:
+    """Every document as the token files hold it; a null text is its end id alone."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

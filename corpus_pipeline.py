@@ -19,7 +19,7 @@ from callweave.llm.common import keep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; the model learns from labelled rows of these documents."""
+    """Documents whose toxicity score is below 0.5; the model learns from labelled rows of these documents. Null and empty texts score as texts without n-grams; rows that repeat are judged each; of an empty table nothing is left."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), model)
     return scored.filter("score < 0.5").select("row.*")
@@ -35,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word that stands in a window of the benchmark."""
+    """Documents without a word that stands in a window of the benchmark. Null and empty texts have none and stay, as do all of their rows; rows that repeat id and text go together."""
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = found.filter("n_hit > 0").select(F.struct("doc_id", "hash").alias("of")).distinct()
     rows = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
@@ -43,12 +43,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Texts without words, null ones too, take no share of a target; rows of one id are drawn alike; a null source is one of its own."""
     return mixing.emit(mixing.mix(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents; returns doc_id, start, n_tokens, ids_crc32, read back from them."""
+    """Token files of all documents; returns doc_id, start, n_tokens, ids_crc32, read back from them. Null and empty texts are an end id, null ids come first, rows that repeat are written each, and an empty table gives no rows."""
     return token_binary.read_tokens(token_binary.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 

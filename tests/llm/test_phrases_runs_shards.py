@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import chat, collocations, periodic, pii, quality, queries, sharding
+from callweave.llm import chat, collocations, periodic, pii, quality, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -270,3 +270,35 @@ def test_stages_take_columns_of_any_name(spark):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def plain_slots(text):
+    points, top = [ord(c) for c in f" {(text or '').lower()} "], 1 << 64
+    out = set()
+    for n in toxicity.GRAMS:
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for p in points[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + p) % top
+            out.add((((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) % top >> 44) % toxicity.SLOTS)
+    return sorted(out)
+
+
+def test_op10_is_a_plain_sum_of_weights(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    # The ratios that scale the features, counted plainly.
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    counts, total = (collections.Counter(), collections.Counter()), collections.Counter(known[i] for i in known if i in texts)
+    for i in known:
+        if i in texts:
+            counts[known[i]].update(plain_slots(texts[i]))
+    least = min(max(toxicity.MIN_DOCS[0], sum(total.values()) // 200), toxicity.MIN_DOCS[1])
+    ratio = {s: np.log(((counts[1][s] + 1) / (total[1] + 2)) / ((counts[0][s] + 1) / (total[0] + 2))) for s in {*counts[0], *counts[1]} if counts[0][s] + counts[1][s] >= least}
+    kept = sorted(s for s, r in ratio.items() if abs(r) >= toxicity.MIN_RATIO)
+    assert np.flatnonzero(model["number"] >= 0).tolist() == kept
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).select("doc_id", "score").collect()}
+    for i, text in texts.items():
+        z = sum(model["weight"][model["number"][s]] for s in plain_slots(text) if model["number"][s] >= 0) + model["bias"]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
