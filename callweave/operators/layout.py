@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep, numbered
@@ -223,10 +223,10 @@ def routes(hops: DataFrame, at: DataFrame, config: LayoutConfig) -> DataFrame:
     edges = ends.groupBy("src", "dst").agg(
         F.min("from.layer").alias("lu"), F.max("to.layer").alias("lv"), F.min_by("p", "hop").alias("first"), F.max_by("q", "hop").alias("last"),
         F.array_sort(F.collect_list(F.struct("hop", "p", "q"))).alias("hops"))
-    middle = (F.col("first.y") + F.col("last.y")) / 2
-    turn = Window.partitionBy("lu", "lv")
-    share = (F.row_number().over(turn.orderBy(middle, "src", "dst")) / (F.count("*").over(turn) + 1)).alias("share")
-    ranked = edges.select("*", share)
+    # Numbered over all edges: a pair of layers may have a third of them.
+    placed = numbered(edges.withColumn("middle", (F.col("first.y") + F.col("last.y")) / 2), ["lu", "lv", "middle", "src", "dst"], "k")
+    pairs = placed.groupBy("lu", "lv").agg(F.min("k").alias("start"), F.count("*").alias("n"))
+    ranked = placed.join(pairs, ["lu", "lv"]).withColumn("share", (F.col("k") - F.col("start") + 1) / (F.col("n") + 1))
     half = config.node_height / 2
 
     def segments(h: Column) -> Column:

@@ -48,6 +48,39 @@ def grow(stream: DataFrame, path: str, checkpoint: str, keys: list[str] | None =
     return out.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Puts the batches up to a number of a table that `grow` writes into one, a file for each part of the keys, so that a batch lists fewer folders.
+
+    Nothing may read or write the table meanwhile, and the last batch stays as it is, as it may be run again.
+    Where this was broken off, it is ended when it is called again.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
+
+    def swap(number: int) -> None:
+        """What was written takes the place of the batches that it holds."""
+        for s in fs.listStatus(root):
+            name = s.getPath().getName()
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) <= number:
+                fs.delete(s.getPath(), True)
+        fs.rename(at(f"_compact={number}"), at(f"batch={number}"))
+
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in names:
+        if name.startswith("_compact="):
+            number = int(name.removeprefix("_compact="))
+            swap(number) if fs.exists(at(f"{name}/_SUCCESS")) else fs.delete(at(name), True)
+    batches = sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch="))
+    old = [b for b in batches[:-1] if b <= upto]
+    if len(old) < 2:
+        return
+    rows = spark.read.parquet(path).filter(F.col("batch") <= old[-1]).drop("batch")
+    rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_compact={old[-1]}")
+    swap(old[-1])
+
+
 def matched(requests: DataFrame, responses: DataFrame, late: str = "10 seconds", timeout: str = TIMEOUT) -> DataFrame:
     """requests(request_id, ts, ...), responses(request_id, ts, ...) -> each request with its first answer within the timeout, as response_ts and what else it has; later ones are ignored."""
     return _joined(requests, responses, late, timeout, "inner")

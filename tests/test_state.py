@@ -147,3 +147,26 @@ def test_answers_change_the_graph_once(spark, tmp_path):
     go("again")  # without its checkpoint the stream runs all batches again
     assert graph() == seen[2]
     assert ingest.graph_at(spark, str(tmp_path / "g")).functions.columns == [c.split()[0] for c in FUNCTIONS.split(", ", 4)]
+
+
+def test_batches_are_compacted(spark, tmp_path):
+    """The rows stay, an earlier attempt is ended, the last batch stays apart, and the stream goes on."""
+    read = lambda: spark.readStream.schema("seq long, id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    go = lambda: ingest.grow(read(), str(tmp_path / "out"), str(tmp_path / "cp"), ["id"]).awaitTermination(120)
+    ids = lambda: sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    for k in range(4):
+        put(spark, [(k, "a"), (k, f"n{k}")], "seq long, id string", tmp_path / "in")
+    go()
+    want = ids()
+    assert want == ["a", "n0", "n1", "n2", "n3"]
+    (tmp_path / "out" / "_compact=1").mkdir()
+    ingest.compact(spark, str(tmp_path / "out"), 99)
+    folders = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
+    assert ids() == want and folders() == ["batch=2", "batch=3"]
+    # Broken off before the new folder took its place.
+    (tmp_path / "out" / "batch=2").rename(tmp_path / "out" / "_compact=2")
+    ingest.compact(spark, str(tmp_path / "out"), 99)
+    assert ids() == want and folders() == ["batch=2", "batch=3"]
+    put(spark, [(9, "a"), (9, "late")], "seq long, id string", tmp_path / "in")
+    go()
+    assert ids() == sorted([*want, "late"])
