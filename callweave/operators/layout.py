@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep, numbered
+from .traversal import Roads
 
 POINT = "struct<x:float,y:float>"
 SEGMENT = f"struct<from:{POINT},to:{POINT},type:string>"
@@ -114,28 +115,30 @@ def back_edges(edges: DataFrame) -> DataFrame:
 ROUNDS = 16
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def layers(nodes: DataFrame | None, edges: DataFrame, kept: bool = False) -> DataFrame:
     """nodes(idx), edges(src, dst) without cycles -> (idx, layer): the longest way from a root, a job for each layer.
 
     A node's layer is the length of the longest walk that ends in it. Each round takes the ends of walks that
-    are one edge longer and writes no more than those; the highest round of each node is its layer.
+    are one edge longer and writes no more than those; the highest round of each node is its layer. Without
+    nodes, those of the edges count. Edges that are `kept`, and distinct, aren't written again.
     """
-    edges = keep(edges.select("src", "dst").distinct())
-    ends = keep(edges.select("src").distinct().withColumnRenamed("src", "idx"))
-    found, total = [nodes.select("idx", F.lit(0).alias("layer"))], None
-    at = 0
-    while not ends.isEmpty():
+    edges = edges.select("src", "dst") if kept else keep(edges.select("src", "dst").distinct())
+    roads = Roads(edges)
+    if nodes is None:
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("idx")).distinct()
+    ends = keep(edges.select(F.col("src").alias("id")).distinct())
+    found, total, at, n = [nodes.select("idx", F.lit(0).alias("layer"))], None, 0, ends.count()
+    while n:
         at += 1
-        ends = keep(ends.join(edges, ends["idx"] == edges["src"]).select(F.col("dst").alias("idx")).distinct())
-        found.append(ends.withColumn("layer", F.lit(at)))
+        ends = keep(roads.ahead(ends, n).select(F.col("dst").alias("id")).distinct())
+        n = ends.count()
+        found.append(ends.select(F.col("id").alias("idx"), F.lit(at).alias("layer")))
         if at % ROUNDS == 0:
             total = nodes.count() if total is None else total
             found = [keep(reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer")))]
             if at > total:
-                break
-    else:
-        return reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer"))
-    raise InvalidTree("edges go round in a cycle")
+                raise InvalidTree("edges go round in a cycle")
+    return reduce(DataFrame.unionByName, found).groupBy("idx").agg(F.max("layer").alias("layer"))
 
 
 def dummies(edges: DataFrame, layer: DataFrame) -> DataFrame:

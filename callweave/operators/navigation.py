@@ -6,26 +6,38 @@ with a third of all edges is no task of its own; children that repeat stay where
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep, numbered
+from ..storage import numbered
 
 
 def _ranked(edges: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Edges with their number `at`, and for each key the range of its numbers: low, high."""
-    ranked = keep(numbered(edges.select("src", "dst", "ord"), [key, *order], "at"))
+    ranked = numbered(edges.select("src", "dst", "ord"), [key, *order], "at")
     return ranked, ranked.groupBy(key).agg(F.min("at").alias("low"), F.max("at").alias("high"))
 
 
 def siblings(edges: DataFrame) -> DataFrame:
-    """edges(src, dst, ord) -> (parent, idx, ord, next, previous): the first follows the last."""
-    ranked, ends = _ranked(edges, "src", ["ord", "dst"])
-    near = ranked.join(ends, "src").select(
-        "src", "dst", "ord", F.when(F.col("at") == F.col("high"), F.col("low")).otherwise(F.col("at") + 1).alias("_next"),
-        F.when(F.col("at") == F.col("low"), F.col("high")).otherwise(F.col("at") - 1).alias("_previous"))
-    at = lambda name: ranked.select(F.col("at").alias(f"_{name}"), F.col("dst").alias(name))
-    return near.join(at("next"), "_next").join(at("previous"), "_previous").select(F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord", "next", "previous")
+    """edges(src, dst, ord) -> (parent, idx, ord, next, previous): the first follows the last.
+
+    Neighbours are looked up within ranges; only those on the other side of a border, and the first and last
+    child of each parent, are joined.
+    """
+    ranked = numbered(edges.select("src", "dst", "ord"), ["src", "ord", "dst"], "at", "part")
+    end = F.struct("at", "dst")
+    ends = ranked.groupBy("src").agg(F.min(end).alias("low"), F.max(end).alias("high"))
+    # One row for each range: its first child comes after the last of the range before it.
+    borders = ranked.groupBy("part").agg(F.min(end).alias("first"), F.max(end).alias("last"))
+    after = borders.select((F.col("first.at") - 1).alias("at"), F.col("first.dst").alias("after"))
+    ahead = borders.select((F.col("last.at") + 1).alias("at"), F.col("last.dst").alias("ahead"))
+    turn = Window.partitionBy("part").orderBy("at")
+    near = ranked.select("*", F.lead("dst").over(turn).alias("next"), F.lag("dst").over(turn).alias("previous"))
+    near = near.join(F.broadcast(after), "at", "left").join(F.broadcast(ahead), "at", "left").join(ends, "src")
+    return near.select(
+        F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord",
+        F.when(F.col("at") == F.col("high.at"), F.col("low.dst")).otherwise(F.coalesce("next", "after")).alias("next"),
+        F.when(F.col("at") == F.col("low.at"), F.col("high.dst")).otherwise(F.coalesce("previous", "ahead")).alias("previous"))
 
 
 def middle_children(edges: DataFrame) -> DataFrame:

@@ -37,12 +37,7 @@ def function_info(g: CallGraph, id_: str) -> DataFrame:
     """One row, or none for an unknown id."""
     own = CallGraph(g.functions, g.calls.filter((F.col("caller") == id_) | (F.col("callee") == id_)), g.references, g.diagnostics.filter(F.col("function_id") == id_))
     row = _per_function(own).filter(F.col("id") == id_)
-    # Both ways are one walk, over ids that tell the direction.
-    told = lambda sign, c: F.concat(F.lit(sign), F.col(c))
-    both = g.edges.select(F.explode(F.array(
-        F.struct(told(">", "src").alias("src"), told(">", "dst").alias("dst")), F.struct(told("<", "dst").alias("src"), told("<", "src").alias("dst")))).alias("e")).select("e.*")
-    seeds = traversal.one(g.edges, f">{id_}").unionByName(traversal.one(g.edges, f"<{id_}"))
-    reached = traversal.bfs(both, seeds).agg(F.count_if(F.startswith("id", F.lit(">"))).alias("n_reachable"), F.count_if(F.startswith("id", F.lit("<"))).alias("n_can_reach"))
+    reached = traversal.both_ways(g.edges, id_).agg(F.count_if("on").alias("n_reachable"), F.count_if(~F.col("on")).alias("n_can_reach"))
     named = g.function(id_).select("id", "name", "qualified_name").join(row, "id")
     return named.join(reached, F.lit(True)).select(
         "id", "name", "qualified_name", "n_callers", "n_callees", "n_reachable", "n_can_reach",

@@ -1,37 +1,89 @@
 """Breadth-first walks over edges. A level is a join; what a level finds is written, and a table of levels is never joined with itself.
 
-Spark broadcasts a level by the size of its files, so that a large one is shuffled. Deep graphs take
-as many jobs as they have levels.
+Spark broadcasts a narrow level by the size of its files, and the edges stay where they are. With the
+first wide one they are put into buckets by where they begin, once, so that after it only levels move.
+Deep graphs take as many jobs as they have levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep, numbered
+from ..storage import bucketed, keep, numbered, partitions
 
 #: After so many levels what was seen is written as one table again.
 LEVELS = 16
-
-
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """edges(src, dst), seeds(id) -> (id, depth): what can be reached and in how many steps; seeds count whether or not they have edges."""
-    edges = keep(edges.select("src", "dst").distinct())
-    level = seen = keep(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
-    while max_depth is None or depth < max_depth:
+#: Rows from which on a level is wide.
+WIDE = 200_000
+#: An id that begins more than one in so many edges for each bucket is spread over buckets.
+SHARE = 4
+
+
+class Roads:
+    """Edges(src, dst) that levels are joined with again and again; they are kept."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges, self.split = edges, None
+
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        """Edges in buckets by src and salt, and (id, salts) of those sources that have more than one salt, at most SHARE for each bucket."""
+        n = partitions(self.edges.sparkSession)
+        most = max(1, self.edges.count() // (n * SHARE))
+        out = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        hubs = keep(out.select("id", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+        salt = F.pmod(F.hash("dst"), F.coalesce("salts", F.lit(1)))
+        salted = self.edges.join(F.broadcast(hubs), F.col("src") == F.col("id"), "left").select("src", salt.alias("salt"), "dst")
+        return bucketed(salted, ["src", "salt"]), hubs
+
+    def ahead(self, level: DataFrame, n: int) -> DataFrame:
+        """level, of n rows and with a column id, -> its rows once for each edge that begins there, with dst."""
+        if n < WIDE:
+            return level.join(self.edges, level["id"] == self.edges["src"]).select(*level.columns, "dst")
+        self.split = self.split or self._split()
+        edges, hubs = self.split
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        spread = level.join(F.broadcast(hubs), "id", "left").select(*level.columns, salts)
+        return spread.join(edges, (spread["id"] == edges["src"]) & (spread["salt"] == edges["salt"])).select(*level.columns, "dst")
+
+
+def _levels(seeds: DataFrame, ahead: Callable[[DataFrame, int], DataFrame], max_depth: int | None) -> DataFrame:
+    """seeds and, with the depth at which they are first found, all rows like them that `ahead` finds from level to level."""
+    keys = seeds.columns
+    level = seen = keep(seeds.distinct().withColumn("depth", F.lit(0)))
+    depth, n = 0, level.count()
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        found = level.join(edges, level["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        level = keep(found.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+        found = ahead(level, n).select(*keys).distinct()
+        level = keep(found.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)))
+        n = level.count()
+        if n:
+            seen = seen.unionByName(level)
         if depth % LEVELS == 0:
             seen = keep(seen)
     return seen
 
 
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """edges(src, dst), seeds(id) -> (id, depth): what can be reached and in how many steps; seeds count whether or not they have edges."""
+    roads = Roads(keep(edges.select("src", "dst").distinct()))
+    return _levels(seeds.select("id"), lambda level, n: roads.ahead(level, n).select(F.col("dst").alias("id")), max_depth)
+
+
+def both_ways(edges: DataFrame, id_: str) -> DataFrame:
+    """(id, on, depth): what an id reaches (on is true) and what can reach it (false), itself included in both, by one walk over edges that are kept once."""
+    forth = Roads(keep(edges.select("src", "dst").distinct()))
+    back = Roads(forth.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+    def ahead(level: DataFrame, n: int) -> DataFrame:
+        ways = [roads.ahead(level.filter(F.col("on") == on), n).select(F.col("dst").alias("id"), "on") for roads, on in ((forth, True), (back, False))]
+        return ways[0].unionByName(ways[1])
+
+    return _levels(one(edges, id_).select("id", F.explode(F.array(F.lit(True), F.lit(False))).alias("on")), ahead, None)
+
+
 def one(edges: DataFrame, id_: str) -> DataFrame:
     return edges.sparkSession.range(1).select(F.lit(id_).alias("id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, traversal
-from ..storage import numbered
+from ..storage import keep, numbered
 from .derived import table_graph, transitions
 from .graph_queries import TABLES
 
@@ -29,9 +29,8 @@ LAYERS = f"{TABLES}, te AS (SELECT DISTINCT caller AS src, callee AS dst FROM tc
 
 
 def _layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = table_graph(spark, sf_dir).edges
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("idx")).distinct()
-    return edges, layout.layers(nodes, edges)
+    edges = keep(table_graph(spark, sf_dir).edges)
+    return edges, layout.layers(None, edges, kept=True)
 
 
 @query(f"WITH RECURSIVE {LAYERS} SELECT idx, layer FROM ly")

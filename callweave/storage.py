@@ -27,12 +27,26 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
-    """The rows with their number in an order, from 0: ranges are sorted side by side, and each begins after those before it."""
+def partitions(spark: SparkSession) -> int:
+    """Into how many parts the session shuffles."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of df, written to the shared folder in buckets, one file each, and read again; joins by these columns don't move them."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "idx", part: str | None = None) -> DataFrame:
+    """The rows with their number in an order, from 0: ranges are sorted side by side, and each begins after those before it. `part` names a column for the number of the range."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = keep(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
     # One row for each partition, so that the running sum over all of them is small.
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select("_part", before.alias("_base"))
-    return rows.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_at")).cast("long").alias(name))
+    return rows.join(F.broadcast(bases), "_part").select(*df.columns, (F.col("_base") + F.col("_at")).cast("long").alias(name), *([F.col("_part").alias(part)] if part else []))

@@ -9,6 +9,7 @@ from callweave.functions import ids, text
 from callweave.graph import CallGraph
 from callweave.operators import filters, navigation, paths, reports, search, traversal
 from callweave.sources.files import demo_graph
+from callweave.storage import bucketed
 
 
 def graph(spark, names, calls, diagnostics=()):
@@ -164,3 +165,38 @@ def test_scalars(spark):
         text.text_of_markup(F.lit("markdown"), F.lit("# T\nint foo(int)\n")).alias("m"), text.node_label(F.lit("x" * 30)).alias("t")).first()
     assert row.id == str(uuid.uuid5(uuid.NAMESPACE_OID, "a::b@x.c:3"))
     assert (row.path, row.q, row.d, row.l, row.m, row.t) == ("/a b/c+d.c", "n", "::n", "c", "foo", "x" * 21 + "…")
+
+
+def test_wide_levels_walk_over_buckets(spark, monkeypatch):
+    """A source with most of the edges is spread over salts; edges put into buckets give what edges that stay give."""
+    rows = [("hub", f"n{i}") for i in range(400)] + [(f"n{i}", f"n{(7 * i + 3) % 450}") for i in range(450)] + [("n5", "hub"), ("n9", "hub"), ("alone", "n1")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    want = sorted(traversal.call_depth(edges, "n5").collect())
+    both = sorted(traversal.both_ways(edges, "n5").collect())
+    monkeypatch.setattr(traversal, "WIDE", 1)
+    roads = traversal.Roads(edges)
+    split, hubs = roads._split()
+    assert split.count() == len(rows) and [r.id for r in hubs.collect()] == ["hub"]
+    assert split.filter("src = 'hub'").select("salt").distinct().count() > 1
+    assert sorted(traversal.call_depth(edges, "n5").collect()) == want
+    assert sorted(traversal.both_ways(edges, "n5").collect()) == both
+    after, before, todo = {"n5"}, {"n5"}, 500
+    for _ in range(todo):
+        after |= {d for s, d in rows if s in after}
+        before |= {s for s, d in rows if d in before}
+    assert {r.id for r in both if r.on} == after == {r.id for r in want} and {r.id for r in both if not r.on} == before
+
+
+def test_buckets_spare_the_shuffle(spark):
+    edges = spark.createDataFrame([(i % 50, i) for i in range(500)], "src long, dst long")
+    left, right = bucketed(edges, ["src"]), bucketed(edges.withColumnRenamed("dst", "other"), ["src"])
+    plan = left.hint("merge").join(right, "src")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and left.join(right, "src").count() == 5000
+
+
+def test_siblings_across_ranges(spark):
+    """Families that end at, cross and fill ranges of the sorted children."""
+    rows = [(p, 1000 * p + k, k) for p, n in ((1, 1), (2, 37), (3, 2), (4, 150), (5, 3)) for k in range(n)]
+    found = {(r.parent, r.idx): (r.next, r.previous) for r in navigation.siblings(spark.createDataFrame(rows, "src long, dst long, ord long").repartition(7)).collect()}
+    sizes = {1: 1, 2: 37, 3: 2, 4: 150, 5: 3}
+    assert found == {(p, d): (1000 * p + (k + 1) % sizes[p], 1000 * p + (k - 1) % sizes[p]) for p, d, k in rows}
