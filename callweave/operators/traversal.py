@@ -72,6 +72,13 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> Dat
     return _levels(seeds.select("id"), lambda level, n: roads.ahead(level, n).select(F.col("dst").alias("id")), max_depth)
 
 
+def closures(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """edges(src, dst), starts(id) -> (start, id, depth): what each start reaches, itself included, by one walk for all of them."""
+    roads = Roads(keep(edges.select("src", "dst").distinct()))
+    seeds = starts.select(F.col("id").alias("start"), "id")
+    return _levels(seeds, lambda level, n: roads.ahead(level, n).select("start", F.col("dst").alias("id")), None)
+
+
 def both_ways(edges: DataFrame, id_: str) -> DataFrame:
     """(id, on, depth): what an id reaches (on is true) and what can reach it (false), itself included in both, by one walk over edges that are kept once."""
     forth = Roads(keep(edges.select("src", "dst").distinct()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import symbol_id
 from ..graph import CallGraph, distinct_calls, first_wins
-from ..operators import filters, navigation, paths, reports, search, traversal
+from ..operators import filters, navigation, paths, reports, search, sql_functions, traversal
 from .derived import line_graph, table_graph, transitions
 
 QUERIES: dict = {}
@@ -328,3 +328,19 @@ def middle_child(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TABLES}, k AS (SELECT caller, callee, row_number() OVER (PARTITION BY callee ORDER BY caller, seq) - 1 AS k, count(*) OVER (PARTITION BY callee) AS n FROM tc) SELECT callee AS idx, caller AS parent FROM k WHERE k = 7 % n""")
 def active_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.active_parents(_children(spark, sf_dir), 7)
+
+
+@query(f"WITH RECURSIVE {TABLES}, {walks('tc', 'N0', 4)} SELECT array_to_string(path, '>') AS path FROM r WHERE id = 'P0'")
+def sql_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths by the table function: from the first nation to the first part, which it walks back from."""
+    sql_functions.register(table_graph(spark, sf_dir), "simple")
+    return spark.sql("SELECT array_join(path, '>') AS path FROM simple_simple_paths('N0', 'P0', 5)")
+
+
+@query(f"""WITH RECURSIVE {TABLES}, ts AS (SELECT DISTINCT caller, callee FROM tc), w AS (SELECT id AS start, id, 0 AS depth FROM tf WHERE id LIKE 'N%' UNION SELECT start, callee, depth + 1 FROM w JOIN ts ON caller = w.id),
+m AS (SELECT start, id, min(depth) AS depth FROM w GROUP BY ALL) SELECT name, count(*)::BIGINT AS n_reachable, max(depth)::INT AS max_depth FROM m JOIN tf ON tf.id = start GROUP BY name""")
+def sql_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each nation reaches, by a lateral table function over walks from all of them."""
+    g = table_graph(spark, sf_dir)
+    sql_functions.register(g, "nations", g.functions.filter(F.startswith("id", F.lit("N"))).select("id"))
+    return spark.sql("SELECT f.name, count(*) AS n_reachable, max(r.depth) AS max_depth FROM nations_functions f, LATERAL nations_reachable_from(f.id) r GROUP BY f.name")
