@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import numbered
+from ..storage import keep, numbered
 
 
 def _ranked(edges: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -24,16 +24,16 @@ def siblings(edges: DataFrame) -> DataFrame:
     Neighbours are looked up within ranges; only those on the other side of a border, and the first and last
     child of each parent, are joined.
     """
-    ranked = numbered(edges.select("src", "dst", "ord"), ["src", "ord", "dst"], "at", "part")
+    ranked = keep(numbered(edges.select("src", "dst", "ord"), ["src", "ord", "dst"], "at", "part"))
     end = F.struct("at", "dst")
     ends = ranked.groupBy("src").agg(F.min(end).alias("low"), F.max(end).alias("high"))
-    # One row for each range: its first child comes after the last of the range before it.
+    # One row for each range, so that the windows over all of them are small; `after` is the child before a range, `ahead` that behind it.
     borders = ranked.groupBy("part").agg(F.min(end).alias("first"), F.max(end).alias("last"))
-    after = borders.select((F.col("first.at") - 1).alias("at"), F.col("first.dst").alias("after"))
-    ahead = borders.select((F.col("last.at") + 1).alias("at"), F.col("last.dst").alias("ahead"))
+    by_part = Window.orderBy("part")
+    borders = borders.select("part", F.lag("last.dst").over(by_part).alias("after"), F.lead("first.dst").over(by_part).alias("ahead"))
     turn = Window.partitionBy("part").orderBy("at")
     near = ranked.select("*", F.lead("dst").over(turn).alias("next"), F.lag("dst").over(turn).alias("previous"))
-    near = near.join(F.broadcast(after), "at", "left").join(F.broadcast(ahead), "at", "left").join(ends, "src")
+    near = near.join(F.broadcast(borders), "part").join(ends, "src")
     return near.select(
         F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord",
         F.when(F.col("at") == F.col("high.at"), F.col("low.dst")).otherwise(F.coalesce("next", "after")).alias("next"),
