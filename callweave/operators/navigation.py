@@ -36,8 +36,8 @@ def siblings(edges: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(borders), "part").join(ends, "src")
     return near.select(
         F.col("src").alias("parent"), F.col("dst").alias("idx"), "ord",
-        F.when(F.col("at") == F.col("high.at"), F.col("low.dst")).otherwise(F.coalesce("next", "after")).alias("next"),
-        F.when(F.col("at") == F.col("low.at"), F.col("high.dst")).otherwise(F.coalesce("previous", "ahead")).alias("previous"))
+        F.when(F.col("at") == F.col("high.at"), F.col("low.dst")).otherwise(F.coalesce("next", "ahead")).alias("next"),
+        F.when(F.col("at") == F.col("low.at"), F.col("high.dst")).otherwise(F.coalesce("previous", "after")).alias("previous"))
 
 
 def middle_children(edges: DataFrame) -> DataFrame:

@@ -200,3 +200,14 @@ def test_siblings_across_ranges(spark):
     found = {(r.parent, r.idx): (r.next, r.previous) for r in navigation.siblings(spark.createDataFrame(rows, "src long, dst long, ord long").repartition(7)).collect()}
     sizes = {1: 1, 2: 37, 3: 2, 4: 150, 5: 3}
     assert found == {(p, d): (1000 * p + (k + 1) % sizes[p], 1000 * p + (k - 1) % sizes[p]) for p, d, k in rows}
+
+
+def test_siblings_at_borders_of_ranges(spark):
+    """A family that fills several ranges: neighbours on both sides of each border."""
+    rows = [(1, 100 + k, k) for k in range(60)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be put together
+    try:
+        found = {r.idx: (r.next, r.previous) for r in navigation.siblings(spark.createDataFrame(rows, "src long, dst long, ord long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == {d: (100 + (k + 1) % 60, 100 + (k - 1) % 60) for _, d, k in rows}
