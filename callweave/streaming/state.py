@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -99,9 +99,8 @@ class PartGatherer(StatefulProcessor):
 
     SCHEMA = "base_id string, part string, payload string, why string, ts timestamp"
 
-    def __init__(self, whole: bool, timeout_ms: int = TIMEOUT_MS):
-        """whole: all rows of a key come at once, as from a table; what is missing then won't come."""
-        self.whole, self.timeout_ms = whole, timeout_ms
+    def __init__(self, timeout_ms: int = TIMEOUT_MS):
+        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -124,8 +123,7 @@ class PartGatherer(StatefulProcessor):
             return
         if until is None:
             until = times[0] + self.timeout_ms
-            if not self.whole:
-                self.handle.registerTimer(until)
+            self.handle.registerTimer(until)
         for ms, part, n, payload in zip(times, every["part"], every["expected"], every["payload"]):
             if ms > until:
                 break
@@ -138,7 +136,7 @@ class PartGatherer(StatefulProcessor):
                 yield self.ended(key, "complete" if expected else "empty", ms)
                 return
         self.base.update((expected, False, until))
-        if self.whole or times[-1] > until:
+        if times[-1] > until:
             yield self.ended(key, "timeout", until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -163,13 +161,36 @@ def asked_parts(answers: DataFrame) -> DataFrame:
 
 def gathered(answers: DataFrame, parts: DataFrame, late: str = "10 seconds", timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """answers(base_id, ts, file_paths array), parts(base_id, ts, part, payload) -> (base_id, part, payload, why, ts) of base requests that are done."""
-    use_state(answers.sparkSession)
     none = F.lit(None).cast("string")
     base = answers.select("base_id", "ts", none.alias("part"), F.size(F.array_distinct("file_paths")).alias("expected"), none.alias("payload"))
     rest = parts.select("base_id", "ts", "part", F.lit(None).cast("int").alias("expected"), "payload")
     rows = base.unionByName(rest)
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
-    return rows.groupBy("base_id").transformWithStateInPandas(PartGatherer(not rows.isStreaming, timeout_ms), PartGatherer.SCHEMA, "Append", "EventTime" if rows.isStreaming else "None")
+    if not rows.isStreaming:
+        return _gathered_table(rows, timeout_ms)
+    use_state(answers.sparkSession)
+    return rows.withWatermark("ts", late).groupBy("base_id").transformWithStateInPandas(PartGatherer(timeout_ms), PartGatherer.SCHEMA, "Append", "EventTime")
+
+
+def _gathered_table(rows: DataFrame, timeout_ms: int) -> DataFrame:
+    """What PartGatherer gives if all rows of a key are there: nothing has to be remembered, and one shuffle by base_id is enough. What is missing then won't come."""
+    own = Window.partitionBy("base_id")
+    timely = rows.withColumn("ms", F.unix_millis("ts")).withColumn("until", F.min("ms").over(own) + timeout_ms).filter("ms <= until")
+    # A row for each part, its first, and one for the base's own answer.
+    first = timely.groupBy("base_id", "until", "part").agg(
+        F.min(F.when(F.col("part").isNotNull(), F.struct("ts", "payload"))).alias("got"), F.min(F.when(F.col("part").isNull() & F.col("expected").isNotNull(), F.struct("ts", "expected"))).alias("said"))
+    turn = own.orderBy(F.col("part").isNull(), "got.ts", "part")
+    known = first.select(
+        "base_id", "until", "part", "got", F.row_number().over(turn).alias("place"), F.count("part").over(own).alias("n"),
+        F.max("said").over(own).alias("said"))
+    # Parts that came before it was said how many are expected; the base's answer comes before parts of its own instant.
+    known = known.withColumn("expected", F.col("said.expected")).withColumn("early", F.count_if(F.col("got.ts") < F.col("said.ts")).over(own))
+    complete = F.coalesce(F.col("n") >= F.col("expected"), F.lit(False))
+    known = known.withColumn("take", F.when(complete, F.greatest("early", "expected")).otherwise(F.col("n")))
+    last = F.max(F.when(F.col("place") == F.col("take"), F.unix_millis("got.ts"))).over(own)
+    at = F.when(~complete, F.col("until")).when(F.col("early") >= F.col("expected"), F.unix_millis("said.ts")).otherwise(last)
+    why = F.when(~complete, "timeout").when(F.col("expected") == 0, "empty").otherwise("complete")
+    told = known.select("base_id", "part", F.col("got.payload").alias("payload"), why.alias("why"), F.timestamp_millis(at).alias("ts"), "place", "take")
+    return told.filter("case when part is null then take = 0 else place <= take end").drop("place", "take")
 
 
 class SymbolLoader(StatefulProcessor):

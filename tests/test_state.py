@@ -170,3 +170,17 @@ def test_batches_are_compacted(spark, tmp_path):
     put(spark, [(9, "a"), (9, "late")], "seq long, id string", tmp_path / "in")
     go()
     assert ids() == sorted([*want, "late"])
+
+
+def test_parts_of_requests_of_a_table(spark):
+    """Early parts, late ones, repeats and no answer at all; nothing of it goes through a state store."""
+    base = spark.createDataFrame([("a", 1, ["x", "y"]), ("b", 1, []), ("c", 5, ["x"]), ("d", 1, ["x", "y"]), ("f", 3, ["x"])], "base_id string, at long, file_paths array<string>").selectExpr("base_id", STAMP, "file_paths")
+    rows = [("a", 1, "y", "1"), ("a", 0, "x", "2"), ("a", 2, "z", "3"), ("c", 2, "p", "4"), ("c", 3, "q", "5"), ("c", 5, "r", "6"), ("d", 2, "x", "7"), ("d", 1, "x", "8"), ("d", 40, "y", "9"), ("e", 7, "x", "0"), ("f", 3, "x", "1"), ("f", 4, "y", "2")]
+    parts = spark.createDataFrame(rows, "base_id string, at long, part string, payload string").selectExpr("base_id", STAMP, "part", "payload")
+    done = state.gathered(base, parts)
+    found = sorted((r.base_id, r.part, r.payload, r.why, r.at) for r in done.selectExpr("*", "unix_millis(ts) - 1704067200000 at").collect())
+    assert found == [
+        ("a", "x", "2", "complete", 1000), ("a", "y", "1", "complete", 1000), ("b", None, None, "empty", 1000), ("c", "p", "4", "complete", 5000), ("c", "q", "5", "complete", 5000),
+        ("d", "x", "8", "timeout", 31000), ("e", "x", "0", "timeout", 37000), ("f", "x", "1", "complete", 3000)]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "TransformWithState" not in plan
