@@ -251,8 +251,8 @@ def frames_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "frame"))).alias("f"))
     data = F.encode(F.array_join(F.transform("f", lambda x: x["frame"]), ""), "UTF-8")
     whole = streams.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("stream_id"), data.alias("data"))
-    places = F.posexplode(F.sequence(F.lit(1), F.octet_length("data"), F.lit(37)))
-    cut = whole.select("stream_id", "data", places.alias("seq", "from")).select("stream_id", "seq", F.substring("data", F.col("from"), F.lit(37)).alias("chunk"))
+    chunks = F.transform(F.sequence(F.lit(1), F.octet_length("data"), F.lit(37)), lambda at: F.substring("data", at, F.lit(37)))
+    cut = whole.select("stream_id", F.posexplode(chunks).alias("seq", "chunk"))
     return state.frames(cut)
 
 

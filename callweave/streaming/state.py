@@ -63,15 +63,27 @@ class FrameReader(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, at, rest = self.open.get() or (0, 0, b"")
+        come = {}
         for pdf in rows:
             for seq, chunk in zip(pdf["seq"].tolist(), pdf["chunk"]):
-                if seq >= now and not self.waiting.containsKey((seq,)):
-                    self.waiting.updateValue((seq,), (bytes(chunk or b""),))
+                if seq >= now:
+                    come.setdefault(seq, chunk)
+        # Of a batch the store gets only what must wait; what waits already goes before what comes again.
+        waits = self.waiting.exists()
         found, data = [], [bytes(rest)]
-        while self.waiting.containsKey((now,)):
-            data.append(bytes(self.waiting.getValue((now,))[0]))
-            self.waiting.removeKey((now,))
+        while True:
+            if waits and self.waiting.containsKey((now,)):
+                data.append(bytes(self.waiting.getValue((now,))[0]))
+                self.waiting.removeKey((now,))
+                come.pop(now, None)
+            elif now in come:
+                data.append(bytes(come.pop(now) or b""))
+            else:
+                break
             now += 1
+        for seq, chunk in come.items():
+            if not (waits and self.waiting.containsKey((seq,))):
+                self.waiting.updateValue((seq,), (bytes(chunk or b""),))
         bodies, rest = whole_frames(b"".join(data))
         for body in bodies:
             found.append((key[0], at, body.decode("utf-8", "replace")))

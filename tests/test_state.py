@@ -1,5 +1,7 @@
 import json
 
+import pandas as pd
+
 from callweave.schema import FUNCTIONS
 from callweave.streaming import ingest, state
 
@@ -184,3 +186,46 @@ def test_parts_of_requests_of_a_table(spark):
         ("d", "x", "8", "timeout", 31000), ("e", "x", "0", "timeout", 37000), ("f", "x", "1", "complete", 3000)]
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "TransformWithState" not in plan
+
+
+def test_chunks_in_turn_need_no_store(spark):
+    """Of a batch only what must wait is written into the state store."""
+
+    class Store(dict):
+        calls = 0
+
+        def exists(self):
+            return bool(self)
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    data = b"".join(framed(f) for f in FRAMES)
+    cuts = [(i // 7, data[i : i + 7]) for i in range(0, len(data), 7)]
+    reader = state.FrameReader()
+    reader.open, reader.waiting = Value(), Store()
+    take = lambda rows: [b for out in reader.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["seq", "chunk"])]), None) for b in out["body"]]
+    first = take(cuts[19::-1] + cuts[25:27])
+    assert reader.waiting.calls == 2 and sorted(reader.waiting) == [(25,), (26,)]
+    rest = take([(25, b"again")] + cuts[20:25] + cuts[27:])
+    assert not reader.waiting and [json.loads(b) for b in first + rest] == FRAMES
