@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import keep, table
 from .components import Forest, components
 
-#: Vectors of a label in the sample, and for each cell; vectors of a task's group and of a block.
-SAMPLE, CELL, GROUP, BLOCK = 4_096, 256, 20_000, 2_048
+#: Vectors of a label in the sample, and for each cell; vectors of a task's group, of a slice of it, and of a block.
+SAMPLE, CELL, GROUP, SLICE, BLOCK = 4_096, 256, 20_000, 1_024, 2_048
 MAX_CELLS = SAMPLE // 16
 
 
@@ -78,7 +78,7 @@ def cells(reps: DataFrame, threshold: float) -> DataFrame:
     to = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     # Of two linked vectors on both sides of a plane the nearer one is at most half their distance from it.
     reach = float(np.sqrt(2 - 2 * threshold)) / 2 + 1e-9
-    columns = ["label", "dim", "cell", "home", "visits", "id", "n", "embedding"]
+    columns = ["label", "dim", "cells", "home", "visits", "id", "n", "embedding"]
 
     def assign(rows: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(centre):
@@ -88,14 +88,18 @@ def cells(reps: DataFrame, threshold: float) -> DataFrame:
         near = units(rows["embedding"]) @ c.T
         home = near.argmax(axis=1)
         apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-        visited = near[np.arange(len(rows)), home][:, None] - near <= reach * apart[home] + 1e-12
-        at, cell = np.nonzero(visited)
-        told = np.array([v.tobytes() for v in np.packbits(visited, axis=1)], dtype=object)
-        out = rows.iloc[at][["label", "dim", "id", "n", "embedding"]].reset_index(drop=True)
-        return out.assign(cell=cell.astype(np.int32), home=home[at].astype(np.int32), visits=told[at])[columns]
-
-    schema = f"label {label}, dim int, cell int, home int, visits binary, id long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}"
-    return dealt.select("label", "dim", "part", "id", "n", "embedding").groupBy("label", "dim", "part").cogroup(to.groupBy("label", "dim", "part")).applyInPandas(assign, schema)
+        # A row for each vector, whatever it visits; a slice at a time, as distances to all cells are much larger.
+        told, visits = [], []
+        for at in range(0, len(rows), SLICE):
+            some, own = near[at : at + SLICE], home[at : at + SLICE]
+            visited = some[np.arange(len(some)), own][:, None] - some <= reach * apart[own] + 1e-12
+            told += [np.flatnonzero(v).astype(np.int32) for v in visited]
+            visits += [v.tobytes() for v in np.packbits(visited, axis=1)]
+        return rows[["label", "dim", "id", "n", "embedding"]].assign(cells=told, home=home.astype(np.int32), visits=visits)[columns]
+
+    schema = f"label {label}, dim int, cells array<int>, home int, visits binary, id long, n long, embedding {reps.schema['embedding'].dataType.simpleString()}"
+    placed = dealt.select("label", "dim", "part", "id", "n", "embedding").groupBy("label", "dim", "part").cogroup(to.groupBy("label", "dim", "part")).applyInPandas(assign, schema)
+    return placed.select("label", "dim", F.explode("cells").alias("cell"), "home", "visits", "id", "n", "embedding")
 
 
 def links(placed: DataFrame, threshold: float) -> DataFrame:

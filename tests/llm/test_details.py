@@ -243,3 +243,14 @@ def test_pipeline_stages(spark):
 
     out = stages["token_binary"](spark, docs, SF)
     assert ids(out) == ids(docs)
+
+
+def test_cells_leave_the_worker_as_one_row_a_vector(spark):
+    """In a dense cloud each vector visits most cells: the copies are made by Spark, not inside of a task's frame."""
+    rng = np.random.default_rng(3)
+    cloud = rng.normal(scale=0.03, size=(2_000, 16)) + np.eye(16)[0]
+    reps = spark.createDataFrame([(1, v, i, 1) for i, v in enumerate(cloud.tolist())], "label int, embedding array<double>, id long, n long")
+    placed = embed_dedup.cells(reps, 0.93)
+    assert placed.count() > 5 * 2_000 and placed.select("id", "cell").distinct().count() == placed.count()
+    assert placed.filter("home = cell").count() == 2_000
+    assert "Generate explode(cells" in placed._jdf.queryExecution().executedPlan().toString()
