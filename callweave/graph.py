@@ -107,14 +107,17 @@ class CallGraph:
     def degrees(self) -> DataFrame:
         """id, n_callers, n_callees: call sites whose other end is there; a call of itself counts on both sides.
 
-        Sites are counted per pair before they are joined, so that a hot pair is one row.
+        Sites move once by callee and once by caller, to learn which of them are there, and are counted before
+        they move again; ends that aren't there, or count nothing, don't.
         """
-        pairs = self.calls.groupBy("caller", "callee").agg(F.count("*").alias("n"))
         ids = self.functions.select("id")
-        end = lambda of, other, ins, outs: F.struct(F.col(of).alias("id"), F.col(other).alias("other"), ins.alias("ins"), outs.alias("outs"))
-        ends = F.explode(F.array(end("callee", "caller", F.col("n"), F.lit(0).cast("long")), end("caller", "callee", F.lit(0).cast("long"), F.col("n"))))
-        known = pairs.select(ends.alias("e")).select("e.*").join(ids.withColumnRenamed("id", "other"), "other", "left_semi")
-        counts = known.groupBy("id").agg(F.sum("ins").alias("n_callers"), F.sum("outs").alias("n_callees"))
+        known = ids.distinct()
+        there = lambda end: known.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_there"))
+        sites = self.calls.select("caller", "callee").join(there("callee"), "callee", "left").join(there("caller"), "caller", "left")
+        none, n = F.lit(0).cast("long"), lambda end: F.col(f"{end}_there").isNotNull().cast("long")
+        end = lambda of, ins, outs: F.when(F.col(f"{of}_there"), F.struct(F.col(of).alias("id"), ins.alias("ins"), outs.alias("outs")))
+        ends = sites.select(F.explode(F.array(end("callee", n("caller"), none), end("caller", none, n("callee")))).alias("e")).filter("e.ins + e.outs > 0")
+        counts = ends.groupBy("e.id").agg(F.sum("e.ins").alias("n_callers"), F.sum("e.outs").alias("n_callees"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         return ids.join(counts, "id", "left").select("id", zero("n_callers"), zero("n_callees"))
 
