@@ -23,10 +23,11 @@ SHARE = 4
 
 
 class Roads:
-    """Edges(src, dst) that levels are joined with again and again; they are kept."""
+    """Edges(src, dst), with more columns or none, that levels are joined with again and again; they are kept."""
 
     def __init__(self, edges: DataFrame):
         self.edges, self.split = edges, None
+        self.told = ["dst", *[c for c in edges.columns if c not in ("src", "dst")]]
 
     def _split(self) -> tuple[DataFrame, DataFrame]:
         """Edges in buckets by src and salt, and (id, salts) of those sources that have more than one salt, at most SHARE for each bucket."""
@@ -35,18 +36,18 @@ class Roads:
         out = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") > most)
         hubs = keep(out.select("id", F.ceil(F.col("n") / most).cast("int").alias("salts")))
         salt = F.pmod(F.hash("dst"), F.coalesce("salts", F.lit(1)))
-        salted = self.edges.join(F.broadcast(hubs), F.col("src") == F.col("id"), "left").select("src", salt.alias("salt"), "dst")
+        salted = self.edges.join(F.broadcast(hubs), F.col("src") == F.col("id"), "left").select("src", salt.alias("salt"), *self.told)
         return bucketed(salted, ["src", "salt"]), hubs
 
     def ahead(self, level: DataFrame, n: int) -> DataFrame:
-        """level, of n rows and with a column id, -> its rows once for each edge that begins there, with dst."""
+        """level, of n rows and with a column id, -> its rows once for each edge that begins there, with dst and what else is told of the edge."""
         if n < WIDE:
-            return level.join(self.edges, level["id"] == self.edges["src"]).select(*level.columns, "dst")
+            return level.join(self.edges, level["id"] == self.edges["src"]).select(*level.columns, *self.told)
         self.split = self.split or self._split()
         edges, hubs = self.split
         salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
         spread = level.join(F.broadcast(hubs), "id", "left").select(*level.columns, salts)
-        return spread.join(edges, (spread["id"] == edges["src"]) & (spread["salt"] == edges["salt"])).select(*level.columns, "dst")
+        return spread.join(edges, (spread["id"] == edges["src"]) & (spread["salt"] == edges["salt"])).select(*level.columns, *self.told)
 
 
 def _levels(seeds: DataFrame, ahead: Callable[[DataFrame, int], DataFrame], max_depth: int | None) -> DataFrame:
@@ -110,21 +111,24 @@ def call_depth(edges: DataFrame, start: str) -> DataFrame:
     return bfs(edges, one(edges, start))
 
 
-def bfs_tree(sites: DataFrame, start: str, max_depth: int | None = None, until: str | None = None) -> DataFrame:
+def bfs_tree(sites: DataFrame | Roads, start: str, max_depth: int | None = None, until: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """sites(src, dst, seq) -> (id, depth, path, ord): one shortest path to each id.
 
     Of shortest paths it is the one a queue would find: the first by the sequence numbers of its calls,
-    from the start on. `until` ends the walk with the level that holds this id.
+    from the start on. `until` ends the walk with the level that holds this id. Of ids that are found those
+    that aren't `known` (id) are left out.
     """
-    sites = keep(sites.groupBy("src", "dst").agg(F.min("seq").alias("seq")))
-    level = seen = keep(one(sites, start).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("ord")))
-    depth = 0
+    roads = sites if isinstance(sites, Roads) else Roads(keep(sites.select("src", "dst", "seq")))
+    level = seen = keep(one(roads.edges, start).select("id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("ord")))
+    depth, n = 0, 1
     while (max_depth is None or depth < max_depth) and (until is None or level.filter(F.col("id") == until).isEmpty()):
         depth += 1
-        found = level.join(sites, level["id"] == sites["src"]).select("dst", F.struct(F.array_append("ord", F.col("seq")).alias("ord"), "path").alias("by"))
+        found = roads.ahead(level, n).select("dst", F.struct(F.array_append("ord", F.col("seq")).alias("ord"), "path").alias("by"))
         best = found.groupBy(F.col("dst").alias("id")).agg(F.min("by").alias("by")).join(seen, "id", "left_anti")
+        best = best if known is None else best.join(known, "id", "left_semi")
         level = keep(best.select("id", F.lit(depth).alias("depth"), F.array_append("by.path", F.col("id")).alias("path"), F.col("by.ord").alias("ord")))
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             break
         seen = seen.unionByName(level)
         if depth % LEVELS == 0:
@@ -151,10 +155,11 @@ def dag(sites: DataFrame, known: DataFrame, root: str, max_depth: int | None = N
     """
     if known.filter(F.col("id") == root).isEmpty():
         raise ValueError(f"no such function: {root}")
-    inside = sites.join(known.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "seq")
-    nodes = keep(numbered(bfs_tree(inside, root, max_depth), ["depth", "ord"]).select("idx", "id", "depth"))
+    roads = Roads(keep(sites.select("src", "dst", "seq")))
+    nodes = keep(numbered(bfs_tree(roads, root, max_depth, known=known.select("id")), ["depth", "ord"]).select("idx", "id", "depth"))
     open_ = nodes if max_depth is None else nodes.filter(F.col("depth") < max_depth)
-    ends = inside.join(open_.select(F.col("id").alias("src"), F.col("idx").alias("src_idx")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
+    calls = roads.ahead(open_.select("id", F.col("idx").alias("src_idx")), open_.count())
+    ends = calls.join(nodes.select(F.col("id").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
     edges = ends.select(F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), F.col("seq").alias("ord"))
     return nodes, edges
 

@@ -10,7 +10,7 @@ from callweave.functions import ids, text
 from callweave.graph import CallGraph
 from callweave.operators import filters, navigation, paths, reports, search, traversal
 from callweave.sources.files import demo_graph
-from callweave.storage import bucketed
+from callweave.storage import bucketed, keep
 
 
 def graph(spark, names, calls, diagnostics=()):
@@ -222,3 +222,16 @@ def test_degrees_move_sites_by_their_ends(spark):
     g = replace(g, calls=spark.createDataFrame([(*c, None) for c in calls], schema.CALLS))
     assert {r.id: (r.n_callers, r.n_callees) for r in g.degrees().collect()} == {"f0": (0, 2), "f1": (3, 1), "f2": (0, 0), "f3": (0, 0)}
     assert "keys=[caller" not in g.degrees()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sites_are_kept_as_they_are_for_paths(spark, monkeypatch):
+    """No pass over all sites finds the first of each pair, nor those that lead to known ids: what is reached is looked at only."""
+    sites = spark.createDataFrame([("a", "b", 5), ("a", "b", 2), ("a", "c", 3), ("b", "d", 9), ("c", "d", 1), ("a", "x", 0), ("x", "d", 0)], "src string, dst string, seq long")
+    plans = []
+    monkeypatch.setattr(traversal, "keep", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    nodes, edges = traversal.dag(sites, known, "a")
+    assert [(r.idx, r.id) for r in nodes.orderBy("idx").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, edges.collect())) == [(0, 1, 2), (0, 1, 5), (0, 2, 3), (1, 3, 9), (2, 3, 1)]
+    assert {r.id: r.path for r in traversal.shortest_paths(sites.filter("dst <> 'x'"), "a").collect()}["d"] == ["a", "b", "d"]
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0]
