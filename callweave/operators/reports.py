@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import CallGraph
 from ..schema import ERROR, WARNING
+from ..storage import keep
 from . import filters, paths, traversal
 
 #: Fixed value: call sites from which on a function counts as highly connected.
@@ -34,11 +35,14 @@ def graph_stats(g: CallGraph) -> DataFrame:
 
 
 def function_info(g: CallGraph, id_: str) -> DataFrame:
-    """One row, or none for an unknown id."""
-    own = CallGraph(g.functions, g.calls.filter((F.col("caller") == id_) | (F.col("callee") == id_)), g.references, g.diagnostics.filter(F.col("function_id") == id_))
-    row = _per_function(own).filter(F.col("id") == id_)
-    reached = traversal.both_ways(g.edges, id_).agg(F.count_if("on").alias("n_reachable"), F.count_if(~F.col("on")).alias("n_can_reach"))
-    named = g.function(id_).select("id", "name", "qualified_name").join(row, "id")
+    """One row, or none for an unknown id. Of functions no more are looked up than it and those that its call sites name."""
+    sites = keep(g.sites.select("src", "dst"))
+    near = keep(sites.filter((F.col("src") == id_) | (F.col("dst") == id_)).select(F.col("src").alias("caller"), F.col("dst").alias("callee")))
+    ends = near.select(F.explode(F.array("caller", "callee")).alias("id")).unionByName(traversal.one(sites, id_)).distinct()
+    known = keep(g.functions.select("id", "name", "qualified_name").join(ends, "id", "left_semi"))
+    row = _per_function(CallGraph(known, near, g.references, g.diagnostics.filter(F.col("function_id") == id_))).filter(F.col("id") == id_)
+    reached = traversal.both_ways(traversal.Roads(sites, once=True), id_).agg(F.count_if("on").alias("n_reachable"), F.count_if(~F.col("on")).alias("n_can_reach"))
+    named = known.filter(F.col("id") == id_).join(row, "id")
     return named.join(reached, F.lit(True)).select(
         "id", "name", "qualified_name", "n_callers", "n_callees", "n_reachable", "n_can_reach",
         (F.col("n_diagnostics") > 0).alias("has_diagnostics"), "n_errors", "n_warnings")
@@ -49,10 +53,10 @@ def impact(g: CallGraph, id_: str, max_depth: int) -> tuple[DataFrame, DataFrame
 
     direct counts call sites, total all that can reach it, itself included; max_depth is only returned.
     """
-    up = traversal.call_depth(g.reversed_edges, id_)
+    up = traversal.call_depth(g.reversed_sites, id_)
     direct = g.callers(id_).agg(F.count("*").alias("direct"))
     row = direct.join(up.agg(F.count("*").alias("total")), F.lit(True)).withColumn("max_depth", F.lit(max_depth).cast("long"))
-    return row, traversal.call_depth(g.edges, id_), up
+    return row, traversal.call_depth(g.sites, id_), up
 
 
 def dependencies(g: CallGraph, id_: str, max_depth: int) -> DataFrame:

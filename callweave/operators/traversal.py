@@ -23,10 +23,13 @@ SHARE = 4
 
 
 class Roads:
-    """Edges(src, dst), with more columns or none, that levels are joined with again and again; they are kept."""
+    """Edges(src, dst), with more columns or none, that levels are joined with again and again; they are kept.
 
-    def __init__(self, edges: DataFrame):
-        self.edges, self.split = edges, None
+    once: it makes no difference how often an edge is there, so that buckets needn't hold the repeats of a hub's edges.
+    """
+
+    def __init__(self, edges: DataFrame, once: bool = False):
+        self.edges, self.once, self.split = edges, once, None
         self.told = ["dst", *[c for c in edges.columns if c not in ("src", "dst")]]
 
     def _split(self) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +39,11 @@ class Roads:
         out = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") > most)
         hubs = keep(out.select("id", F.ceil(F.col("n") / most).cast("int").alias("salts")))
         salt = F.pmod(F.hash("dst"), F.coalesce("salts", F.lit(1)))
-        salted = self.edges.join(F.broadcast(hubs), F.col("src") == F.col("id"), "left").select("src", salt.alias("salt"), *self.told)
+        placed = self.edges.join(F.broadcast(hubs), F.col("src") == F.col("id"), "left").select("src", salt.alias("salt"), *self.told, F.col("salts").isNotNull().alias("hub"))
+        salted = placed.drop("hub")
+        if self.once and not hubs.isEmpty():
+            # All repeats of an edge have one salt: as many as make a hub of it would be one bucket.
+            salted = placed.filter(~F.col("hub")).drop("hub").unionByName(placed.filter("hub").drop("hub").distinct())
         return bucketed(salted, ["src", "salt"]), hubs
 
     def ahead(self, level: DataFrame, n: int) -> DataFrame:
@@ -67,9 +74,18 @@ def _levels(seeds: DataFrame, ahead: Callable[[DataFrame, int], DataFrame], max_
     return seen
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """edges(src, dst), seeds(id) -> (id, depth): what can be reached and in how many steps; seeds count whether or not they have edges."""
-    roads = Roads(keep(edges.select("src", "dst").distinct()))
+def _roads(edges: DataFrame | Roads) -> Roads:
+    """Edges kept as they are: a level's finds are distinct whether its edges are or not, and making all edges distinct would move them all."""
+    return edges if isinstance(edges, Roads) else Roads(keep(edges.select("src", "dst")), once=True)
+
+
+def _back(roads: Roads) -> Roads:
+    return Roads(roads.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), once=True)
+
+
+def bfs(edges: DataFrame | Roads, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """edges(src, dst), repeats or none, seeds(id) -> (id, depth): what can be reached and in how many steps; seeds count whether or not they have edges."""
+    roads = _roads(edges)
     return _levels(seeds.select("id"), lambda level, n: roads.ahead(level, n).select(F.col("dst").alias("id")), max_depth)
 
 
@@ -80,16 +96,20 @@ def closures(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return _levels(seeds, lambda level, n: roads.ahead(level, n).select("start", F.col("dst").alias("id")), None)
 
 
-def both_ways(edges: DataFrame, id_: str) -> DataFrame:
-    """(id, on, depth): what an id reaches (on is true) and what can reach it (false), itself included in both, by one walk over edges that are kept once."""
-    forth = Roads(keep(edges.select("src", "dst").distinct()))
-    back = Roads(forth.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def both_ways(edges: DataFrame | Roads, id_: str) -> DataFrame:
+    """(id, on, depth): what an id reaches (on is true) and what can reach it (false), itself included in both, by one walk over edges that are kept once.
+
+    Each direction has its own width: edges aren't put into buckets for a direction that stays narrow.
+    """
+    forth = _roads(edges)
+    back = _back(forth)
 
     def ahead(level: DataFrame, n: int) -> DataFrame:
-        ways = [roads.ahead(level.filter(F.col("on") == on), n).select(F.col("dst").alias("id"), "on") for roads, on in ((forth, True), (back, False))]
+        of_way = {on: level.filter(F.col("on") == on) for on in (True, False)}
+        ways = [roads.ahead(of_way[on], n if n < WIDE else of_way[on].count()).select(F.col("dst").alias("id"), "on") for roads, on in ((forth, True), (back, False))]
         return ways[0].unionByName(ways[1])
 
-    return _levels(one(edges, id_).select("id", F.explode(F.array(F.lit(True), F.lit(False))).alias("on")), ahead, None)
+    return _levels(one(forth.edges, id_).select("id", F.explode(F.array(F.lit(True), F.lit(False))).alias("on")), ahead, None)
 
 
 def one(edges: DataFrame, id_: str) -> DataFrame:

@@ -173,23 +173,23 @@ def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {LINES}, {closure('lc', '0')} SELECT id FROM r")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.reachable(line_graph(spark, sf_dir).edges, "0")
+    return traversal.reachable(line_graph(spark, sf_dir).sites, "0")
 
 
 @query(f"WITH RECURSIVE {TABLES}, {closure('tc', 'P0', 'callee', 'caller')} SELECT id FROM r")
 def can_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.reachable(table_graph(spark, sf_dir).reversed_edges, "P0")
+    return traversal.reachable(table_graph(spark, sf_dir).reversed_sites, "P0")
 
 
 @query(f"WITH RECURSIVE {LINES}, {depths('lc', '0', 2)} SELECT id FROM r GROUP BY id HAVING min(depth) = 2")
 def at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.at_depth(line_graph(spark, sf_dir).edges, "0", 2)
+    return traversal.at_depth(line_graph(spark, sf_dir).sites, "0", 2)
 
 
 @query(f"WITH RECURSIVE {LINES}, {depths('lc', '0')} SELECT id, min(depth)::INT AS depth FROM r GROUP BY id")
 def call_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions reachable from the first part, and in how many calls."""
-    return traversal.call_depth(line_graph(spark, sf_dir).edges, "0")
+    return traversal.call_depth(line_graph(spark, sf_dir).sites, "0")
 
 
 @query(f"WITH RECURSIVE {TABLES}, {walks('tc', 'R0')} SELECT array_to_string(path, '>') AS path FROM best WHERE id = 'P0'")

@@ -235,3 +235,18 @@ def test_sites_are_kept_as_they_are_for_paths(spark, monkeypatch):
     assert sorted(map(tuple, edges.collect())) == [(0, 1, 2), (0, 1, 5), (0, 2, 3), (1, 3, 9), (2, 3, 1)]
     assert {r.id: r.path for r in traversal.shortest_paths(sites.filter("dst <> 'x'"), "a").collect()}["d"] == ["a", "b", "d"]
     assert "Aggregate" not in plans[0] and "Join" not in plans[0]
+
+
+def test_info_moves_edges_for_wide_directions_alone(spark, monkeypatch):
+    """Edges are written as they are, repeats and all, and put into buckets for the way out, which is wide, not for the way back, which is narrow."""
+    calls = [("up", "a")] + [("a", f"n{i % 40}") for i in range(400)] + [(f"n{i}", "leaf") for i in range(40)]
+    g = graph(spark, ["up", "a", "leaf", *[f"n{i}" for i in range(40)]], calls, [("a", 1), ("leaf", 2)])
+    moved, written = [], []
+    monkeypatch.setattr(traversal, "WIDE", 10)
+    monkeypatch.setattr(traversal, "bucketed", lambda df, by: moved.append(bucketed(df, by)) or moved[-1])
+    for module in (traversal, reports):
+        monkeypatch.setattr(module, "keep", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    info = reports.function_info(g, "a").first()
+    assert (info.n_callers, info.n_callees, info.n_reachable, info.n_can_reach, info.n_errors) == (1, 400, 42, 2, 1)
+    assert len(moved) == 1 and moved[0].groupBy("src", "dst").count().filter("src = 'a' and count > 1").isEmpty()
+    assert "Aggregate" not in written[0]
