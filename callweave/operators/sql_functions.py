@@ -1,11 +1,13 @@
 """A call graph in SQL: views of its tables, and table functions whose bodies are SQL, so that Catalyst plans them with the query around them.
 
 With the name `cg` there are the views cg_functions(seq, id, name, qualified_name, definition_location),
-cg_calls(src, dst, seq) and, with starts, cg_walks(start, forth, id, depth), and the functions
+cg_calls(src, dst, seq) and, with starts, cg_starts (those of cg_functions that are starts, written once) and
+cg_walks(start, forth, id, depth), and the functions
 
 - cg_callees_of(of) and cg_callers_of(of) -> (id): a row for each call site,
 - cg_simple_paths(head, tail, most) -> (path): simple paths of fewer than `most` edges, as in `paths.all_paths`,
-- cg_reachable_from(of) and cg_can_reach(of) -> (id, depth): for ids among the starts; no rows for others.
+- cg_reachable_from(of) and cg_can_reach(of) -> (id, depth): for ids among the starts; no rows for others, so that
+  ids to ask of are best taken from cg_starts: few rows that Spark can broadcast to the walks.
 
 Arguments may be columns of the tables before them (LATERAL), but those of cg_simple_paths, which recurses.
 It walks back from the tail, and raises above the session's spark.sql.cteRecursionRowLimit rows in
@@ -47,8 +49,10 @@ def register(g: CallGraph, name: str = "cg", starts: DataFrame | None = None) ->
     calls.createOrReplaceTempView(f"{name}_calls")
     bodies = dict(BODIES)
     if starts is not None:
-        edges = calls.select("src", "dst")
-        forth, back = traversal.closures(edges, starts), traversal.closures(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts)
+        starts = keep(starts.select("id").distinct())
+        keep(g.functions.join(starts, "id", "left_semi").select(*g.functions.columns)).createOrReplaceTempView(f"{name}_starts")
+        roads = traversal.Roads(calls.select("src", "dst"), once=True)
+        forth, back = traversal.closures(roads, starts), traversal.closures(roads.back(), starts)
         forth.withColumn("forth", F.lit(True)).unionByName(back.withColumn("forth", F.lit(False))).createOrReplaceTempView(f"{name}_walks")
         bodies |= WALKS
     for head, body in bodies.items():

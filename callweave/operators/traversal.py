@@ -18,6 +18,8 @@ from ..storage import bucketed, keep, numbered, partitions
 LEVELS = 16
 #: Rows from which on a level is wide.
 WIDE = 200_000
+#: Starts of walks that share a row: the bits of a long.
+STARTS = 64
 #: An id that begins more than one in so many edges for each bucket is spread over buckets.
 SHARE = 4
 
@@ -32,6 +34,10 @@ class Roads:
         self.edges, self.once, self.split = edges, once, None
         self.told = ["dst", *[c for c in edges.columns if c not in ("src", "dst")]]
 
+    def back(self) -> Roads:
+        """The same edges the other way."""
+        return Roads(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *self.told[1:]), self.once)
+
     def _split(self) -> tuple[DataFrame, DataFrame]:
         """Edges in buckets by src and salt, and (id, salts) of those sources that have more than one salt, at most SHARE for each bucket."""
         n = partitions(self.edges.sparkSession)
@@ -79,21 +85,36 @@ def _roads(edges: DataFrame | Roads) -> Roads:
     return edges if isinstance(edges, Roads) else Roads(keep(edges.select("src", "dst")), once=True)
 
 
-def _back(roads: Roads) -> Roads:
-    return Roads(roads.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), once=True)
-
-
 def bfs(edges: DataFrame | Roads, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges(src, dst), repeats or none, seeds(id) -> (id, depth): what can be reached and in how many steps; seeds count whether or not they have edges."""
     roads = _roads(edges)
     return _levels(seeds.select("id"), lambda level, n: roads.ahead(level, n).select(F.col("dst").alias("id")), max_depth)
 
 
-def closures(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """edges(src, dst), starts(id) -> (start, id, depth): what each start reaches, itself included, by one walk for all of them."""
-    roads = Roads(keep(edges.select("src", "dst").distinct()))
-    seeds = starts.select(F.col("id").alias("start"), "id")
-    return _levels(seeds, lambda level, n: roads.ahead(level, n).select("start", F.col("dst").alias("id")), None)
+def closures(edges: DataFrame | Roads, starts: DataFrame) -> DataFrame:
+    """edges(src, dst), starts(id) -> (start, id, depth): what each start reaches, itself included, by one walk for all of them.
+
+    Starts are the bits of a long, STARTS to a block: a row of a level is an id with all starts of a block that
+    come to it there first, so that what many of them reach moves once for them.
+    """
+    roads = _roads(edges)
+    n_th = numbered(starts.select(F.col("id").alias("start")).distinct(), ["start"], "k")
+    places = keep(n_th.select("start", F.floor(F.col("k") / STARTS).alias("block"), F.expr(f"shiftleft(1L, int(k % {STARTS}))").alias("bits")))
+    level = seen = keep(places.select("block", F.col("start").alias("id"), "bits", F.lit(0).alias("depth")))
+    depth, n = 0, level.count()
+    while n:
+        depth += 1
+        found = roads.ahead(level.select("block", "id", "bits"), n).groupBy("block", F.col("dst").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("block", "id").agg(F.bit_or("bits").alias("known"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        level = keep(found.join(known, ["block", "id"], "left").select("block", "id", new.alias("bits"), F.lit(depth).alias("depth")).filter("bits <> 0"))
+        n = level.count()
+        if n:
+            seen = seen.unionByName(level)
+        if depth % LEVELS == 0:
+            seen = keep(seen)
+    of = places.select("start", F.col("block").alias("_block"), F.col("bits").alias("_bit"))
+    return seen.join(of, (F.col("block") == F.col("_block")) & (F.col("bits").bitwiseAND(F.col("_bit")) != 0)).select("start", "id", "depth")
 
 
 def both_ways(edges: DataFrame | Roads, id_: str) -> DataFrame:
@@ -102,7 +123,7 @@ def both_ways(edges: DataFrame | Roads, id_: str) -> DataFrame:
     Each direction has its own width: edges aren't put into buckets for a direction that stays narrow.
     """
     forth = _roads(edges)
-    back = _back(forth)
+    back = forth.back()
 
     def ahead(level: DataFrame, n: int) -> DataFrame:
         of_way = {on: level.filter(F.col("on") == on) for on in (True, False)}

@@ -343,4 +343,4 @@ def sql_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each nation reaches, by a lateral table function over walks from all of them."""
     g = table_graph(spark, sf_dir)
     sql_functions.register(g, "nations", g.functions.filter(F.startswith("id", F.lit("N"))).select("id"))
-    return spark.sql("SELECT f.name, count(*) AS n_reachable, max(r.depth) AS max_depth FROM nations_functions f, LATERAL nations_reachable_from(f.id) r GROUP BY f.name")
+    return spark.sql("SELECT f.name, count(*) AS n_reachable, max(r.depth) AS max_depth FROM nations_starts f, LATERAL nations_reachable_from(f.id) r GROUP BY f.name")

@@ -2,7 +2,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from test_graph import dfs_paths, graph
 
-from callweave.operators import sql_functions
+from callweave.operators import sql_functions, traversal
+from callweave.storage import keep
 
 CALLS = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("d", "d"), ("x", "a")]
 
@@ -42,3 +43,30 @@ def test_a_query_keeps_the_graph_it_was_stated_over(spark):
     assert [r.id for r in first.collect()] == ["b"] and [r.id for r in spark.sql("SELECT id FROM again_callees_of('a')").collect()] == ["c"]
     with pytest.raises(AnalysisException):
         spark.sql("SELECT id FROM again_reachable_from('a')")
+
+
+def test_walks_of_many_starts_share_rows(spark, monkeypatch):
+    """More starts than a row has bits: each walk is its own, what many reach is a row for each block of them, and edges aren't written again."""
+    n, written = 70, []
+    rows = [(f"s{i}", "hub") for i in range(n)] + [(f"s{i}", f"s{i + 1}") for i in range(0, n - 1, 2)] + [("hub", f"t{i}") for i in range(30)] + [("t3", "s5")]
+    ids = sorted({x for r in rows for x in r})
+    g = graph(spark, ids, rows)
+
+    def kept(df):
+        written.append(keep(df))
+        return written[-1]
+
+    monkeypatch.setattr(traversal, "keep", kept)
+    sql_functions.register(g, "many", g.functions.filter("id like 's%'").select("id"))
+    found = {}
+    for r in spark.sql("SELECT f.id AS start, r.id, r.depth FROM many_starts f, LATERAL many_reachable_from(f.id) r").collect():
+        assert (r.start, r.id) not in found
+        found[r.start, r.id] = r.depth
+    want = {}
+    for s in (i for i in ids if i.startswith("s")):
+        level, depth = {s}, 0
+        while level:
+            want |= {(s, x): depth for x in level}
+            level, depth = {d for a, d in rows if a in level and (s, d) not in want}, depth + 1
+    assert found == want and spark.table("many_starts").count() == n
+    assert max(df.count() for df in written if "bits" in df.columns) <= 2 * len(ids) and not any("dst" in df.columns for df in written)
