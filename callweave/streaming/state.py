@@ -1,13 +1,14 @@
 """Stateful streams: frames put together from chunks, requests in parts, and what is loaded of a symbol.
 
 Each is a processor with state for a key, kept in the session's RocksDB state store, which `use_state`
-names; it goes on from its checkpoint after a restart. All of them run over a table too, as one batch.
+names; it goes on from its checkpoint after a restart. All of them run over a table too, as one batch, of which frames alone use the store.
 
 A processor takes the rows of a batch in the order that they have by their own columns. Rows for a key that is done with are ignored; what is kept of them ends by event time.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -205,8 +206,19 @@ def _gathered_table(rows: DataFrame, timeout_ms: int) -> DataFrame:
     return told.filter("case when part is null then take = 0 else place <= take end").drop("place", "take")
 
 
-class SymbolLoader(StatefulProcessor):
-    """(ts, kind, request_id, items, message, generation) of a symbol -> its states and the requests that follow.
+class Pending(dict):
+    """What is pending of a symbol, as a map state has it, where all rows of the symbol come in turn."""
+
+    containsKey, getValue, updateValue, removeKey, iterator = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__, dict.items
+
+
+#: The order of a symbol's rows of one instant and generation, and what a pending request waits for, by kind.
+ORDER = {"refresh": 0, "asked": 1, "prepared": 2, "calls": 3, "error": 4}
+STEPS = {"prepared": "prepare", "calls": "calls"}
+
+
+class SymbolTurns:
+    """The rows of a symbol in turn -> its states, as rows without the symbol whose ts are microseconds.
 
     asked: a request begins, and the symbol is Loading. prepared: its answer has items (JSON); the first is
     asked on under the request's number and `/calls`, and without any the symbol is Loaded. calls: an answer
@@ -214,13 +226,69 @@ class SymbolLoader(StatefulProcessor):
     isn't pending is ignored, and so is a row of an older generation; the first of a newer one is a refresh.
     """
 
+    def __init__(self, pending, follow_up: str, timeout_ms: int, state: str = "NotLoaded", generation: int = 0):
+        self.pending, self.follow_up, self.timeout_ms, self.state, self.generation = pending, follow_up, timeout_ms, state, generation
+        self.ends = [(v[1], k[0] is None, k) for k, v in pending.iterator()]
+        heapq.heapify(self.ends)
+
+    def turn(self, to: str, us: int, reason=None, send=None, request=None, item=None) -> tuple:
+        self.state = to
+        return us, to, reason, send, request, item
+
+    def expire(self, before: float) -> Iterator[tuple]:
+        """What was pending until before this millisecond has failed."""
+        while self.ends and self.ends[0][0] < before:
+            until, _, key = heapq.heappop(self.ends)
+            # It may have its answer by now, or be asked again.
+            if self.pending.containsKey(key) and self.pending.getValue(key)[1] == until:
+                self.pending.removeKey(key)
+                yield self.turn("Failed", until * 1000, reason=TIMED_OUT, request=key[0])
+
+    def wait(self, request_id: str, step: str, at: int) -> None:
+        self.pending.updateValue((request_id,), (step, at + self.timeout_ms))
+        heapq.heappush(self.ends, (at + self.timeout_ms, request_id is None, (request_id,)))
+
+    def take(self, us: int, kind: str, request_id: str, items: str | None, message: str | None, own: int) -> Iterator[tuple]:
+        at = us // 1000
+        yield from self.expire(at)
+        if own < self.generation:
+            return
+        if own > self.generation or kind == "refresh":
+            self.pending.clear()
+            self.ends.clear()
+            self.generation = own
+            yield self.turn("NotLoaded", us)
+            if kind == "refresh":
+                return
+        if kind == "asked":
+            self.wait(request_id, "prepare", at)
+            yield self.turn("Loading", us, send="prepare", request=request_id)
+            return
+        if not self.pending.containsKey((request_id,)):
+            return
+        if kind != "error" and self.pending.getValue((request_id,))[0] != STEPS.get(kind):
+            return
+        self.pending.removeKey((request_id,))
+        if kind == "error":
+            yield self.turn("Failed", us, reason=message, request=request_id)
+            return
+        asked_on = json.loads(items) if kind == "prepared" and isinstance(items, str) else []
+        if not asked_on:
+            yield self.turn("Loaded", us, request=request_id)
+            return
+        next_id = f"{request_id}/calls"
+        self.wait(next_id, "calls", at)
+        yield self.turn("Loading", us, send=self.follow_up, request=next_id, item=json.dumps(asked_on[0], ensure_ascii=False, separators=(",", ":")))
+
+
+class SymbolLoader(StatefulProcessor):
+    """(ts, kind, request_id, items, message, generation) of a symbol -> its states and the requests that follow, as SymbolTurns has them."""
+
+    COLUMNS = ["symbol_id", "ts", "state", "reason", "send", "request_id", "item"]
     SCHEMA = "symbol_id string, ts timestamp, state string, reason string, send string, request_id string, item string"
-    #: By kind, what a pending request waits for.
-    STEPS = {"prepared": "prepare", "calls": "calls"}
 
-    def __init__(self, whole: bool, outgoing: bool = False, timeout_ms: int = TIMEOUT_MS):
-        """whole: all rows of a key come at once, as from a table; what is pending then has failed."""
-        self.whole, self.follow_up, self.timeout_ms = whole, "outgoing" if outgoing else "incoming", timeout_ms
+    def __init__(self, outgoing: bool = False, timeout_ms: int = TIMEOUT_MS):
+        self.follow_up, self.timeout_ms = "outgoing" if outgoing else "incoming", timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -228,64 +296,18 @@ class SymbolLoader(StatefulProcessor):
         self.state = handle.getValueState("state", "state string, generation long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        order = {"refresh": 0, "asked": 1, "prepared": 2, "calls": 3, "error": 4}
         every = pd.concat(rows)
-        every = every.assign(_order=every["kind"].map(order)).sort_values(["ts", "generation", "_order", "request_id"])
-        state, generation = self.state.get() or ("NotLoaded", 0)
-
-        def turn(to: str, ts, reason=None, send=None, request=None, item=None) -> str:
-            out.append((key[0], ts, to, reason, send, request, item))
-            return to
-
-        def expire(before: float) -> str:
-            over = sorted((v[1], k[0]) for k, v in self.pending.iterator() if v[1] < before)
-            for until, request_id in over:
-                self.pending.removeKey((request_id,))
-                turn("Failed", pd.Timestamp(until, unit="ms"), reason=TIMED_OUT, request=request_id)
-            return "Failed" if over else state
-
+        every = every.assign(_order=every["kind"].map(ORDER)).sort_values(["ts", "generation", "_order", "request_id"])
+        turns = SymbolTurns(self.pending, self.follow_up, self.timeout_ms, *(self.state.get() or ("NotLoaded", 0)))
+        out = []
         for r in every.itertuples():
-            own, at = int(r.generation), int(r.ts.timestamp() * 1000)
-            state = expire(at)
-            if own < generation:
-                continue
-            if own > generation or r.kind == "refresh":
-                self.pending.clear()
-                generation, state = own, turn("NotLoaded", r.ts)
-                if r.kind == "refresh":
-                    continue
-            if r.kind == "asked":
-                state = turn("Loading", r.ts, send="prepare", request=r.request_id)
-                self.wait(r.request_id, "prepare", r.ts)
-                continue
-            if not self.pending.containsKey((r.request_id,)):
-                continue
-            if r.kind != "error" and self.pending.getValue((r.request_id,))[0] != self.STEPS.get(r.kind):
-                continue
-            self.pending.removeKey((r.request_id,))
-            if r.kind == "error":
-                state = turn("Failed", r.ts, reason=r.message, request=r.request_id)
-            elif r.kind == "calls":
-                state = turn("Loaded", r.ts, request=r.request_id)
-            else:
-                items = json.loads(r.items) if isinstance(r.items, str) else []
-                if not items:
-                    state = turn("Loaded", r.ts, request=r.request_id)
-                    continue
-                next_id = f"{r.request_id}/calls"
-                self.wait(next_id, "calls", r.ts)
-                state = turn("Loading", r.ts, send=self.follow_up, request=next_id, item=json.dumps(items[0], ensure_ascii=False, separators=(",", ":")))
-        state = expire(float("inf")) if self.whole else state
-        self.state.update((state, generation))
+            for t in turns.take(r.ts.value // 1000, r.kind, r.request_id, r.items, r.message, int(r.generation)):
+                if t[3]:
+                    self.handle.registerTimer(t[0] // 1000 + self.timeout_ms)
+                out.append((key[0], pd.Timestamp(t[0], unit="us"), *t[1:]))
+        self.state.update((turns.state, turns.generation))
         yield self.table(out)
 
-    def wait(self, request_id: str, step: str, ts: pd.Timestamp) -> None:
-        until = int(ts.timestamp() * 1000) + self.timeout_ms
-        self.pending.updateValue((request_id,), (step, until))
-        if not self.whole:
-            self.handle.registerTimer(until)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         over = [k[0] for k, v in self.pending.iterator() if v[1] <= now]
@@ -296,7 +318,7 @@ class SymbolLoader(StatefulProcessor):
         yield self.table([(key[0], pd.Timestamp(now, unit="ms"), "Failed", TIMED_OUT, None, r, None) for r in sorted(over)])
 
     def table(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["symbol_id", "ts", "state", "reason", "send", "request_id", "item"])
+        return pd.DataFrame(rows, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -304,7 +326,40 @@ class SymbolLoader(StatefulProcessor):
 
 def symbol_states(events: DataFrame, outgoing: bool = False, late: str = "10 seconds", timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """events(symbol_id, ts, kind, request_id, items, message, generation) -> each turn of a symbol's state, and what to send with it."""
-    use_state(events.sparkSession)
     rows = events.select("symbol_id", "ts", "kind", "request_id", "items", "message", F.coalesce("generation", F.lit(0)).cast("long").alias("generation"))
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
-    return rows.groupBy("symbol_id").transformWithStateInPandas(SymbolLoader(not rows.isStreaming, outgoing, timeout_ms), SymbolLoader.SCHEMA, "Append", "EventTime" if rows.isStreaming else "None")
+    if not rows.isStreaming:
+        return _symbol_table(rows, outgoing, timeout_ms)
+    use_state(events.sparkSession)
+    return rows.withWatermark("ts", late).groupBy("symbol_id").transformWithStateInPandas(SymbolLoader(outgoing, timeout_ms), SymbolLoader.SCHEMA, "Append", "EventTime")
+
+
+def _symbol_table(rows: DataFrame, outgoing: bool, timeout_ms: int) -> DataFrame:
+    """What SymbolLoader gives if all rows of a key are there, and what is pending then has failed: a task goes once through its
+    symbols, sorted by Spark, and remembers of one symbol at a time what is pending; nothing goes through a state store."""
+    follow_up = "outgoing" if outgoing else "incoming"
+    keys = ["symbol_id", "us", "generation", "_order", "request_id"]
+    order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in ORDER.items()])
+    flat = rows.select("symbol_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "kind", "request_id", "items", "message", "generation", order.alias("_order"))
+    # As pandas sorts: nulls last.
+    turned = flat.repartition("symbol_id").sortWithinPartitions("symbol_id", *[F.col(c).asc_nulls_last() for c in keys[1:]])
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, turns = None, None
+
+        def table(out: list) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["symbol_id", "us", *SymbolLoader.COLUMNS[2:]]).astype({"us": "int64"})
+
+        for pdf in batches:
+            out = []
+            for own, *row in zip(*[pdf[c].tolist() for c in ("symbol_id", "us", "kind", "request_id", "items", "message", "generation")]):
+                if turns is None or own != symbol:
+                    if turns is not None:
+                        out += [(symbol, *t) for t in turns.expire(float("inf"))]
+                    symbol, turns = own, SymbolTurns(Pending(), follow_up, timeout_ms)
+                out += [(symbol, *t) for t in turns.take(*row)]
+            yield table(out)
+        if turns is not None:
+            yield table([(symbol, *t) for t in turns.expire(float("inf"))])
+
+    found = turned.mapInPandas(go, "symbol_id string, us long, state string, reason string, send string, request_id string, item string")
+    return found.select("symbol_id", F.timestamp_micros("us").alias("ts"), *SymbolLoader.COLUMNS[2:])

@@ -229,3 +229,22 @@ def test_chunks_in_turn_need_no_store(spark):
     assert reader.waiting.calls == 2 and sorted(reader.waiting) == [(25,), (26,)]
     rest = take([(25, b"again")] + cuts[20:25] + cuts[27:])
     assert not reader.waiting and [json.loads(b) for b in first + rest] == FRAMES
+
+
+def test_symbols_of_a_table_need_no_store(spark):
+    """Answers in the last millisecond and too late, requests asked again, refreshes and older generations; symbols end on their own, in one task too."""
+    rows = [
+        ("a", 1.001, "asked", "r", None, None, 0), ("a", 31.0019, "prepared", "r", '[{"name":"x"}]', None, 0), ("a", 61.5, "calls", "r/calls", None, None, 0),
+        ("b", 0, "asked", "r", None, None, 0), ("b", 10, "asked", "r", None, None, 0), ("b", 35, "prepared", "r", "[]", None, 0), ("b", 36, "asked", "q", None, None, 0),
+        ("c", 0, "asked", "r", None, None, 0), ("c", 1, "asked", "s", None, None, 2), ("c", 2, "prepared", "r", "[]", None, 2), ("c", 3, "error", "s", None, "old", 1), ("c", 4, "refresh", None, None, None, 2), ("c", 5, "prepared", "s", "[]", None, 2)]
+    ts = "timestamp_micros(1704067200000000 + int(round(at * 10000)) * 100L) ts"
+    table = spark.createDataFrame([(s, float(t), *r) for s, t, *r in rows], "symbol_id string, at double, kind string, request_id string, items string, message string, generation long")
+    turns = state.symbol_states(table.selectExpr("symbol_id", ts, "kind", "request_id", "items", "message", "generation").coalesce(1))
+    found = sorted((r.symbol_id, r.at, r.state, r.reason, r.send, r.request_id) for r in turns.selectExpr("*", "unix_micros(ts) - 1704067200000000 at").collect())
+    late = ("Failed", state.TIMED_OUT, None)
+    assert found == [
+        ("a", 1001000, "Loading", None, "prepare", "r"), ("a", 31001900, "Loading", None, "incoming", "r/calls"), ("a", 61001000, *late, "r/calls"),
+        ("b", 0, "Loading", None, "prepare", "r"), ("b", 10000000, "Loading", None, "prepare", "r"), ("b", 35000000, "Loaded", None, None, "r"),
+        ("b", 36000000, "Loading", None, "prepare", "q"), ("b", 66000000, *late, "q"),
+        ("c", 0, "Loading", None, "prepare", "r"), ("c", 1000000, "Loading", None, "prepare", "s"), ("c", 1000000, "NotLoaded", None, None, None), ("c", 4000000, "NotLoaded", None, None, None)]
+    assert "TransformWithState" not in turns._jdf.queryExecution().executedPlan().toString()
