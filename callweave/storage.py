@@ -32,12 +32,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(df: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of df, written to the shared folder in buckets, one file each, and read again; joins by these columns don't move them."""
+#: Hashes by which values are counted before any is counted by itself.
+HASHES = 1 << 16
+
+
+def frequent(df: DataFrame, name: str, most: int) -> list:
+    """Values of a column that more than `most` rows have; null is none of them. Counts by hash move next to nothing, and only rows whose hash has so many are counted by value."""
+    bin_ = F.pmod(F.hash(name), F.lit(HASHES))
+    full = [r.bin for r in df.groupBy(bin_.alias("bin")).agg(F.count(name).alias("n")).filter(F.col("n") > most).collect()]
+    counted = df.filter(bin_.isin(full)).groupBy(name).agg(F.count(name).alias("n")).filter(F.col("n") > most) if full else None
+    return [r[name] for r in counted.select(name).collect()] if full else []
+
+
+def bucketed(df: DataFrame, by: list[str], once: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder in buckets, one file each, and read again; joins by these columns don't move them. once: repeats are left out, which moves nothing more."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     n = partitions(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(name)
+    placed = df.repartition(n, *by)
+    (placed.distinct() if once else placed).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
