@@ -214,6 +214,25 @@ def test_siblings_at_borders_of_ranges(spark):
     assert found == {d: (100 + (k + 1) % 60, 100 + (k - 1) % 60) for _, d, k in rows}
 
 
+def test_siblings_move_once(spark, monkeypatch):
+    """Children go to their parent and are neither sorted in ranges nor written, but for those of a parent with very many, beside which repeats and no parent count as in SQL."""
+    families = {1: 1, 2: 37, 3: 2, 4: 150, None: 3}
+    rows = [(p, 1000 * (p or 9) + k, k) for p, n in families.items() for k in range(n)] + [(3, 3001, 1)]
+    edges = spark.createDataFrame(rows, "src long, dst long, ord long").repartition(7)
+    want = sorted((str(p), 1000 * (p or 9) + k, 1000 * (p or 9) + (k + 1) % n, 1000 * (p or 9) + (k - 1) % n) for p, n in families.items() if p != 3 for k in range(n))
+    want = sorted(want + [("3", 3000, 3001, 3001), ("3", 3001, 3001, 3000), ("3", 3001, 3000, 3001)])
+    found = lambda: sorted((str(r.parent), r.idx, r.next, r.previous) for r in navigation.siblings(edges).collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be put together
+    try:
+        monkeypatch.setattr(navigation, "HUB", 30)
+        assert found() == want
+        monkeypatch.setattr(navigation, "numbered", None)
+        monkeypatch.setattr(navigation, "HUB", 150)
+        assert found() == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_degrees_move_sites_by_their_ends(spark):
     """Sites aren't counted by pairs, which are nearly as many; ends that aren't there or are null, repeats and calls of itself count as they did."""
     function = lambda i: (i, f"f{i}", f"f{i}", f"f{i}", None)
