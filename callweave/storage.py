@@ -45,12 +45,13 @@ def frequent(df: DataFrame, name: str, most: int) -> list:
 
 
 def bucketed(df: DataFrame, by: list[str], once: bool = False) -> DataFrame:
-    """The rows of df, written to the shared folder in buckets, one file each, and read again; joins by these columns don't move them. once: repeats are left out, which moves nothing more."""
+    """The rows of df, written to the shared folder in buckets, one file each, and read again; joins by these columns don't move them. once: repeats are left out, which moves nothing more, and rows sorted, so that what they become is packed well."""
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
     n = partitions(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     placed = df.repartition(n, *by)
-    (placed.distinct() if once else placed).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(name)
+    to = (placed.distinct() if once else placed).write.format("parquet").bucketBy(n, *by).option("path", path)
+    (to.sortBy(*by) if once else to).saveAsTable(name)
     return spark.table(name)
 
 
